@@ -17,6 +17,7 @@ columns pass through, and a column named as an output is replaced.
 from __future__ import annotations
 
 import json
+import struct
 import unicodedata
 from collections.abc import Iterator
 
@@ -42,7 +43,7 @@ LOWER = {0x3A3: 0x3C3, 0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0x
 LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
 END = "</w>"
 #: Words remembered by one Python worker.
-REMEMBERED = 250_000
+REMEMBERED = 300_000
 RUN_IDS = 1 << 19
 
 
@@ -120,8 +121,27 @@ class Vocabulary:
         return known
 
 
+class Recent(dict):
+    """A bounded table: when it is full, what was not asked for since the last time goes."""
+
+    def __init__(self, make, most: int = REMEMBERED):
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= 64:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
 class Encoder:
-    """Ids of texts. Kept by a Python worker, with its automaton and the words it has seen."""
+    """Ids of texts as little-endian 32-bit integers. Kept by a Python worker, with its automaton and the words it has seen."""
 
     def __init__(self, vocabulary: Vocabulary):
         import ahocorasick
@@ -132,7 +152,8 @@ class Encoder:
         for s, i in vocabulary.live.items():
             self.entries.add_word(s, (len(s), i))
         self.entries.make_automaton()
-        self.symbols = _byte_symbols()
+        self.symbols = {b: s for b, s in enumerate(_byte_symbols())}
+        self.closing = {b: chr(0xE000 + ord(s)) for b, s in self.symbols.items()}
         pattern = vocabulary.pattern.replace(r"\s", SPACE)
         for kind in (r"\p{L}", r"\p{N}"):
             pattern = pattern.replace(kind, f"[{kind}--[{NEWER}]]")
@@ -140,75 +161,70 @@ class Encoder:
         self.cut = regex.compile("|".join(map(regex.escape, vocabulary.special)))
         self.blank = regex.compile(f"[{SPACE}]+")
         self.odd = regex.compile("[\x1c-\x1f]")
-        self.seen: dict[str, bytes] = {}
-        self.pieces: dict[str, list[int]] = {}
-
-    def word_ids(self, word: str) -> list[int]:
-        """Ids of one pre-token, given as its symbols with the last one closed."""
-        v, n = self.v, len(word)
-        longest: list[int] = [-1] * (n + 1)
-        reach = [0] * (n + 1)
-        for end, (size, entry) in self.entries.iter(word):
-            if size > reach[end - size + 1]:
-                reach[end - size + 1], longest[end - size + 1] = size, entry
-        open_at = [True] * (n + 1)
-        out: list[int] = []
-        at, entry = 0, longest[0]
-        while at < n:
-            last = out[-1] if out else -1
-            while True:
-                end = at + v.length[entry]
-                if open_at[end] and (last < 0 or v.fits(last, entry)):
-                    out.append(entry)
-                    at, entry = end, longest[end]
-                    break
-                if entry in v.shorter:
-                    entry = v.shorter[entry]
-                    continue
-                open_at[at] = False
-                if not out:
-                    raise ValueError("the vocabulary lacks a symbol")
-                at -= v.length[out.pop()]
-                entry = last
+        self.chunks, self.pieces = Recent(self.chunk), Recent(self.piece)
+
+    def laid(self, word: str) -> list[int]:
+        """Entries of one pre-token, given as its symbols with the last one closed."""
+        v, n, longest = self.v, len(word), self.entries.iter_long
+        fits, memo = v.fits, v.fits_memo
+        # The longest matches end to end are the answer if every neighbouring pair fits.
+        out, last, at = [], -1, 0
+        for end, (_, entry) in longest(word):
+            if last >= 0 and not (memo.get((last, entry)) or fits(last, entry)):
                 break
-        return out
+            out.append(entry)
+            last, at = entry, end + 1
+        else:
+            return out
+        # From the first that doesn't fit: shorter entries, then steps back; places known to lead nowhere are closed.
+        closed = set()
+        length, shorter = v.length, v.shorter
+        while True:
+            end = at + length[entry]
+            if end not in closed and (last < 0 or memo.get((last, entry)) or fits(last, entry)):
+                out.append(entry)
+                if end == n:
+                    return out
+                at, last = end, entry
+                _, (_, entry) = next(longest(word, at))
+            elif entry in shorter:
+                entry = shorter[entry]
+            elif out:
+                closed.add(at)
+                entry = out.pop()
+                at -= length[entry]
+                last = out[-1] if out else -1
+            else:
+                raise ValueError("the vocabulary lacks a symbol")
+
+    def piece(self, piece: str) -> bytes:
+        """Ids of one pre-token in NFC and lower case."""
+        raw = piece.encode()
+        ids = self.laid("".join(map(self.symbols.__getitem__, raw[:-1])) + self.closing[raw[-1]])
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def chunk(self, chunk: str) -> bytes:
-        """Ids of a run without white space, as little-endian 32-bit integers."""
-        ids: list[int] = []
+        """Ids of a run without white space."""
+        if chunk.isascii():
+            if chunk.isalpha():
+                return self.pieces[chunk.lower()]
+            if chunk[:-1].isalpha() and chunk[-1] in ".,":
+                return self.pieces[chunk[:-1].lower()] + self.pieces[chunk[-1]]
+        elif chunk.isalpha() and unicodedata.is_normalized("NFC", chunk) and (low := chunk.translate(LOWER).lower()).isalpha():
+            return self.pieces[low]
+        out: list[bytes] = []
         at = 0
         for m in [*self.cut.finditer(chunk), None]:
             part = chunk[at : m.start() if m else len(chunk)]
             if part:
-                for piece in self.split.findall(unicodedata.normalize("NFC", part).translate(LOWER).lower()):
-                    got = self.pieces.get(piece)
-                    if got is None:
-                        raw = [self.symbols[b] for b in piece.encode()]
-                        raw[-1] = chr(0xE000 + ord(raw[-1]))
-                        got = self.word_ids("".join(raw))
-                        if len(self.pieces) >= REMEMBERED:
-                            self.pieces.clear()
-                        if len(piece) <= 64:
-                            self.pieces[piece] = got
-                    ids += got
+                out += map(self.pieces.__getitem__, self.split.findall(unicodedata.normalize("NFC", part).translate(LOWER).lower()))
             if m:
-                ids.append(self.v.special[m.group()])
+                out.append(struct.pack("<I", self.v.special[m.group()]))
                 at = m.end()
-        return np.array(ids, "<u4").tobytes()
+        return b"".join(out)
 
     def text(self, text: str) -> bytes:
-        chunks = self.blank.split(text) if self.odd.search(text) else text.split()
-        seen, out = self.seen, []
-        for c in chunks:
-            ids = seen.get(c)
-            if ids is None:
-                ids = self.chunk(c)
-                if len(c) <= 64:
-                    if len(seen) >= REMEMBERED:
-                        seen.clear()
-                    seen[c] = ids
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(self.chunks.__getitem__, self.blank.split(text) if self.odd.search(text) else text.split()))
 
 
 class Decoder:
