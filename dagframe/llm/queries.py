@@ -31,11 +31,41 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dagframe.llm import mixing
+
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+OP1_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce('1' || source, '2') AS sk, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+), k AS (SELECT *, md5(coalesce(doc_id::VARCHAR, '') || ':' || size) AS key FROM d),
+s AS (SELECT sk, sum(size)::BIGINT AS total FROM k GROUP BY sk),
+r AS (SELECT *, CASE (row_number() OVER (ORDER BY sk) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w, total * 2.0::DOUBLE AS cap, sum(total) OVER () * 1.5::DOUBLE AS everything FROM s),
+f AS (
+  SELECT *, everything - coalesce(sum(cap) OVER o, 0) AS words_left, sum(w) OVER () - coalesce(sum(w) OVER o, 0) AS sharers
+  FROM r WINDOW o AS (ORDER BY cap / w, sk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), g AS (SELECT *, words_left / sharers * w > cap AS is_full FROM f),
+t AS (
+  SELECT sk, total, CASE WHEN is_full THEN cap ELSE
+    (everything - coalesce(sum(CASE WHEN is_full THEN cap END) OVER (), 0)) / sum(CASE WHEN NOT is_full THEN w END) OVER () * w END AS target FROM g
+), p AS (SELECT *, CASE WHEN total > 0 THEN floor(floor(target + 0.5) / total) ELSE 0 END::BIGINT AS passes FROM t),
+q AS (SELECT *, (floor(target + 0.5) - passes * total)::BIGINT AS rest FROM p),
+c AS (SELECT sk, key, size, count(*) AS n FROM k GROUP BY sk, key, size),
+b AS (SELECT *, coalesce(sum(size * n) OVER (PARTITION BY sk ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS at FROM c)
+SELECT k.doc_id, k.size, q.total AS source_size, q.target,
+  (q.passes * k.size + least(k.size, greatest(0, floor((q.rest - b.at) / b.n)))::BIGINT)::BIGINT AS taken
+FROM k JOIN q USING (sk) JOIN b ON b.sk = k.sk AND b.key = k.key AND b.size = k.size
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_mixing": op1_mixing,
         "op3_bpe": op3_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_mixing": OP1_SQL}
