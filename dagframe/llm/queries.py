@@ -18,6 +18,20 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dagframe.llm import quality
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(quality.remainder("doc_id", 4) != 2)
+    scored = quality.score(docs, quality.train(docs, labels))
+    return scored.select(
+        "doc_id",
+        (quality.remainder("doc_id", 4) == 2).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from dagframe.llm import bpe
 
@@ -63,6 +77,7 @@ FROM k JOIN q USING (sk) JOIN b ON b.sk = k.sk AND b.key = k.key AND b.size = k.
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
+        "op2_quality": op2_quality,
         "op3_bpe": op3_bpe,
     }
 
