@@ -51,6 +51,23 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dagframe.llm import html
+
+    found = html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dagframe.llm import langid
+    from dagframe.llm.quality import remainder
+
+    docs = table(spark, sf_dir, "documents")
+    net = langid.train(docs.where(remainder("doc_id", 4) != 2).select("doc_id", "text", "lang"))
+    found = langid.identify(docs.select("doc_id", "text"), net)
+    return found.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
 OP1_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce('1' || source, '2') AS sk, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
@@ -79,6 +96,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_mixing": op1_mixing,
         "op2_quality": op2_quality,
         "op3_bpe": op3_bpe,
+        "op7_html": op7_html,
+        "op10_langid": op10_langid,
     }
 
 
