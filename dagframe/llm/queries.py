@@ -51,6 +51,14 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dagframe.llm import ctw
+    from dagframe.llm.quality import remainder
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ctw.score(docs, remainder("doc_id", 7) != 2)
+
+
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     from dagframe.llm import html
 
@@ -96,6 +104,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_mixing": op1_mixing,
         "op2_quality": op2_quality,
         "op3_bpe": op3_bpe,
+        "op4_lm": op4_lm,
         "op7_html": op7_html,
         "op10_langid": op10_langid,
     }
