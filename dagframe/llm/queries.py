@@ -66,6 +66,13 @@ def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dagframe.llm import imatch
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return imatch.compared(docs, imatch.lexicon(docs))
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from dagframe.llm import langid
     from dagframe.llm.quality import remainder
@@ -106,6 +113,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_bpe": op3_bpe,
         "op4_lm": op4_lm,
         "op7_html": op7_html,
+        "op8_imatch": op8_imatch,
         "op10_langid": op10_langid,
     }
 
