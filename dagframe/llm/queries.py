@@ -79,6 +79,29 @@ def op8_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.compared(docs, imatch.lexicon(docs))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dagframe.llm import linededup
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linededup.dedup(docs, count_col="n_removed")
+
+
+OP9_SQL = r"""
+WITH l AS (
+  SELECT doc_id, u.pos, u.line, list_filter(regexp_split_to_array(lower(u.line), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM (SELECT doc_id, unnest(list_transform(string_split(text, chr(10)), lambda x, i: {'pos': i, 'line': x})) AS u FROM documents)
+), s AS (SELECT doc_id, pos, line, CASE WHEN len(w) >= 5 THEN list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], chr(31))))) ELSE [] END AS t FROM l),
+c AS (SELECT t, min((doc_id, pos)) AS earliest, len(t) AS n, row_number() OVER () AS cls FROM s WHERE len(t) > 0 GROUP BY t),
+e AS (SELECT cls, earliest, n, unnest(t) AS token FROM c),
+m AS (
+  SELECT y.cls FROM e x JOIN e y ON x.token = y.token AND x.earliest < y.earliest
+  GROUP BY x.cls, y.cls, x.n, y.n HAVING 100 * count(*) >= 75 * (x.n + y.n - count(*))
+), g AS (SELECT s.doc_id, s.pos, s.line, coalesce((s.doc_id, s.pos) > c.earliest OR c.cls IN (SELECT cls FROM m), false) AS gone FROM s LEFT JOIN c ON s.t = c.t)
+SELECT doc_id, coalesce(string_agg(CASE WHEN NOT gone THEN line END, chr(10) ORDER BY pos), '') AS text, count(*) FILTER (gone)::BIGINT AS n_removed FROM g GROUP BY doc_id
+UNION ALL SELECT doc_id, text, 0 FROM documents WHERE text IS NULL
+"""
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from dagframe.llm import langid
     from dagframe.llm.quality import remainder
@@ -121,9 +144,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_ngram_join": op6_ngram_join,
         "op7_html": op7_html,
         "op8_imatch": op8_imatch,
+        "op9_line_dedup": op9_line_dedup,
         "op10_langid": op10_langid,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": OP1_SQL}
+    return {"op1_mixing": OP1_SQL, "op9_line_dedup": OP9_SQL}

@@ -24,9 +24,15 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/dagframe/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    read = spark.read.schema(df.schema).parquet(path)
+    read.stored_at = path
+    return read
 
 
-def same_side(df: DataFrame, columns: list[str], prefix: str) -> DataFrame:
-    """df with only these columns, each under prefix + name."""
-    return df.select(*(df[c].alias(prefix + c) for c in columns))
+def released(*tables: DataFrame) -> None:
+    """Deletes tables made by stored(), once nothing that is still to run reads them."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
