@@ -59,6 +59,12 @@ def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.score(docs, remainder("doc_id", 7) != 2)
 
 
+def op5_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dagframe.llm import embedding_dups
+
+    return embedding_dups.near_copies(table(spark, sf_dir, "embeddings"))
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from dagframe.llm import ngram_join
 
@@ -141,6 +147,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality": op2_quality,
         "op3_bpe": op3_bpe,
         "op4_lm": op4_lm,
+        "op5_embedding": op5_embedding,
         "op6_ngram_join": op6_ngram_join,
         "op7_html": op7_html,
         "op8_imatch": op8_imatch,
