@@ -29,13 +29,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dagframe.llm.shared import stored
+from dagframe.llm.shared import released, stored
 from dagframe.llm.wordbytes import U64, Words, mixed, runs
 
 DEPTH = 5
 GRAMS = 1 << 19
-FREQUENT = 1 << 20
-RUN = 6 << 20
+FREQUENT = 1 << 19
+RUN = 2 << 20
 #: Groups in which nodes are made; all grams that share their two latest context bytes are in one.
 GROUPS = 192
 END = 10
@@ -136,34 +136,66 @@ def levels(grams: np.ndarray, counts: np.ndarray, depth: int, upto: int, least:
     return out
 
 
+class Places:
+    """Places of 64-bit keys in a table, found by hash: the first bits name a short run, 32 others tell its keys apart."""
+
+    def __init__(self, keys: np.ndarray):
+        """keys: distinct. `order` is how the table's other columns must be arranged."""
+        h = mixed(keys)
+        self.order = np.argsort(h)
+        self.shift = U64(64 - max(1, int(len(h)).bit_length()))
+        h = h[self.order]
+        self.starts = np.searchsorted(h, np.arange((1 << (64 - int(self.shift))) + 1, dtype=U64) << self.shift if len(h) else np.zeros(3, U64)).astype(np.int32)
+        self.starts[-1] = len(h)
+        self.low = np.append(h.astype(np.uint32), np.uint32(0))
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each key, and whether it is there; where it isn't, the place is some place or one past the last."""
+        h = mixed(keys)
+        top, low = (h >> self.shift).astype(np.int64), h.astype(np.uint32)
+        at, end = self.starts[top], self.starts[top + 1]
+        there = (self.low[at] == low) & (at < end)
+        left = np.flatnonzero(~there & (at + 1 < end))
+        while len(left):
+            at[left] += 1
+            hit = self.low[at[left]] == low[left]
+            there[left] = hit
+            left = left[~hit & (at[left] + 1 < end[left])]
+        return at, there
+
+
 class Tree:
-    """The frozen model: for each level, sorted hashed node keys, stop weights and estimates."""
+    """The frozen model: for each level its nodes' stop weights (in 255ths) and estimates, and the chances of frequent grams."""
 
     def __init__(self, depth: int):
         self.depth = depth
-        self.tables: list[tuple] = []
+        self.tables: list[tuple[Places, np.ndarray, np.ndarray]] = []
+        self.known: tuple[Places, np.ndarray] | None = None
 
     def add(self, keys: np.ndarray, stop: np.ndarray, one: np.ndarray) -> None:
         """The next level, from depth 0 on."""
-        key = mixed(keys)
-        order = np.argsort(key)
-        key = key[order]
-        bits = max(1, int(len(key)).bit_length())
-        starts = np.searchsorted(key, np.arange(1 << bits, dtype=U64) << U64(64 - bits)).astype(np.int32)
-        self.tables.append((np.append(key, U64((1 << 64) - 1)), np.append(stop[order], 1).astype(np.float32), np.append(one[order], 0.5).astype(np.float32), starts, bits))
-
-    def _found(self, d: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        key, _, _, starts, bits = self.tables[d]
-        want = mixed(keys)
-        at = starts[want >> U64(64 - bits)]
-        while True:
-            behind = key[at] < want
-            if not behind.any():
-                return at, key[at] == want
-            at = at + behind
+        places = Places(keys)
+        self.tables.append((places, np.append(np.rint(stop * 255)[places.order], 255).astype(np.uint8), np.append(one[places.order], 0.5).astype(np.float32)))
+        places.order = None
+
+    def remember(self, grams: np.ndarray) -> None:
+        """Works the grams' chances out now."""
+        places, chance = Places(grams), self.walked(grams)
+        self.known = places, np.append(chance[places.order], 0).astype(np.float32)
+        places.order = None
 
     def log10(self, grams: np.ndarray) -> np.ndarray:
         """log10 of the probability of each gram's byte after the bytes before it."""
+        at, there = self.known[0].find(grams)
+        out = self.known[1][at].astype(float)
+        rest = np.flatnonzero(~there)
+        if len(rest):
+            key, back = np.unique(grams[rest], return_inverse=True)
+            out[rest] = self.walked(key)[back]
+        return out
+
+    def walked(self, grams: np.ndarray) -> np.ndarray:
+        """The same by the tree's nodes."""
         total = np.zeros(len(grams))
         byte, context = grams & U64(255), grams >> U64(8)
         for j in range(8):
@@ -172,9 +204,10 @@ class Tree:
             mix = []
             known = np.ones(len(grams), bool)
             for d in range(self.depth + 1):
-                at, there = self._found(d, (context & U64((1 << (8 * d)) - 1)) << U64(8) | node)
+                places, stop, one = self.tables[d]
+                at, there = places.find((context & U64((1 << (8 * d)) - 1)) << U64(8) | node)
                 known = known & there
-                mix.append((known, self.tables[d][1][at], self.tables[d][2][at]))
+                mix.append((known, stop[at] / 255, one[at]))
             for d in range(self.depth, -1, -1):
                 known, stop, one = mix[d]
                 deeper = mix[d + 1][0] if d < self.depth else np.zeros(len(grams), bool)
@@ -192,7 +225,7 @@ def _counted(batches: Iterator[pa.RecordBatch], of) -> Iterator[pa.RecordBatch]:
         for first, last in runs(column, RUN):
             k, n = np.unique(of(column.slice(first, last - first)), return_counts=True)
             keys, counts = _summed(np.concatenate([keys, k]), np.concatenate([counts, n]))
-            if len(keys) > 3_000_000:
+            if len(keys) > 1_500_000:
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["key", "n"])
                 keys, counts = keys[:0], counts[:0]
     if len(keys):
@@ -226,10 +259,11 @@ def train(texts: DataFrame, text_col: str = "text", depth: int = DEPTH, grams: i
         for d, node, stop, one, a, b, log in levels(keys, n, depth, 2, least):
             # the deepest levels are kept where they were seen often enough, the others always within the bound
             keep = a + b >= (least if d > 2 else 1)
-            out.append(pa.table({"d": np.full(keep.sum(), d, np.int32), "key": node[keep].view(np.int64), "stop": stop[keep], "one": one[keep], "a": a[keep], "b": b[keep], "log": log[keep]}))
+            sums = {"a": a[keep], "b": b[keep], "log": log[keep]} if d == 2 else {c: pa.nulls(keep.sum(), t) for c, t in (("a", pa.int64()), ("b", pa.int64()), ("log", pa.float64()))}
+            out.append(pa.table({"d": np.full(keep.sum(), d, np.int32), "key": node[keep].view(np.int64), "stop": stop[keep].astype(np.float32), "one": one[keep].astype(np.float32)} | sums))
         return pa.concat_tables(out)
 
-    schema = "d int, key long, stop double, one double, a long, b long, log double"
+    schema = "d int, key long, stop float, one float, a long, b long, log double"
     nodes = stored(counts.withColumn("near", F.expr(f"pmod(xxhash64(shiftright(key, 8) & 65535), {GROUPS})")).groupBy("near").applyInArrow(build, schema), "ctw-nodes")
     second = nodes.where("d = 2").groupBy(F.expr("key & 65535").alias("key")).agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("log").alias("log")).toArrow()  # at most 2**16 rows
     tree = Tree(depth)
@@ -242,8 +276,10 @@ def train(texts: DataFrame, text_col: str = "text", depth: int = DEPTH, grams: i
     tree.add(root, stop0, (b0 + 0.5) / (a0 + b0 + 1.0))
     tree.add(keys, stop1, (b + 0.5) / (a + b + 1.0))
     for d in range(2, depth + 1):
-        level = nodes.where(F.col("d") == d).select("key", F.col("stop").cast("float"), F.col("one").cast("float")).toArrow()
+        level = nodes.where(F.col("d") == d).select("key", "stop", "one").toArrow()
         tree.add(level.column("key").to_numpy().view(U64), level.column("stop").to_numpy(), level.column("one").to_numpy())
+    tree.remember(counts.where(F.col("n") >= least).select("key").toArrow().column("key").to_numpy().view(U64))  # at most `grams`
+    released(counts, nodes)
     return tree
 
 
@@ -264,23 +300,22 @@ def score(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str
     often = vocabulary.where(F.col("n") >= least).toArrow()  # at most `frequent` rows
     words, n = often.column("key").to_numpy().view(U64), often.column("n").to_numpy()
     order = np.argsort(words)
-    shared = spark.sparkContext.broadcast((tree, np.append(words[order], U64((1 << 64) - 1)), np.append(n[order], 0).astype(np.int64)))
+    shared = spark.sparkContext.broadcast((tree, np.append(words[order], U64((1 << 64) - 1)), np.append(n[order], 0)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, known, count = shared.value
         for batch in batches:
             column = batch.column(1)
-            for first, last in runs(column, RUN):
+            for first, last in runs(column):
                 rows = last - first
                 words = Words(column.slice(first, rows), lower=True)
                 flow, begins = stream(words)
-                key, back = np.unique(grams_of(flow, begins, tree.depth), return_inverse=True)
-                chance = np.add.reduceat(tree.log10(key)[back], begins[:-1])
+                chance = np.add.reduceat(tree.log10(grams_of(flow, begins, tree.depth)), begins[:-1])
                 h = np.concatenate([words.hashes(), np.repeat(END_WORD, rows)])
                 own = np.concatenate([words.text, np.arange(rows)])
                 word, back = np.unique(h, return_inverse=True)
                 at = np.searchsorted(known, word)
-                c = np.where(known[at] == word, count[at], 0)
+                c = np.where(known[at] == word, count[at], 0).astype(float)
                 there = (c > 0)[back]
                 base = np.bincount(own, np.log10(c + 1.0)[back], rows)
                 # Words that aren't among the frequent ones, once for each text with their number.
