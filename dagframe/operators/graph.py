@@ -126,9 +126,10 @@ def cyclic_graphs(vertices: DataFrame, edges: DataFrame) -> DataFrame:
 
 def topo_order(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """A place for each vertex of the graphs without cycles, all edges forward, ties by id."""
-    found = levels(vertices, edges)
+    found = written(levels(vertices, edges), "order")
     w = Window.partitionBy("graph_id").orderBy("level", "id")
-    return found.join(cyclic_graphs(vertices, edges), "graph_id", "left_anti").select("graph_id", "id", "level", (F.row_number().over(w) - 1).alias("place"))
+    cyclic = vertices.select("graph_id", "id").join(found, ["graph_id", "id"], "left_anti").select("graph_id").distinct()
+    return found.join(cyclic, "graph_id", "left_anti").select("graph_id", "id", "level", (F.row_number().over(w) - 1).alias("place"))
 
 
 def fold_dag(vertices: DataFrame, edges: DataFrame, start: Column, step: Callable[[Column], Column]) -> DataFrame:
@@ -146,10 +147,11 @@ def fold_dag(vertices: DataFrame, edges: DataFrame, start: Column, step: Callabl
 def influence(vertices: DataFrame, edges: DataFrame, origins: DataFrame, alpha: float = 0.85) -> DataFrame:
     """(graph_id, id, mass): 1 at the origin, passed on in equal parts times alpha, level by level, so that each edge counts once.
     A graph with a cycle has no rows."""
-    good = edges.join(cyclic_graphs(vertices, edges), "graph_id", "left_anti")
-    found = written(levels(vertices, good), "influence")
+    found = written(levels(vertices, edges), "influence")
+    cyclic = written(vertices.select("graph_id", "id").join(found, ["graph_id", "id"], "left_anti").select("graph_id").distinct(), "influence")
+    good = edges.join(cyclic, "graph_id", "left_anti")
     share = written(good.join(good.groupBy("graph_id", "src").agg(F.count("*").alias("out")), ["graph_id", "src"]), "influence")
-    start = origins.select("graph_id", "id").join(vertices, ["graph_id", "id"], "left_semi").join(cyclic_graphs(vertices, edges), "graph_id", "left_anti")
+    start = origins.select("graph_id", "id").join(vertices, ["graph_id", "id"], "left_semi").join(cyclic, "graph_id", "left_anti")
     done = written(start.withColumn("mass", F.lit(1.0)), "influence")
     deepest = found.agg(F.max("level")).first()[0] or 0
     for level in range(2, deepest + 1):
