@@ -146,3 +146,56 @@ def unreferenced(rows: DataFrame, key: str, parents: DataFrame, parent_key: str)
 def masked(text: Column) -> Column:
     """The 12-digit account field of colon-separated resource names, hidden."""
     return F.regexp_replace(text, r"(?<=:)[0-9]{12}(?=:)", "***")
+
+
+def kept_consumed(signals: DataFrame) -> DataFrame:
+    """Delivered signals become consumed; of consumed ones of a run and name only the newest stays."""
+    return latest(signals.where("state in ('delivered', 'consumed')").withColumn("_key", F.concat_ws("\u0001", "run_id", "name")), "_key", F.desc("at"), F.desc("signal_id")).drop("_key").withColumn("state", F.lit("consumed"))
+
+
+def claimed_leases(runs: DataFrame, owner: str, now: Column, seconds: int) -> DataFrame:
+    """Running leases after an owner's renewal: its own are longer, the others' that ran out are its own now, live ones stay."""
+    until = now + F.make_dt_interval(secs=F.lit(seconds))
+    mine, out = F.col("lease_owner").eqNullSafe(F.lit(owner)), F.col("lease_until") < now
+    rows = runs.where("status = 'running'")
+    return rows.select("run_id", F.when(mine | out, F.lit(owner)).otherwise(F.col("lease_owner")).alias("lease_owner"), F.when(mine | out, until).otherwise(F.col("lease_until")).alias("lease_until"))
+
+
+def reserved_calls(asked: DataFrame, ledger: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """Calls to add to a ledger: each key once, without those that are there."""
+    return asked.dropDuplicates(list(keys)).join(ledger, list(keys), "left_anti")
+
+
+def submitted_calls(calls: DataFrame, runs: DataFrame, limit: int) -> DataFrame:
+    """Submitted calls of runs that may still take an answer, oldest first."""
+    return calls.where("state = 'submitted'").join(runs.where(F.col("status").isin("pending", "running")).select("run_id"), "run_id").orderBy("at", "call_id").limit(limit)
+
+
+def fusable(frontier: DataFrame) -> DataFrame:
+    """Runs whose ready calls all have one authority and one strategy."""
+    sums = frontier.groupBy("run_id").agg(F.countDistinct("authority").alias("a"), F.countDistinct("strategy").alias("s"), F.count("*").alias("calls"))
+    return sums.where("a = 1 and s = 1 and calls > 1").select("run_id", "calls")
+
+
+def conflicting_templates(templates: DataFrame, key: str, fingerprint: str) -> DataFrame:
+    """Names given to things that aren't the same."""
+    return templates.groupBy(key).agg(F.countDistinct(fingerprint).alias("forms")).where("forms > 1")
+
+
+def port_faults(edges: DataFrame, ports: DataFrame) -> DataFrame:
+    """Of ports (node, port, least, most): those that have fewer or more incoming edges."""
+    n = edges.groupBy("node", "port").agg(F.count("*").alias("n"))
+    return ports.join(n, ["node", "port"], "left").withColumn("n", F.coalesce("n", F.lit(0))).where("n < least or n > most").select("node", "port", "n")
+
+
+def first_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """Of packages that name the same thing, the first one's."""
+    return latest(rows, key, F.col(order))
+
+
+def report(rows: DataFrame, key: str, verdict: str) -> DataFrame:
+    """A Markdown table of verdicts, their numbers, and an exit code."""
+    lines = F.array_sort(F.collect_list(F.struct(key, F.concat(F.lit("| "), F.col(key).cast("string"), F.lit(" | "), F.when(F.col(verdict), "pass").otherwise("fail"), F.lit(" |")).alias("line"))))
+    text = F.concat(F.lit("| case | verdict |\n| --- | --- |\n"), F.array_join(F.transform(lines, lambda x: x["line"]), "\n"))
+    failed = F.count_if(~F.col(verdict))
+    return rows.agg(text.alias("table"), F.count("*").alias("cases"), failed.alias("failed"), F.when(failed > 0, 1).otherwise(0).cast("long").alias("exit_code"))

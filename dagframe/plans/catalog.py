@@ -790,3 +790,57 @@ def ext_event_windows(spark, d):
 
     out = signals.windowed(table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp")))
     return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+# --- more of the ledger, leases, ports and reports -----------------------------------------------------------------
+
+
+@query("WITH n AS (SELECT event_id AS signal_id, user_id AS run_id, event_type AS name, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS k FROM events WHERE event_id % 4 <> 0) SELECT signal_id, run_id, name, 'consumed' AS state FROM n WHERE k = 1")
+def signal_consumed(spark, d):
+    state_ = F.when(F.col("event_id") % 4 == 0, "pending").when(F.col("event_id") % 4 == 1, "consumed").otherwise("delivered")
+    rows = table(spark, d, "events").select(F.col("event_id").alias("signal_id"), F.col("user_id").alias("run_id"), F.col("event_type").alias("name"), F.col("ts").alias("at"), state_.alias("state"))
+    return history.kept_consumed(rows).select("signal_id", "run_id", "name", "state")
+
+
+@query(f"{_HISTORY} SELECT run_id, CASE WHEN lease_owner = 'w2' OR lease_until < {_NOW} THEN 'w2' ELSE lease_owner END AS lease_owner, CASE WHEN lease_owner = 'w2' OR lease_until < {_NOW} THEN {_NOW} + INTERVAL 60 SECOND ELSE lease_until END AS lease_until FROM runs WHERE status = 'running'")
+def hist_lease_claim(spark, d):
+    return history.claimed_leases(_history(spark, d)[0], "w2", _now(), 60)
+
+
+@query("SELECT DISTINCT l_partkey, l_suppkey FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM lineitem m WHERE m.l_returnflag = 'R' AND m.l_partkey = l.l_partkey AND m.l_suppkey = l.l_suppkey)")
+def ledger_reserve(spark, d):
+    rows = table(spark, d, "lineitem").select("l_partkey", "l_suppkey", "l_returnflag")
+    return history.reserved_calls(rows.select("l_partkey", "l_suppkey"), rows.where("l_returnflag = 'R'").select("l_partkey", "l_suppkey"), ("l_partkey", "l_suppkey"))
+
+
+@query(f"{_HISTORY} SELECT run_id, stage_no, started_at FROM stages JOIN runs USING (run_id) WHERE state = 'O' AND status IN ('pending', 'running') ORDER BY started_at, run_id * 10 + stage_no LIMIT 20")
+def ledger_submitted(spark, d):
+    runs, _, stages = _history(spark, d)
+    calls = stages.select("run_id", "stage_no", "started_at", F.col("started_at").alias("at"), (F.col("run_id") * 10 + F.col("stage_no")).alias("call_id"), F.when(F.col("state") == "O", "submitted").otherwise("settled").alias("state"))
+    return history.submitted_calls(calls, runs, 20).select("run_id", "stage_no", "started_at")
+
+
+@query("SELECT l_orderkey AS run_id, count(*)::BIGINT AS calls FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_returnflag) = 1 AND count(DISTINCT l_linestatus) = 1 AND count(*) > 1")
+def ledger_fusable(spark, d):
+    return history.fusable(table(spark, d, "lineitem").select(F.col("l_orderkey").alias("run_id"), F.col("l_returnflag").alias("authority"), F.col("l_linestatus").alias("strategy")))
+
+
+@query("SELECT p_name, count(DISTINCT p_brand)::BIGINT AS forms FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) > 1")
+def audit_template_conflicts(spark, d):
+    return history.conflicting_templates(table(spark, d, "part"), "p_name", "p_brand")
+
+
+@query("WITH p AS (SELECT c_custkey AS node, c_nationkey % 3 + 1 AS least, c_nationkey % 3 + 12 AS most FROM customer), n AS (SELECT o_custkey AS node, count(*) AS n FROM orders GROUP BY 1) SELECT node, 'in' AS port, coalesce(n, 0)::BIGINT AS n FROM p LEFT JOIN n USING (node) WHERE coalesce(n, 0) NOT BETWEEN least AND most")
+def flow_port_cardinality(spark, d):
+    ports = table(spark, d, "customer").select(F.col("c_custkey").alias("node"), F.lit("in").alias("port"), (F.col("c_nationkey") % 3 + 1).alias("least"), (F.col("c_nationkey") % 3 + 12).alias("most"))
+    return history.port_faults(table(spark, d, "orders").select(F.col("o_custkey").alias("node"), F.lit("in").alias("port")), ports)
+
+
+@query("SELECT p_name, arg_min(p_partkey, p_partkey) AS p_partkey FROM part GROUP BY 1")
+def audit_first_wins(spark, d):
+    return history.first_wins(table(spark, d, "part"), "p_name", "p_partkey").select("p_name", "p_partkey")
+
+
+@query("SELECT '| case | verdict |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || n_name || ' | ' || CASE WHEN n_regionkey > 0 THEN 'pass' ELSE 'fail' END || ' |', chr(10) ORDER BY n_name) AS \"table\", count(*)::BIGINT AS cases, count(*) FILTER (n_regionkey = 0)::BIGINT AS failed, (count(*) FILTER (n_regionkey = 0) > 0)::INT::BIGINT AS exit_code FROM nation")
+def hist_report(spark, d):
+    return history.report(table(spark, d, "nation").withColumn("ok", F.col("n_regionkey") > 0), "n_name", "ok")
