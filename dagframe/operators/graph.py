@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from dagframe.sources.tables import written
 
 EDGE = ["graph_id", "src", "dst"]
+EDGES_EVERY = 8
 
 
 def path(vertices: DataFrame, order: str = "id") -> DataFrame:
@@ -105,17 +106,23 @@ def bfs_distance(edges: DataFrame, roots: DataFrame, most: int | None = None) ->
 
 
 def levels(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    """(graph_id, id, level): longest path from a source, sources 1; vertices on or behind a cycle have none."""
-    left, between = vertices.select("graph_id", "id").distinct(), edges
-    out, level = None, 0
+    """(graph_id, id, level): longest path from a source, sources 1; vertices on or behind a cycle have none.
+
+    A level is one join of the edges with the vertices still open, and one table; every EDGES_EVERY levels the edges whose source
+    is done are left behind as well, so that a deep graph's edges are not read over and over."""
+    now = written(vertices.select("graph_id", "id", F.lit(None).cast("int").alias("level")).distinct(), "levels")
+    between, level = edges, 0
     while True:
         level += 1
-        front = written(sources(left, between).withColumn("level", F.lit(level)), "levels")
-        if front.isEmpty():
-            return out if out is not None else front
-        out = front if out is None else out.unionByName(front)
-        left = written(left.join(front, ["graph_id", "id"], "left_anti"), "levels-left")
-        between = written(between.join(front.select("graph_id", F.col("id").alias("src")), ["graph_id", "src"], "left_anti").select(*EDGE), "levels-edges")
+        open_ = now.where("level is null")
+        held = between.join(open_.select("graph_id", F.col("id").alias("src")), ["graph_id", "src"]).select("graph_id", F.col("dst").alias("id"), F.lit(True).alias("held")).distinct()
+        free = F.col("level").isNull() & F.col("held").isNull()
+        now = written(now.join(held, ["graph_id", "id"], "left").select("graph_id", "id", F.when(free, level).otherwise(F.col("level")).alias("level")), "levels")
+        if now.where(F.col("level") == level).isEmpty():
+            return now.where("level is not null")
+        if level % EDGES_EVERY == 0:
+            left = now.where("level is null").select("graph_id", F.col("id").alias("src"))
+            between = written(between.join(left, ["graph_id", "src"], "left_semi").select(*EDGE), "levels-edges")
 
 
 def cyclic_graphs(vertices: DataFrame, edges: DataFrame) -> DataFrame:
