@@ -29,6 +29,8 @@ BITS = 20
 #: Bound of the labelled rows that training reads.
 SAMPLE = 4000
 EPOCHS = 4
+#: Bytes of text whose n-grams are held at once.
+RUN = 1 << 20
 #: What the shares of one kind of n-gram add up to; shapes are few, so they weigh more.
 WORD_MASS, SHAPE_MASS = 2.0, 8.0
 
@@ -116,7 +118,7 @@ def fitted(rows: Iterator[tuple[np.ndarray, np.ndarray, float]], epochs: int = E
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
     for batch in batches:
         labels = batch.column(1).to_pylist()
-        for first, last in runs(batch.column(0)):
+        for first, last in runs(batch.column(0), RUN):
             own, at, value = features(batch.column(0).slice(first, last - first))
             key, where = np.unique(own << BITS | at, return_inverse=True)
             total = np.bincount(where, value, len(key))
@@ -142,7 +144,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def scores(column: pa.Array, weights: np.ndarray) -> np.ndarray:
     out = np.full(len(column), float(weights[-1]))
-    for first, last in runs(column):
+    for first, last in runs(column, RUN):
         own, at, value = features(column.slice(first, last - first))
         out[first:last] += np.bincount(own, weights[at] * value, last - first)
     return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
