@@ -35,10 +35,14 @@ def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode_outer(F.array(value)).alias(name))
 
 
+def _worded(lines: DataFrame) -> DataFrame:
+    """`words` for `line`, without lines of fewer than SIZE."""
+    return _once(lines, "words", F.array_remove(F.split(F.lower("line"), BLANK), "")).drop("line").where(F.size("words") >= SIZE)
+
+
 def _shingled(lines: DataFrame) -> DataFrame:
     """Adds `tokens`, the distinct shingle hashes of `line`, and drops lines that have none."""
-    words = F.array_remove(F.split(F.lower("line"), BLANK), "")
-    worded = _once(lines, "words", words).drop("line").where(F.size("words") >= SIZE)
+    worded = _worded(lines)
     at = ", ".join(f"words[i + {k}]" for k in range(SIZE))
     return _once(worded, "tokens", F.array_distinct(F.expr(f"transform(sequence(0, size(words) - {SIZE}), i -> xxhash64({at}))"))).drop("words")
 
@@ -84,7 +88,10 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     doc, text = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), F.col(text_col)
     given = docs.select(id_col, text_col)
     slot = f"cast(shiftrightunsigned(t, {64 - SLOT_BITS}) as int)"
-    counts = _shingled(_lines(given, text, doc)).select(F.explode_outer("tokens").alias("t")).groupBy(F.expr(slot).alias("slot")).agg(F.count("*").alias("n"))
+    # counted row by row, which Spark compiles, as no line's tokens must come together
+    at = ", ".join(f"words[i + {k}]" for k in range(SIZE))
+    every = _worded(_lines(given, text, doc)).select("words", F.explode_outer(F.expr(f"sequence(0, size(words) - {SIZE})")).alias("i")).select(F.expr(f"xxhash64({at})").alias("t"))
+    counts = every.groupBy(F.expr(slot).alias("slot")).agg(F.count("*").alias("n"))
     counts = stored(counts, "rarity")  # 2**SLOT_BITS rows at most
     every = docs.sparkSession.range(0, 1 << SLOT_BITS, 1, 1).select(F.col("id").cast("int").alias("slot"))
     rare = every.join(F.broadcast(counts), "slot", "left").agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", F.least(F.lit(127), F.floor(8 * F.log2(F.coalesce("n", F.lit(0)) + 1))).cast("long").alias("r")))), lambda x: x["r"]))
@@ -94,6 +101,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     in_order = F.expr(f"sort_array(transform(tokens, t -> shiftleft(rare[{slot}], 56) | (t & 72057594037927935L)))")
     ordered = _once(sets, "ordered", in_order).select("doc", "at", F.size("tokens").alias("n"), F.col("ordered").alias("tokens"))
     ordered = ordered.select("doc", "at", "n", F.xxhash64("tokens").alias("cls"), F.expr("slice(tokens, 1, n - cast(ceil(3 * n / 4) as int) + 1)").alias("prefix"))
+    ordered = stored(ordered, "lines")
     # One row a class: the earliest line, and the prefix, which is the same in all.
     classes = stored(ordered.groupBy("cls").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("lines"), F.min(F.struct("n", "prefix")).alias("held")), "classes")
     entry = classes.select("cls", "first", F.col("held.n").alias("n"), F.posexplode("held.prefix").alias("place", "token"))
@@ -117,7 +125,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     known = ordered.select("cls", "doc", "at").where(_set(_bits(state, "cls"), F.col("cls")))
     lost = known.join(state, "cls").where(F.expr("goes or struct(doc, at) > first"))
     out = stored(lost.groupBy("doc").agg(F.collect_set("at").alias("gone")), "lost")
-    released(classes, entries, shared, state)
+    released(ordered, classes, entries, shared, state)
     return out
 
 
