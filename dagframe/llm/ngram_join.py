@@ -6,7 +6,7 @@ from the start. Each set's shingles are ordered by rarity, and those of its pref
 Entries carry their place, so that a block of an index list whose places leave too little of either set is skipped.
 
 Answers are derived along relations instead of being computed pair by pair. A class that is verified against the leader of
-its list (its smallest set) takes over the leader's component; from then on a list whose members stand in one component
+its lists (the leader it shares most entries with) takes over the leader's component; from then on a list whose members stand in one component
 holds no question and is skipped whole, which takes two combinable aggregates and no pairs. Lists with several
 components go through another round with other leaders, and the members still apart are compared across components.
 So a group of near copies costs as many comparisons as it has members, and every link between components is found.
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dagframe.llm.components import components
-from dagframe.llm.shared import stored
+from dagframe.llm.shared import released, stored
 from dagframe.llm.wordbytes import U64, Words, distinct_by_text, mixed, runs, shingles
 
 #: Slots of the rarity table and of the filters that keep rows out of shuffles; both cost time only where they collide.
@@ -120,43 +120,78 @@ def _marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[(slot >> U64(3)).astype(np.int64)] >> (U64(7) - (slot & U64(7))).astype(np.uint8)) & 1 == 1
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of pairs (a, b) of classes, those with 100 * intersection >= 75 * union."""
-    context = texts.sparkSession.sparkContext
-    pairs = stored(pairs, "pairs")
-    wanted = context.broadcast(_bits(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "cls"))
+def _joined(pairs: DataFrame, held: DataFrame, step) -> DataFrame:
+    """The pairs that `step` keeps, given both classes' rows of `held` (cls, held) as binary."""
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                keep = [step(np.frombuffer(x, U64), np.frombuffer(y, U64)) for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
+                yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    full = pairs.join(held.select(F.col("cls").alias("a"), F.col("held").alias("x")), "a").join(held.select(F.col("cls").alias("b"), F.col("held").alias("y")), "b")
+    return stored(full.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "pairs")
+
+
+def _same(x: np.ndarray, y: np.ndarray) -> int:
+    place = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    return int((y[place] == x).sum())
+
+
+def _may_link(x: np.ndarray, y: np.ndarray) -> bool:
+    """By prefixes, each after its set's size: what they share and all that stands behind the one that ends first."""
+    m, n, x, y = int(x[0]), int(y[0]), x[1:], y[1:]
+    behind = m - len(x) if x[-1] <= y[-1] else n - len(y)
+    return 7 * (_same(x, y) + behind) >= 3 * (m + n)
+
+
+def _link(x: np.ndarray, y: np.ndarray) -> bool:
+    same = _same(x, y)
+    return 100 * same >= 75 * (len(x) + len(y) - same)
+
+
+def _fetched(rows: DataFrame, pairs: DataFrame, of) -> DataFrame:
+    """(cls, held) of the pairs' classes; `of` makes classes and a function for the rest from a batch of `rows`."""
+    wanted = rows.sparkSession.sparkContext.broadcast(_bits(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "cls"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()  # classes of this task's rows
         for batch in batches:
-            for first, last in runs(batch.column(0)):
-                h, n, cls = _sets(batch.column(0).slice(first, last - first))
-                edge = np.concatenate([[0], np.cumsum(n)])
+            for cls, held in of(batch):
                 new = []
-                for k in np.flatnonzero(_marked(wanted.value, cls) & (n > 0)).tolist():
+                for k in np.flatnonzero(_marked(wanted.value, cls)).tolist():
                     if int(cls[k]) not in sent:
                         sent.add(int(cls[k]))
                         new.append(k)
                 if new:
-                    yield pa.RecordBatch.from_arrays([pa.array(cls[new]), pa.array([h[edge[k] : edge[k + 1]].tobytes() for k in new], pa.binary())], ["cls", "held"])
+                    yield pa.RecordBatch.from_arrays([pa.array(cls[new]), pa.array([held(k) for k in new], pa.binary())], ["cls", "held"])
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                keep = []
-                for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
-                    x, y = np.frombuffer(x, U64), np.frombuffer(y, U64)
-                    place = np.searchsorted(y, x)
-                    same = int((y[np.minimum(place, len(y) - 1)] == x).sum())
-                    keep.append(100 * same >= 75 * (len(x) + len(y) - same))
-                yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    return stored(rows.mapInArrow(fetch, "cls long, held binary").dropDuplicates(["cls"]), "fetched")
 
-    held = texts.mapInArrow(fetch, "cls long, held binary")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    held = stored(held.join(needed, "cls", "left_semi").dropDuplicates(["cls"]), "sets")
-    full = pairs.join(held.select(F.col("cls").alias("a"), F.col("held").alias("x")), "a").join(held.select(F.col("cls").alias("b"), F.col("held").alias("y")), "b")
-    return stored(full.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "found")
+
+def _whole_sets(batch: pa.RecordBatch):
+    for first, last in runs(batch.column(0)):
+        h, n, cls = _sets(batch.column(0).slice(first, last - first))
+        edge = np.concatenate([[0], np.cumsum(n)])
+        yield cls, lambda k, h=h, edge=edge: h[edge[k] : edge[k + 1]].tobytes()
+
+
+def _kept_prefixes(batch: pa.RecordBatch):
+    cls, n, lists = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(U64), batch.column(2)
+    edge, token = lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten().to_numpy().view(U64)
+    yield cls, lambda k: n[k : k + 1].tobytes() + token[edge[k] : edge[k + 1]].tobytes()
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
+    """Of pairs (a, b) of classes, those with 100 * intersection >= 75 * union. Prefixes rule most others out; whole sets are
+    made again, from the texts, for the classes of those that are left."""
+    pairs = stored(pairs, "pairs")
+    prefixes = _fetched(sets.where("n > 0").select("cls", "n", "prefix"), pairs, _kept_prefixes)
+    likely = _joined(pairs, prefixes, _may_link)
+    whole = _fetched(texts, likely, _whole_sets)
+    links = _joined(likely, whole, _link)
+    released(pairs, prefixes, likely, whole)
+    return links
 
 
 def _open_lists(entries: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -209,7 +244,11 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             # the smallest set leads first, later any one
             order = F.struct("n", "cls", "root") if turn == 0 else F.struct(F.xxhash64("cls", F.lit(turn)).alias("h"), "cls", "root", "n")
             lead = lists.groupBy("token").agg(F.min(order).alias("lead")).select("token", F.col("lead.cls").alias("a"), F.col("lead.n").alias("m"), F.col("lead.root").alias("lead_root"))
-            pairs = lists.join(lead, "token").where("root <> lead_root").where(f"{_long_enough('n', 'm')} and {_long_enough('m', 'n')}").select(F.least("a", "cls").alias("a"), F.greatest("a", "cls").alias("b"))
+            led = lists.join(lead, "token").where("root <> lead_root").where(f"{_long_enough('n', 'm')} and {_long_enough('m', 'n')}")
+            # each class asks the one leader that it shares most entries with
+            shared = led.groupBy("cls", "a").agg(F.count("*").alias("k"))
+            asked = shared.groupBy("cls").agg(F.max(F.struct("k", "a")).alias("best"))
+            pairs = asked.select(F.least("best.a", "cls").alias("a"), F.greatest("best.a", "cls").alias("b"))
         else:
             x, y = lists.alias("x"), lists.alias("y")
             least = "least(x.n - x.place, y.n - y.place)"
@@ -217,7 +256,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 x.join(y, F.expr(f"x.token = y.token and x.root < y.root and {_long_enough('x.n', 'y.n')} and {_long_enough('y.n', 'x.n')} and 7 * {least} >= 3 * (x.n + y.n)"))
                 .select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"))
             )
-        links = _verified(pairs.distinct(), texts)
+        links = _verified(pairs.distinct(), sets, texts)
         found = links if found is None else stored(found.unionAll(links), "links")
         roots = components(found)
 
@@ -225,3 +264,12 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = stored(rows, "rows")
     least = rows.where("n > 0").groupBy("root").agg(F.min("id").alias("least"))
     return rows.join(least, "root", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The document with the smallest id of each component; of rows that agree in id and text, one."""
+    found = near_copies(docs, id_col, text_col)
+    kept = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_kept")).distinct()
+    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    row = row.select("row", F.col("row")[id_col].alias("id"), F.xxhash64(F.col("row")[text_col]).alias("same"))
+    return row.join(kept, F.col("id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["id", "same"]).select("row.*")
