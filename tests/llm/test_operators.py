@@ -169,6 +169,31 @@ def test_embeddings(spark):
     assert embedding_dups.near_copies(empty(df)).count() == 0
 
 
+def crowd(n, cosine, planted):
+    """Vectors of one dense region, no two of them linked, and a copy at cosine 0.955 of the first ones."""
+    r = np.random.default_rng(7)
+    middle = r.normal(size=64)
+    middle /= np.linalg.norm(middle)
+    aside = r.normal(size=(n, 64))
+    aside -= np.outer(aside @ middle, middle)
+    v = math.sqrt(cosine) * middle + math.sqrt(1 - cosine) * aside / np.linalg.norm(aside, axis=1)[:, None]
+    off = r.normal(size=(planted, 64))
+    off -= (off * v[:planted]).sum(1)[:, None] * v[:planted]
+    return np.concatenate([v, 0.955 * v[:planted] + math.sqrt(1 - 0.955**2) * off / np.linalg.norm(off, axis=1)[:, None]])
+
+
+@pytest.mark.parametrize("block, row_cost", [(1024, 3000), (128, 1)])
+def test_embeddings_of_a_crowded_region(spark, monkeypatch, block, row_cost):
+    monkeypatch.setattr(embedding_dups, "BLOCK", block)
+    monkeypatch.setattr(embedding_dups, "ROW_COST", row_cost, raising=False)  # at 1, codes of several signs and many passes
+    v = crowd(3000, 0.8, 200)
+    expected = (v @ v.T >= 0.95).sum(1) - 1
+    df = spark.createDataFrame(list(enumerate(v.tolist())), "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in embedding_dups.near_copies(df).collect()}
+    found = sum(got[k] for k in range(len(v))) / expected.sum()
+    assert expected.sum() >= 400 and found >= 0.97 and all(got[k] <= expected[k] for k in got)
+
+
 def test_near_copies(spark):
     docs = documents(spark)
     got = {(x.doc_id, x.n_shingles): x.component_id for x in ngram_join.near_copies(docs).collect()}
