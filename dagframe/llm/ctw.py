@@ -9,9 +9,10 @@ The score of a text is the log10 of the product of all its predictions; the mode
 
 Counts come from all training texts: runs of DEPTH + 1 bytes are counted in each task, summed over all tasks, and turned
 into nodes in groups that share the two latest bytes, where all deeper nodes of a subtree meet; the two upper levels are
-dense. A gram seen less often than the smallest count that leaves at most `grams` grams gives no node of full depth; its
-counts stay in the nodes above it and in its parent's share of data without a child. So the model that
-workers hold has a bound (`grams` times 8 nodes a level at most), whatever the corpus.
+dense. Every gram gives nodes of full depth, however seldom it was seen. Grams of texts to be scored are dealt into the same groups
+(with a count of 0 if no training text has them), where their predictions are mixed as far up as the group's nodes go; the
+upper levels finish them into a table of all grams' chances. Workers hold the chances of the most frequent grams (at most
+`grams`) as a cache; every other gram of a text finds its chance in a join.
 
 Beside it stands a base score: add-one unigram word probabilities with exact counts over all training texts. Counts of the
 most frequent words (at most `frequent`) are sent to the workers; every other word of a text finds its count in a join.
@@ -26,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -165,12 +167,11 @@ class Places:
 
 
 class Tree:
-    """The frozen model: for each level its nodes' stop weights (in 255ths) and estimates, and the chances of frequent grams."""
+    """The frozen model in one piece: for each level its nodes' stop weights (in 255ths) and estimates."""
 
     def __init__(self, depth: int):
         self.depth = depth
         self.tables: list[tuple[Places, np.ndarray, np.ndarray]] = []
-        self.known: tuple[Places, np.ndarray] | None = None
 
     def add(self, keys: np.ndarray, stop: np.ndarray, one: np.ndarray) -> None:
         """The next level, from depth 0 on."""
@@ -178,24 +179,8 @@ class Tree:
         self.tables.append((places, np.append(np.rint(stop * 255)[places.order], 255).astype(np.uint8), np.append(one[places.order], 0.5).astype(np.float32)))
         places.order = None
 
-    def remember(self, grams: np.ndarray) -> None:
-        """Works the grams' chances out now."""
-        places, chance = Places(grams), self.walked(grams)
-        self.known = places, np.append(chance[places.order], 0).astype(np.float32)
-        places.order = None
-
-    def log10(self, grams: np.ndarray) -> np.ndarray:
-        """log10 of the probability of each gram's byte after the bytes before it."""
-        at, there = self.known[0].find(grams)
-        out = self.known[1][at].astype(float)
-        rest = np.flatnonzero(~there)
-        if len(rest):
-            key, back = np.unique(grams[rest], return_inverse=True)
-            out[rest] = self.walked(key)[back]
-        return out
-
     def walked(self, grams: np.ndarray) -> np.ndarray:
-        """The same by the tree's nodes."""
+        """log10 of the probability of each gram's byte after the bytes before it."""
         total = np.zeros(len(grams))
         byte, context = grams & U64(255), grams >> U64(8)
         for j in range(8):
@@ -217,17 +202,36 @@ class Tree:
         return total
 
 
+def predicted(grams: np.ndarray, made: list[tuple], below: np.ndarray | None = None) -> np.ndarray:
+    """For each gram and bit of its byte the chance of a one at the last of some levels (deepest first, keys in order), given
+    `below`, that at the level under them; NaN is no node."""
+    out = np.full((len(grams), 8), np.nan) if below is None else below.astype(float)
+    byte, context = grams & U64(255), grams >> U64(8)
+    for j in range(8):
+        node = U64(1 << j) | byte >> U64(8 - j)
+        chance = out[:, j]
+        for d, keys, stop, one, *_ in made:
+            if len(keys):
+                wanted = (context & U64((1 << (8 * d)) - 1)) << U64(8) | node
+                at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+                mix = np.where(np.isnan(chance), one[at], stop[at] * one[at] + (1.0 - stop[at]) * chance)
+                chance = np.where(keys[at] == wanted, mix, chance)
+        out[:, j] = chance
+    return out
+
+
 def _counted(batches: Iterator[pa.RecordBatch], of) -> Iterator[pa.RecordBatch]:
-    """Sums of keys over a task, let go whenever there are many."""
+    """Sums of keys over a task, let go whenever there are many. Texts whose second column is false give keys and count for nothing."""
     keys, counts = np.zeros(0, U64), np.zeros(0, np.int64)
     for batch in batches:
-        column = batch.column(0)
-        for first, last in runs(column, RUN):
-            k, n = np.unique(of(column.slice(first, last - first)), return_counts=True)
-            keys, counts = _summed(np.concatenate([keys, k]), np.concatenate([counts, n]))
-            if len(keys) > 1_500_000:
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["key", "n"])
-                keys, counts = keys[:0], counts[:0]
+        parts = [(batch.column(0), 1)] if batch.num_columns == 1 else [(batch.column(0).filter(batch.column(1)), 1), (batch.column(0).filter(pc.invert(batch.column(1))), 0)]
+        for column, weight in parts:
+            for first, last in runs(column, RUN):
+                k, n = np.unique(of(column.slice(first, last - first)), return_counts=True)
+                keys, counts = _summed(np.concatenate([keys, k]), np.concatenate([counts, n * weight]))
+                if len(keys) > 1_500_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], ["key", "n"])
+                    keys, counts = keys[:0], counts[:0]
     if len(keys):
         for k in range(0, len(keys), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(keys[k : k + 100_000].view(np.int64)), pa.array(counts[k : k + 100_000])], ["key", "n"])
@@ -245,42 +249,62 @@ def _least(counts: DataFrame, most: int) -> int:
     return int(sizes["n"][fits[-1]]) if len(fits) else (1 << 20) + 1
 
 
-def train(texts: DataFrame, text_col: str = "text", depth: int = DEPTH, grams: int = GRAMS) -> Tree:
-    """The tree of all texts."""
+def chances(texts: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(key, n, chance) of every gram of the texts (text, learns): how often training texts have it, and log10 of the probability of
+    its byte after the bytes before it, by the tree of all training texts."""
     def of(column: pa.Array) -> np.ndarray:
         return grams_of(*stream(Words(column, lower=True)), depth)
 
-    counts = _counts(texts.select(text_col), of, "ctw-grams")
-    least = _least(counts, grams)
+    counts = _counts(texts, of, "ctw-grams")
 
     def build(table: pa.Table) -> pa.Table:
         keys, n = table.column("key").to_numpy().view(U64), table.column("n").to_numpy()
-        out = []
-        for d, node, stop, one, a, b, log in levels(keys, n, depth, 2, least):
-            # the deepest levels are kept where they were seen often enough, the others always within the bound
-            keep = a + b >= (least if d > 2 else 1)
-            sums = {"a": a[keep], "b": b[keep], "log": log[keep]} if d == 2 else {c: pa.nulls(keep.sum(), t) for c, t in (("a", pa.int64()), ("b", pa.int64()), ("log", pa.float64()))}
-            out.append(pa.table({"d": np.full(keep.sum(), d, np.int32), "key": node[keep].view(np.int64), "stop": stop[keep].astype(np.float32), "one": one[keep].astype(np.float32)} | sums))
-        return pa.concat_tables(out)
-
-    schema = "d int, key long, stop float, one float, a long, b long, log double"
+        order = np.argsort(keys)
+        keys, n = keys[order], n[order]
+        made = levels(keys[n > 0], n[n > 0], depth, 2, 1)
+        mixes = predicted(keys, made).astype(np.float32)
+        _, node, _, _, a, b, log = made[-1]
+        first, a, b, log = _summed(node & U64(65535), a, b, log) if len(node) else (node, a, b, log)
+        near = {"key": first.view(np.int64), "n": pa.nulls(len(first), pa.int64()), "mix": pa.nulls(len(first), pa.binary()), "a": a.astype(np.int64), "b": b.astype(np.int64), "log": log.astype(float)}
+        size = mixes.shape[1] * 4
+        held = pa.Array.from_buffers(pa.binary(), len(keys), [None, pa.py_buffer(np.arange(len(keys) + 1, dtype=np.int32) * np.int32(size)), pa.py_buffer(mixes.tobytes())])
+        far = {"key": keys.view(np.int64), "n": n, "mix": held, "a": pa.nulls(len(keys), pa.int64()), "b": pa.nulls(len(keys), pa.int64()), "log": pa.nulls(len(keys), pa.float64())}
+        return pa.concat_tables([pa.table(near), pa.table(far)])
+
+    schema = "key long, n long, mix binary, a long, b long, log double"
     nodes = stored(counts.withColumn("near", F.expr(f"pmod(xxhash64(shiftright(key, 8) & 65535), {GROUPS})")).groupBy("near").applyInArrow(build, schema), "ctw-nodes")
-    second = nodes.where("d = 2").groupBy(F.expr("key & 65535").alias("key")).agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("log").alias("log")).toArrow()  # at most 2**16 rows
-    tree = Tree(depth)
+    second = nodes.where("mix is null").groupBy("key").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("log").alias("log")).toArrow()  # at most 2**16 rows
     keys, a, b, log = (second.column(c).to_numpy() for c in ("key", "a", "b", "log"))
     order = np.argsort(keys)
     keys, a, b, log = keys[order].astype(U64), a[order], b[order], log[order]
     stop1, log1 = weighed(a, b, a, b, log)
     root, a0, b0, child = _summed(keys & U64(255), a, b, log1)
     stop0, _ = weighed(a0, b0, a0, b0, child)
-    tree.add(root, stop0, (b0 + 0.5) / (a0 + b0 + 1.0))
-    tree.add(keys, stop1, (b + 0.5) / (a + b + 1.0))
-    for d in range(2, depth + 1):
-        level = nodes.where(F.col("d") == d).select("key", "stop", "one").toArrow()
-        tree.add(level.column("key").to_numpy().view(U64), level.column("stop").to_numpy(), level.column("one").to_numpy())
-    tree.remember(counts.where(F.col("n") >= least).select("key").toArrow().column("key").to_numpy().view(U64))  # at most `grams`
+    upper = [(1, keys, stop1, (b + 0.5) / (a + b + 1.0)), (0, root, stop0, (b0 + 0.5) / (a0 + b0 + 1.0))]
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams = batch.column(0).to_numpy().view(U64)
+            one = predicted(grams, upper, np.frombuffer(b"".join(batch.column(2).to_pylist()), np.float32).reshape(-1, 8))
+            one = np.where(np.isnan(one), 0.5, one)
+            bits = (grams[:, None] >> np.arange(7, -1, -1, dtype=U64)) & U64(1) == 1
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.log10(np.where(bits, one, 1 - one)).sum(1))], ["key", "n", "chance"])
+
+    out = stored(nodes.where("mix is not null").select("key", "n", "mix").mapInArrow(finish, "key long, n long, chance double"), "ctw-chances")
     released(counts, nodes)
-    return tree
+    return out
+
+
+def _of_each(keys: np.ndarray, own: np.ndarray, rows: int) -> pa.ListArray:
+    """Keys that are to be joined, once for each text (`own`) with their number."""
+    order = np.lexsort((keys, own))
+    keys, own = keys[order], own[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (own[1:] != own[:-1])
+    begin = np.flatnonzero(new)
+    times = np.diff(np.append(begin, len(keys)))
+    edges = np.searchsorted(own[begin], np.arange(rows + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(edges), pa.StructArray.from_arrays([pa.array(keys[begin].view(np.int64)), pa.array(times)], ["key", "times"]))
 
 
 def score(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, grams: int = GRAMS, frequent: int = FREQUENT) -> DataFrame:
@@ -288,7 +312,12 @@ def score(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
     given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(learns, F.lit(False)).alias("learns"))
     texts = given.where("learns").select("text")
-    tree = train(texts, "text", depth, grams)
+    table = chances(given.select("text", "learns"), depth)
+    seen = max(1, _least(table.where("n > 0"), grams))
+    cache = table.where(F.col("n") >= seen).toArrow()  # at most `grams` rows
+    places = Places(cache.column("key").to_numpy().view(U64))
+    cached = np.append(cache.column("chance").to_numpy()[places.order], 0)
+    places.order = None
 
     def tokens(column: pa.Array) -> np.ndarray:
         words = Words(column, lower=True)
@@ -300,17 +329,21 @@ def score(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str
     often = vocabulary.where(F.col("n") >= least).toArrow()  # at most `frequent` rows
     words, n = often.column("key").to_numpy().view(U64), often.column("n").to_numpy()
     order = np.argsort(words)
-    shared = spark.sparkContext.broadcast((tree, np.append(words[order], U64((1 << 64) - 1)), np.append(n[order], 0)))
+    shared = spark.sparkContext.broadcast((places, cached, np.append(words[order], U64((1 << 64) - 1)), np.append(n[order], 0)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, known, count = shared.value
+        places, cached, known, count = shared.value
         for batch in batches:
             column = batch.column(1)
             for first, last in runs(column):
                 rows = last - first
                 words = Words(column.slice(first, rows), lower=True)
                 flow, begins = stream(words)
-                chance = np.add.reduceat(tree.log10(grams_of(flow, begins, tree.depth)), begins[:-1])
+                gram = grams_of(flow, begins, depth)
+                at, there = places.find(gram)
+                chance = np.add.reduceat(np.where(there, cached[at], 0.0), begins[:-1])
+                far = np.flatnonzero(~there)
+                seldom = _of_each(gram[far], np.searchsorted(begins, far, "right") - 1, rows)
                 h = np.concatenate([words.hashes(), np.repeat(END_WORD, rows)])
                 own = np.concatenate([words.text, np.arange(rows)])
                 word, back = np.unique(h, return_inverse=True)
@@ -318,33 +351,26 @@ def score(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str
                 c = np.where(known[at] == word, count[at], 0).astype(float)
                 there = (c > 0)[back]
                 base = np.bincount(own, np.log10(c + 1.0)[back], rows)
-                # Words that aren't among the frequent ones, once for each text with their number.
                 rest = np.flatnonzero(~there)
-                order = np.lexsort((h[rest], own[rest]))
-                rest = rest[order]
-                new = np.ones(len(rest), bool)
-                new[1:] = (h[rest][1:] != h[rest][:-1]) | (own[rest][1:] != own[rest][:-1])
-                begin = np.flatnonzero(new)
-                times = np.diff(np.append(begin, len(rest)))
-                edges = np.searchsorted(own[rest][begin], np.arange(rows + 1)).astype(np.int32)
-                pairs = pa.StructArray.from_arrays([pa.array(h[rest][begin].view(np.int64)), pa.array(times)], ["key", "times"])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, rows), pa.array(batch.column(2).slice(first, rows)), pa.array(words.counts + 1), pa.array(np.bincount(own, there, rows).astype(np.int64)),
-                     pa.array(base), pa.array(chance), pa.ListArray.from_arrays(pa.array(edges), pairs)],
-                    ["id", "learns", "n_tokens", "n_known", "base", "score", "rest"],
+                     pa.array(base), pa.array(chance), _of_each(h[rest], own[rest], rows), seldom],
+                    ["id", "learns", "n_tokens", "n_known", "base", "score", "rest", "seldom"],
                 )
 
-    schema = f"id {dict(given.dtypes)['id']}, learns boolean, n_tokens long, n_known long, base double, score double, rest array<struct<key:long,times:long>>"
+    schema = f"id {dict(given.dtypes)['id']}, learns boolean, n_tokens long, n_known long, base double, score double, rest array<struct<key:long,times:long>>, seldom array<struct<key:long,times:long>>"
     scored = stored(given.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "lm-scored")
     rare = scored.select("row", F.explode("rest").alias("w")).select("row", "w.key", "w.times")
     found = rare.join(vocabulary.where(F.col("n") < least), "key").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("add"))
+    apart = scored.select("row", F.explode("seldom").alias("g")).select("row", "g.key", "g.times")
+    deep = apart.join(table.where(F.col("n") < seen), "key").groupBy("row").agg(F.sum(F.col("times") * F.col("chance")).alias("deep"))
     size = float(np.log10(total[0] + total[1] + 1.0))
-    return scored.drop("rest").join(found, "row", "left").select(
+    return scored.drop("rest", "seldom").join(found, "row", "left").join(deep, "row", "left").select(
         F.col("id").alias(id_col),
         (~F.col("learns")).alias("held_out"),
         "n_tokens",
         (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(int(total[0])).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("add", F.lit(0.0)) - F.col("n_tokens") * F.lit(size)).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("deep", F.lit(0.0))).alias("score"),
     )

@@ -138,6 +138,34 @@ def test_language_model(spark):
     assert ctw.score(empty(docs), learns).count() == 0
 
 
+def test_language_model_keeps_every_node(spark):
+    docs = documents(spark).where("doc_id is not null")
+    learns = quality.remainder("doc_id", 7) != 2
+    kept = [r.text for r in docs.where(learns).collect()]
+    grams, n = np.unique(ctw.grams_of(*ctw.stream(wordbytes.Words(pa.array(kept), lower=True)), 5), return_counts=True)
+    nodes = {(d, k): (s, o) for d, keys, stop, one, *_ in ctw.levels(grams, n, 5, 0, 1) for k, s, o in zip(keys.tolist(), stop.tolist(), one.tolist(), strict=True)}
+
+    def log10(gram):
+        total = 0.0
+        for j in range(8):
+            node, chance = 1 << j | (gram & 255) >> (8 - j), None
+            for d in range(5, -1, -1):
+                found = nodes.get((d, ((gram >> 8) & ((1 << 8 * d) - 1)) << 8 | node))
+                if found:
+                    chance = found[1] if chance is None else found[0] * found[1] + (1 - found[0]) * chance
+            chance = 0.5 if chance is None else chance
+            total += math.log10(chance if gram >> (7 - j) & 1 else 1 - chance)
+        return total
+
+    whole = {}
+    for r in docs.collect():
+        own = Counter(ctw.grams_of(*ctw.stream(wordbytes.Words(pa.array([r.text], pa.string()), lower=True)), 5).tolist())
+        whole[r.doc_id] = sum(times * log10(gram) for gram, times in own.items())
+    for grams in (64, 1 << 19):  # what workers hold makes no difference
+        got = {r.doc_id: r.score for r in ctw.score(docs, learns, grams=grams).collect()}
+        assert got == pytest.approx(whole, rel=1e-4)
+
+
 def test_tree_predictions_sum_to_one():
     w = wordbytes.Words(pa.array([text(k, 50) for k in range(5)]))
     grams, n = np.unique(ctw.grams_of(*ctw.stream(w), 3), return_counts=True)
