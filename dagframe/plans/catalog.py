@@ -296,9 +296,10 @@ def graph_influence(spark, d):
 _CYCLIC = "c AS (SELECT * FROM e WHERE graph_id % 10 < 3 UNION SELECT graph_id, id, id - 2 FROM v WHERE graph_id % 10 < 3 AND id >= 2 AND id % 2 = 0 AND graph_id % 10 > 0)"
 
 
-def _with_cycles(spark, d):
+def _with_cycles(spark, d, every=False):
     v, e = conversation_graph(spark, d)
-    v, e = v.where("graph_id % 10 < 3"), e.where("graph_id % 10 < 3")
+    if not every:  # as far as the recursive SQL goes
+        v, e = v.where("graph_id % 10 < 3"), e.where("graph_id % 10 < 3")
     back = v.where("id >= 2 AND id % 2 = 0 AND graph_id % 10 > 0").select("graph_id", F.col("id").alias("src"), (F.col("id") - 2).alias("dst"))
     return v, graph.overlay(e, back)
 
@@ -313,6 +314,18 @@ def graph_cycle_detect(spark, d):
     return graph.cyclic_graphs(*_with_cycles(spark, d))
 
 
+@query()
+def ext_graph_scc(spark, d):
+    """graph_scc over every conversation."""
+    return graph.scc(*_with_cycles(spark, d, True))
+
+
+@query()
+def ext_graph_cycle_detect(spark, d):
+    """graph_cycle_detect over every conversation."""
+    return graph.cyclic_graphs(*_with_cycles(spark, d, True))
+
+
 @query(f"{_GRAPH} SELECT graph_id, id, 0::BIGINT AS root FROM v")
 def graph_weak_components(spark, d):
     """Conversations are chains with more edges, so that each is one component."""

@@ -46,6 +46,35 @@ def test_levels_leave_cycles_out(spark):
     assert graph.cyclic_graphs(v, e).first().unsorted == 3
 
 
+def test_cycles_of_every_conversation(spark):
+    from dagframe.plans.catalog import QUERIES
+    from dagframe.sources.tables import conversation_graph
+
+    folder = "/root/testdata/sf0.001"
+    v, e = conversation_graph(spark, folder)
+    following = {(r.graph_id, r.id): set() for r in v.collect()}
+    for r in e.collect():
+        following[r.graph_id, r.src].add(r.dst)
+    for g, i in following:
+        if i >= 2 and i % 2 == 0 and g % 10 > 0:
+            following[g, i].add(i - 2)
+    reach = {}
+    for g, i in following:
+        todo, seen = list(following[g, i]), set()
+        while todo:
+            k = todo.pop()
+            if k not in seen:
+                seen.add(k)
+                todo += following[g, k]
+        reach[g, i] = seen
+    scc = {(g, i): min([i, *(j for j in seen if i in reach[g, j])]) for (g, i), seen in reach.items()}
+    cyclic = {}
+    for g, i in {(g, i) for g, i in reach if i in reach[g, i]} | {(g, j) for (g, i), seen in reach.items() if i in seen for j in seen}:
+        cyclic[g] = cyclic.get(g, 0) + 1
+    assert {g % 10 for g, _ in scc} - {0, 1, 2} and {(r.graph_id, r.id): r.component for r in QUERIES["ext_graph_scc"](spark, folder).collect()} == scc
+    assert {r.graph_id: r.unsorted for r in QUERIES["ext_graph_cycle_detect"](spark, folder).collect()} == cyclic
+
+
 def test_bidirectional_bridge(spark):
     v, e = made(spark, [(1, 2), (3, 2)])
     assert [r.id for r in memory.walk(v, e, origin(spark, 1), "bidirectional").collect()] == [2]
