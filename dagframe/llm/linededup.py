@@ -12,7 +12,7 @@ its earliest class only, which settles groups of variants in as many comparisons
 are then compared with all earlier ones of their lists.
 
 Defined results: a null text has no lines and stays null; empty lines stay; rows that share an id share its place in the
-order, so that none of their lines is later than its like in the other; a null id comes first; a text that loses all its lines becomes
+order, so that none of their lines is later than its like in the other, and lose their own lines only; a null id comes first; a text that loses all its lines becomes
 empty; no rows give no rows; extra columns pass through unchanged.
 """
 
@@ -48,7 +48,8 @@ def _shingled(lines: DataFrame) -> DataFrame:
 
 
 def _lines(docs: DataFrame, text: Column, doc: Column) -> DataFrame:
-    return docs.select(doc.alias("doc"), F.posexplode_outer(F.split(text, "\n", -1)).alias("at", "line"))
+    """Lines by the id, the text's hash (which tells rows of one id apart) and their number."""
+    return _once(docs, "h", F.xxhash64(text)).select(doc.alias("doc"), "h", F.posexplode_outer(F.split(text, "\n", -1)).alias("at", "line"))
 
 
 def _bits(keys: DataFrame, key: str) -> DataFrame:
@@ -71,12 +72,17 @@ def _enough(x: str, y: str) -> str:
     return f"4 * {x} >= 3 * {y} and 4 * {y} >= 3 * {x}"
 
 
+def _before(x: str, y: str) -> str:
+    """Rows of one id have one place in the order."""
+    return f"struct({x}.doc, {x}.at) < struct({y}.doc, {y}.at)"
+
+
 def _matches(pairs: DataFrame, places: DataFrame, docs: DataFrame, text: Column, doc: Column) -> DataFrame:
     """Of pairs (a, b) of classes, the b of those that match. Token sets are made again for these classes' first lines only."""
     pairs = stored(pairs, "pairs")
-    needed = stored(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(places, "cls").select("cls", "doc", "at"), "needed")
+    needed = stored(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(places, "cls").select("cls", "doc", "h", "at"), "needed")
     some = _bits(needed.select("doc").distinct(), "doc")
-    lines = _lines(docs.where(_set(some, doc)), text, doc).join(needed, ["doc", "at"])
+    lines = _lines(docs.where(_set(some, doc)), text, doc).join(needed, ["doc", "h", "at"])
     sets = stored(_shingled(lines).select("cls", "tokens").dropDuplicates(["cls"]), "line-sets")
     x, y = sets.select(F.col("cls").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("cls").alias("b"), F.col("tokens").alias("y"))
     both = pairs.join(x, "a").join(y, "b").select("a", "b", F.size("x").alias("m"), F.size("y").alias("n"), F.size(F.array_intersect("x", "y")).alias("same"))
@@ -84,7 +90,7 @@ def _matches(pairs: DataFrame, places: DataFrame, docs: DataFrame, text: Column,
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, gone): of each id that loses lines (a null id is the least long), their numbers from 0."""
+    """(doc, h, gone): of each id (a null one is the least long) and hash of a text that loses lines, their numbers from 0."""
     doc, text = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), F.col(text_col)
     given = docs.select(id_col, text_col)
     slot = f"cast(shiftrightunsigned(t, {64 - SLOT_BITS}) as int)"
@@ -99,32 +105,32 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     sets = _shingled(_lines(given, text, doc)).withColumn("rare", rare.scalar())
     in_order = F.expr(f"sort_array(transform(tokens, t -> shiftleft(rare[{slot}], 56) | (t & 72057594037927935L)))")
-    ordered = _once(sets, "ordered", in_order).select("doc", "at", F.size("tokens").alias("n"), F.col("ordered").alias("tokens"))
-    ordered = ordered.select("doc", "at", "n", F.xxhash64("tokens").alias("cls"), F.expr("slice(tokens, 1, n - cast(ceil(3 * n / 4) as int) + 1)").alias("prefix"))
+    ordered = _once(sets, "ordered", in_order).select("doc", "h", "at", F.size("tokens").alias("n"), F.col("ordered").alias("tokens"))
+    ordered = ordered.select("doc", "h", "at", "n", F.xxhash64("tokens").alias("cls"), F.expr("slice(tokens, 1, n - cast(ceil(3 * n / 4) as int) + 1)").alias("prefix"))
     ordered = stored(ordered, "lines")
     # One row a class: the earliest line, and the prefix, which is the same in all.
-    classes = stored(ordered.groupBy("cls").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("lines"), F.min(F.struct("n", "prefix")).alias("held")), "classes")
+    classes = stored(ordered.groupBy("cls").agg(F.min(F.struct("doc", "at", "h")).alias("first"), F.count("*").alias("lines"), F.min(F.struct("n", "prefix")).alias("held")), "classes")
     entry = classes.select("cls", "first", F.col("held.n").alias("n"), F.posexplode("held.prefix").alias("place", "token"))
     shared = stored(entry.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token"), "tokens")
     some = _bits(shared, "token")
     entries = stored(entry.where(_set(some, F.col("token"))).join(shared, "token", "left_semi"), "entries")
-    places = classes.select("cls", "first.doc", "first.at")
+    places = classes.select("cls", "first.doc", "first.h", "first.at")
 
     lead = entries.groupBy("token").agg(F.min(F.struct("first", "cls", "n")).alias("lead")).select("token", F.col("lead.cls").alias("a"), F.col("lead.n").alias("m"), F.col("lead.first").alias("led"))
-    star = entries.join(lead, "token").where("led < first").where(_enough("n", "m")).select("a", F.col("cls").alias("b")).distinct()
+    star = entries.join(lead, "token").where(_before("led", "first")).where(_enough("n", "m")).select("a", F.col("cls").alias("b")).distinct()
     gone = _matches(star, places, given, text, doc)
     later = entries.join(gone, "cls", "left_anti").alias("y")
     least = "least(x.n - x.place, y.n - y.place)"
-    rest = entries.alias("x").join(later, F.expr(f"x.token = y.token and x.first < y.first and {_enough('x.n', 'y.n')} and 7 * {least} >= 3 * (x.n + y.n)"))
+    rest = entries.alias("x").join(later, F.expr(f"x.token = y.token and {_before('x.first', 'y.first')} and {_enough('x.n', 'y.n')} and 7 * {least} >= 3 * (x.n + y.n)"))
     rest = rest.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
     gone = gone.unionAll(_matches(rest, places, given, text, doc)).distinct()
 
     # All lines of classes that go, and the later lines of classes that stay.
     state = classes.join(gone.withColumn("goes", F.lit(True)), "cls", "left").where("lines > 1 or goes").select("cls", "first", F.coalesce("goes", F.lit(False)).alias("goes"))
     state = stored(state, "state")
-    known = ordered.select("cls", "doc", "at").where(_set(_bits(state, "cls"), F.col("cls")))
-    lost = known.join(state, "cls").where(F.expr("goes or struct(doc, at) > first"))
-    out = stored(lost.groupBy("doc").agg(F.collect_set("at").alias("gone")), "lost")
+    known = ordered.select("cls", "doc", "h", "at").where(_set(_bits(state, "cls"), F.col("cls")))
+    lost = known.join(state, "cls").where(F.expr("goes or struct(doc, at) > struct(first.doc, first.at)"))
+    out = stored(lost.groupBy("doc", "h").agg(F.collect_set("at").alias("gone")), "lost")
     released(ordered, classes, entries, shared, state)
     return out
 
@@ -133,9 +139,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count
     """The documents without the lines that go; with count_col, also how many went."""
     lost = removals(docs, id_col, text_col)
     row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    row = row.withColumn("doc", F.coalesce(F.col("row")[id_col].cast("long"), F.lit(-(1 << 63))))
+    row = row.withColumn("doc", F.coalesce(F.col("row")[id_col].cast("long"), F.lit(-(1 << 63)))).withColumn("h", F.xxhash64(F.col("row")[text_col]))
     touched = _set(_bits(lost, "doc"), F.col("doc"))
-    some = row.where(touched).join(lost, "doc", "left").select("row", "gone")
+    some = row.where(touched).join(lost, ["doc", "h"], "left").select("row", "gone")
     text = F.when(
         F.col("gone").isNotNull(),
         F.array_join(F.transform(F.filter(F.transform(F.split(F.col("row")[text_col], "\n", -1), lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains(F.col("gone"), s["i"])), lambda s: s["x"]), "\n"),

@@ -281,3 +281,11 @@ def test_line_dedup(spark):
         assert out[r.doc_id].text == expected and out[r.doc_id]._size == r._size
     assert {i for i, _ in gone} == {2, 3, 5, 12}
     assert linededup.dedup(empty(docs)).columns == docs.columns and linededup.dedup(empty(docs)).count() == 0
+
+
+def test_line_dedup_of_rows_that_share_an_id(spark):
+    a, b, c, d = (text(k, 12) for k in (21, 22, 23, 24))
+    rows = [(None, f"{a}\n{b}"), (None, f"{c}\n{a}"), (1, f"{d}\n{b}"), (1, f"{c}\n{text(25, 12)}")]
+    out = sorted(r.text for r in linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    # the second null row's second line is later than its like in the first one, whose own second line stays
+    assert out == sorted([f"{a}\n{b}", c, d, text(25, 12)])
