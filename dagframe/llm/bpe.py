@@ -17,6 +17,7 @@ columns pass through, and a column named as an output is replaced.
 from __future__ import annotations
 
 import json
+import re
 import struct
 import unicodedata
 from collections.abc import Iterator
@@ -26,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from dagframe.llm.shared import mapped
+
 #: White space of the file's pattern; entries for what may stand in a word.
 SPACE = r"\t-\r\x20\x85\xa0  -     　"
 #: Letters and numbers newer than the library's character tables (Unicode 16), which it takes for symbols.
@@ -41,6 +44,13 @@ NEWER = (
 #: Lower-case forms that the library knows and Python 3.13 doesn't; sigma is lowered without its word.
 LOWER = {0x3A3: 0x3C3, 0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
 LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+#: Combining marks newer than the library's normalisation tables, which leave them where they stand.
+UNMOVED = (
+    r"\u07fd\u0898-\u089f\u08ca-\u08d3\u09fe\u0c3c\u0d3b-\u0d3c\u0eba\u1715\u1abf-\u1ace\u1df6-\u1dfa\ua82c\U00010d24-\U00010d27"
+    r"\U00010eab-\U00010eac\U00010efd-\U00010eff\U00010f46-\U00010f50\U00010f82-\U00010f85\U00011070\U0001133b\U0001145e\U00011839-\U0001183a\U00011930"
+    r"\U0001193d-\U0001193e\U00011943\U000119e0\U00011a34\U00011a47\U00011a99\U00011d42\U00011d44-\U00011d45\U00011d97\U00011f41-\U00011f42"
+    r"\U00016ff0-\U00016ff1\U0001e08f\U0001e130-\U0001e136\U0001e2ae\U0001e2ec-\U0001e2ef\U0001e4ec-\U0001e4ef"
+)
 END = "</w>"
 #: Words remembered by one Python worker.
 REMEMBERED = 300_000
@@ -54,6 +64,16 @@ def _byte_symbols() -> list[str]:
     return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
 
 
+_unmoved = re.compile(f"([{UNMOVED}]+)")
+
+
+def composed(text: str) -> str:
+    """The text in NFC as the library makes it: a mark that its tables lack stays in place and parts what stands around it."""
+    if _unmoved.search(text) is None:
+        return unicodedata.normalize("NFC", text)
+    return "".join(part if k % 2 else unicodedata.normalize("NFC", part) for k, part in enumerate(_unmoved.split(text)))
+
+
 def _closed(entry: str) -> str:
     """The entry with its last symbol and the end mark as one character of the private area."""
     return f"{entry[:-5]}{chr(0xE000 + ord(entry[-5]))}" if len(entry) > 4 and entry.endswith(END) else entry
@@ -217,7 +237,7 @@ class Encoder:
         for m in [*self.cut.finditer(chunk), None]:
             part = chunk[at : m.start() if m else len(chunk)]
             if part:
-                out += map(self.pieces.__getitem__, self.split.findall(unicodedata.normalize("NFC", part).translate(LOWER).lower()))
+                out += map(self.pieces.__getitem__, self.split.findall(composed(part).translate(LOWER).lower()))
             if m:
                 out.append(struct.pack("<I", self.v.special[m.group()]))
                 at = m.end()
@@ -277,7 +297,7 @@ def _mapped(df: DataFrame, source: str, outputs: list[tuple[str, T.DataType]], p
                     made = step(encoder, decoder, part.column(part.schema.get_field_index(source)))
                     yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(n)) for n in names), *made], [*names, *(n for n, _ in outputs)])
 
-    return df.mapInArrow(run, schema)
+    return mapped(df, run, schema)
 
 
 def encode(df: DataFrame, path: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:

@@ -62,7 +62,7 @@ def test_bpe_equals_the_library(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path())
-    texts = ["Hello  World<|endoftext|>x", "ΣΑΣ İstanbul 12³ a\x1cb don't", "", None, "漢字😀 zażółć", "!!!???...", "word" * 300, text(1, 50), "x</w>y"]
+    texts = ["Hello  World<|endoftext|>x", "ΣΑΣ İstanbul 12³ a\x1cb don't", "", None, "漢字😀 zażółć", "!!!???...", "word" * 300, text(1, 50), "x</w>y", "a\U0001e2ef\u0327b", "e\u089f\u0323\u0301", "\U00011935\U00011930\u0327"]
     df = spark.createDataFrame([(k, x, "old") for k, x in enumerate(texts)], "id int, text string, ids string")
     for r in bpe.encode_decode(df, tokenizer_path()).collect():
         ids = t.encode(texts[r.id] or "", add_special_tokens=False).ids
