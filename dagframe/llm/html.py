@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from dagframe.llm.shared import mapped
+
 #: Elements by their part in a page.
 NEVER = frozenset("head title script style noscript template nav footer aside form button select textarea option iframe object svg canvas audio video menu dialog".split())
 CONTAINERS = frozenset("html body div section article main ul ol dl table tbody thead tfoot tr header figure fieldset details blockquote center".split()) | NEVER
@@ -192,4 +194,4 @@ def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") ->
                 made = pa.array([main_text(x or "") for x in part.column(part.schema.get_field_index(html_col)).to_pylist()], pa.string())
                 yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(n)) for n in names), made], [*names, text_col])
 
-    return pages.mapInArrow(run, T.StructType([*kept, T.StructField(text_col, T.StringType())]))
+    return mapped(pages, run, T.StructType([*kept, T.StructField(text_col, T.StringType())]))

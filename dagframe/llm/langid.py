@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dagframe.llm.shared import mapped
 from dagframe.llm.wordbytes import runs, text_bytes
 
 WINDOW = 256
@@ -149,7 +150,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             net.fit(np.concatenate(x), y)
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], ["net"])
 
-    made = rows.mapInArrow(learn, "net binary").collect()  # some 20 KB
+    made = mapped(rows, learn, "net binary").collect()  # some 20 KB
     return pickle.loads(made[0][0]) if made else None
 
 
@@ -182,4 +183,4 @@ def identify(docs: DataFrame, net: Network | None, text_col: str = "text", lang_
             score = np.where(known, total[np.arange(len(best)), best] / np.maximum(weight, 1), 0.0)
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in names), pa.array(lang, pa.string()), pa.array(score)], [*names, lang_col, score_col])
 
-    return docs.withColumn(flag, lettered).mapInArrow(run, T.StructType([*kept, T.StructField(lang_col, T.StringType()), T.StructField(score_col, T.DoubleType())]))
+    return mapped(docs.withColumn(flag, lettered), run, T.StructType([*kept, T.StructField(lang_col, T.StringType()), T.StructField(score_col, T.DoubleType())]))

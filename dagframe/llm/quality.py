@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dagframe.llm.shared import mapped
 from dagframe.llm.wordbytes import U64, Words, mixed, runs
 
 BITS = 20
@@ -31,8 +32,8 @@ SAMPLE = 4000
 EPOCHS = 4
 #: Bytes of text whose n-grams are held at once.
 RUN = 1 << 20
-#: What the shares of one kind of n-gram add up to; shapes are few, so they weigh more.
-WORD_MASS, SHAPE_MASS = 2.0, 8.0
+#: What the shares of one kind of n-gram add up to: words weigh twice as much as their shapes.
+WORD_MASS, SHAPE_MASS = 8.0, 4.0
 
 _CLASS = np.arange(256, dtype=np.uint8)
 _CLASS[ord("a") : ord("z") + 1] = 1
@@ -138,7 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([fitted(_gathered(batches)).tobytes()], pa.binary())], ["weights"])
 
-    made = rows.mapInArrow(learn, "weights binary").collect()  # 4 MB
+    made = mapped(rows, learn, "weights binary").collect()  # 4 MB
     return np.frombuffer(made[0][0], np.float32) if made else np.zeros((1 << BITS) + 1, np.float32)
 
 
@@ -161,7 +162,7 @@ def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text", score_co
             made = pa.array(scores(batch.column(batch.schema.get_field_index(text_col)), shared.value))
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in names), made], [*names, score_col])
 
-    return docs.mapInArrow(run, T.StructType([*kept, T.StructField(score_col, T.DoubleType())]))
+    return mapped(docs, run, T.StructType([*kept, T.StructField(score_col, T.DoubleType())]))
 
 
 def remainder(id_col: str, of: int) -> Column:
