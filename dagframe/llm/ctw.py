@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dagframe.llm.shared import released, stored
+from dagframe.llm.shared import mapped, released, stored
 from dagframe.llm.wordbytes import U64, Words, mixed, runs
 
 DEPTH = 5
@@ -238,15 +238,20 @@ def _counted(batches: Iterator[pa.RecordBatch], of) -> Iterator[pa.RecordBatch]:
 
 
 def _counts(texts: DataFrame, of, name: str) -> DataFrame:
-    return stored(texts.mapInArrow(lambda batches: _counted(batches, of), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), name)
+    return stored(mapped(texts, lambda batches: _counted(batches, of), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), name)
 
 
 def _least(counts: DataFrame, most: int) -> int:
-    """The smallest count that at most `most` keys reach. Distinct counts are few beside keys, and only large ones matter."""
-    sizes = counts.groupBy(F.least("n", F.lit(1 << 20)).alias("n")).agg(F.count("*").alias("keys")).orderBy(F.desc("n")).limit(1 << 20).toArrow().to_pydict()
-    held = np.cumsum(sizes["keys"])
-    fits = np.flatnonzero(held <= most)
-    return int(sizes["n"][fits[-1]]) if len(fits) else (1 << 20) + 1
+    """A count that at most `most` keys reach: the smallest power of 2**(1/8) (rounded up) of which that holds. The table asked for is
+    as short as the logarithm of the largest count."""
+    step = F.ceil(8 * F.log2(F.col("n").cast("double"))).alias("step")
+    sizes = counts.where("n > 0").groupBy(step).agg(F.count("*").alias("keys"), F.max("n").alias("top")).orderBy(F.desc("step")).collect()  # at most 8 * 63 rows
+    held = 0
+    for k, r in enumerate(sizes):
+        held += r["keys"]
+        if held > most:
+            return int(r["top"]) + 1
+    return 1
 
 
 def chances(texts: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -290,7 +295,7 @@ def chances(texts: DataFrame, depth: int = DEPTH) -> DataFrame:
             bits = (grams[:, None] >> np.arange(7, -1, -1, dtype=U64)) & U64(1) == 1
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.log10(np.where(bits, one, 1 - one)).sum(1))], ["key", "n", "chance"])
 
-    out = stored(nodes.where("mix is not null").select("key", "n", "mix").mapInArrow(finish, "key long, n long, chance double"), "ctw-chances")
+    out = stored(mapped(nodes.where("mix is not null").select("key", "n", "mix"), finish, "key long, n long, chance double"), "ctw-chances")
     released(counts, nodes)
     return out
 
@@ -359,7 +364,7 @@ def score(docs: DataFrame, learns: Column, id_col: str = "doc_id", text_col: str
                 )
 
     schema = f"id {dict(given.dtypes)['id']}, learns boolean, n_tokens long, n_known long, base double, score double, rest array<struct<key:long,times:long>>, seldom array<struct<key:long,times:long>>"
-    scored = stored(given.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "lm-scored")
+    scored = stored(mapped(given, run, schema).withColumn("row", F.monotonically_increasing_id()), "lm-scored")
     rare = scored.select("row", F.explode("rest").alias("w")).select("row", "w.key", "w.times")
     found = rare.join(vocabulary.where(F.col("n") < least), "key").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("add"))
     apart = scored.select("row", F.explode("seldom").alias("g")).select("row", "g.key", "g.times")

@@ -9,9 +9,10 @@ leaves about one of its terms in a subset, and in all sparser ones, so that long
 The likeness of two fingerprints is the share of equal hashes among the subsets in which either has a term, in the densest
 group that both have: 1 for equal texts, and near their terms' Jaccard similarity otherwise.
 
-The lexicon is sent to the workers; it has at most LEXICON terms, by a frequency bound that is raised where needed.
+The lexicon is sent to the workers. Each of its terms is in at least a BAND[0]-th of the documents, so that it has at most
+1 / BAND[0] times as many terms as a document has distinct ones on average (some 540,000 at 270), however many documents.
 
-Defined results: a text with fewer than FEW lexicon terms is fingerprinted by all its terms; null, empty and blank texts
+Defined results: ids are integers (others fail); a text with no lexicon term is fingerprinted by all its terms; null, empty and blank texts
 have the fingerprint of no terms, alike only to itself; a null id comes first in the order of ids, rows of one id are
 ordered by a hash of their text; the only row is its own next document; no rows give no rows.
 """
@@ -26,24 +27,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dagframe.llm.ctw import _counts, _least
-from dagframe.llm.wordbytes import U64, Words, distinct_by_text, mixed, runs
+from dagframe.llm.ctw import _counts
+from dagframe.llm.shared import mapped, released
+from dagframe.llm.wordbytes import RUN_BYTES, U64, Words, distinct_by_text, mixed, runs, text_bytes
 
 #: Band of document frequency, as a share of all documents.
 BAND = (0.0005, 0.05)
-LEXICON = 1 << 20
 SUBSETS = 32
 #: Bits of the chance of a subset in each group, and the terms of a text from which the next group is its densest.
 GROUPS = (5, 7, 9, 11, 13, 15)
 TERMS = (64, 256, 1024, 4096, 16384)
-FEW = 4
 #: Bytes of text in a range of ids.
 RANGE_BYTES = 8 << 20
 MOST_RANGES = 8192
 _SEEDS = np.random.default_rng(8).integers(1, 1 << 63, len(GROUPS), dtype=U64)
 
 
-def lexicon(docs: DataFrame, text_col: str = "text", band: tuple[float, float] = BAND, most: int = LEXICON) -> np.ndarray:
+def lexicon(docs: DataFrame, text_col: str = "text", band: tuple[float, float] = BAND) -> np.ndarray:
     """Sorted hashes of the terms within the band, from all documents."""
     def terms(column: pa.Array) -> np.ndarray:
         words = Words(column, lower=True)
@@ -51,8 +51,9 @@ def lexicon(docs: DataFrame, text_col: str = "text", band: tuple[float, float] =
 
     n = docs.count()
     counts = _counts(docs.select(text_col), terms, "imatch-df")
-    least = max(int(np.ceil(band[0] * n)), _least(counts.where(F.col("n") >= band[0] * n), most), 1)
-    kept = counts.where(F.col("n").between(least, max(band[1] * n, 2))).select("key").toArrow()  # at most `most` rows
+    least = max(int(np.ceil(band[0] * n)), 1)
+    kept = counts.where(F.col("n").between(least, max(band[1] * n, 2))).select("key").toArrow()  # at most mean distinct terms / band[0]
+    released(counts)
     return np.sort(kept.column("key").to_numpy().view(U64))
 
 
@@ -67,8 +68,8 @@ class Prints:
         known = np.zeros(len(h), bool)
         inside = at < len(terms)
         known[inside] = terms[at[inside]] == h[inside]
-        few = np.bincount(own, known, len(n)) < FEW
-        keep = known | few[own]
+        none = np.bincount(own, known, len(n)) == 0
+        keep = known | none[own]
         h, own = h[keep], own[keep]
         self.terms = np.bincount(own, minlength=len(n))
         self.group = np.searchsorted(TERMS, self.terms, "right")
@@ -115,14 +116,12 @@ def fingerprints(docs: DataFrame, terms: np.ndarray, text_col: str = "text", out
 
     from pyspark.sql import types as T
 
-    return docs.mapInArrow(run, T.StructType([*kept, T.StructField(out_col, T.StringType())]))
+    return mapped(docs, run, T.StructType([*kept, T.StructField(out_col, T.StringType())]))
 
 
-def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text, next_text): each row with the text of the next one in the order of integer ids, the last with the first.
-
-    Rows are dealt by ranges of ids; the rows of the id that opens a range are also sent to the range before it. Texts move
-    once, compressed."""
+def _dealt(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows by ranges of ids and, within one, in the order of ids; the rows of the id that opens a range are also sent, as `tail`, to the
+    range before it. Texts move once, compressed."""
     given = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     order = F.coalesce("id", F.lit(-(1 << 63)))
     size = given.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size")).first()[0]
@@ -133,37 +132,53 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for first, last in runs(batch.column(2)):
+                part = batch.slice(first, last - first)
                 key = part.column(0).to_numpy(zero_copy_only=False)
                 place = np.searchsorted(lows, key, "right") - 1
                 opens = np.flatnonzero(lows[place] == key)
-                packed = [pa.compress(x.encode(), "zstd", asbytes=True) if x else None for x in part.column(2).to_pylist()]
-                sizes = [len(x.encode()) if x else 0 for x in part.column(2).to_pylist()]
-                rows = np.concatenate([np.arange(len(key)), opens])
+                edge, data = text_bytes(part.column(2))
+                packed = [pa.compress(data[edge[k] : edge[k + 1]], "zstd", asbytes=True) if edge[k] < edge[k + 1] else b"" for k in range(len(key))]
+                rows = pa.array(np.concatenate([np.arange(len(key)), opens]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([place, (place[opens] - 1) % len(lows)])), pa.array(np.arange(len(rows)) >= len(key)), pa.array(key[rows]), part.column(1).take(pa.array(rows)),
-                     part.column(3).take(pa.array(rows)), pa.array([packed[r] for r in rows], pa.binary()), pa.array([sizes[r] for r in rows], pa.int64())],
+                    [pa.array(np.concatenate([place, (place[opens] - 1) % len(lows)])), pa.array(np.arange(len(rows)) >= len(key)), part.column(0).take(rows), part.column(1).take(rows),
+                     part.column(3).take(rows), pa.array(packed, pa.binary()).take(rows), pa.array(np.diff(edge)).take(rows)],
                     ["range", "tail", "key", "id", "tie", "packed", "size"],
                 )
 
-    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # the row that waits for its next one: range, id, text
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                ids, texts, nexts = [], [], []
-                for place, tail, own, packed, bytes_ in zip(*(part.column(c).to_pylist() for c in ("range", "tail", "id", "packed", "size")), strict=True):
-                    text = pa.decompress(packed, bytes_, "zstd", asbytes=True).decode() if packed else ""
-                    if last and last[0] == place:
-                        ids.append(last[1])
-                        texts.append(last[2])
-                        nexts.append(text)
-                    last = None if tail else (place, own, text)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string()), pa.array(nexts, pa.string())], ["id", "text", "next_text"])
-
-    dealt = given.select(order.alias("key"), "id", "text", F.xxhash64("text").alias("tie")).mapInArrow(deal, "range long, tail boolean, key long, id long, tie long, packed binary, size long")
-    return dealt.repartition("range").sortWithinPartitions("range", "tail", "key", "tie").mapInArrow(pair, "id long, text string, next_text string")
+    dealt = mapped(given.select(order.alias("key"), "id", "text", F.xxhash64("text").alias("tie")), deal, "range long, tail boolean, key long, id long, tie long, packed binary, size long")
+    return dealt.repartition("range").sortWithinPartitions("range", "tail", "key", "tie").select("range", "tail", "id", "packed", "size")
+
+
+def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str], list[str]]]:
+    """Of dealt rows: ids, texts and the texts that follow them, in runs of RUN_BYTES or so."""
+    ids: list = []
+    texts: list[str] = []
+    nexts: list[str] = []
+    held, before = 0, None  # bytes of the run; the row that waits for its next one: range, id, text
+    for batch in batches:
+        for place, tail, own, packed, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            text = pa.decompress(packed, size, "zstd", asbytes=True).decode() if packed else ""
+            if before and before[0] == place:
+                ids.append(before[1])
+                texts.append(before[2])
+                nexts.append(text)
+                held += len(before[2])
+                if held > RUN_BYTES:
+                    yield ids, texts, nexts
+                    ids, texts, nexts, held = [], [], [], 0
+            before = None if tail else (place, own, text)
+    if ids:
+        yield ids, texts, nexts
+
+
+def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text, next_text): each row with the text of the next one in the order of integer ids, the last with the first."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts, nexts in _paired(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.string()), pa.array(nexts, pa.string())], ["id", "text", "next_text"])
+
+    return mapped(_dealt(docs, id_col, text_col), run, "id long, text string, next_text string")
 
 
 def compared(docs: DataFrame, terms: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -171,18 +186,14 @@ def compared(docs: DataFrame, terms: np.ndarray, id_col: str = "doc_id", text_co
     shared = docs.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, last in runs(batch.column(1)):
-                part = batch.slice(first, last - first)
-                texts, nexts = part.column(1).to_pylist(), part.column(2).to_pylist()
-                edits = [t[: len(t) - len(t) // 2] + u[: len(t) // 2] for t, u in zip(texts, nexts, strict=True)]
-                own, edited = Prints(part.column(1), shared.value), Prints(pa.array(edits, pa.string()), shared.value)
-                following = Prints(part.column(2), shared.value)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(list(map(len, texts)), pa.int64()), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in edits], pa.string()),
-                     pa.array(own.strings(), pa.string()), pa.array(edited.strings(), pa.string()), pa.array(likeness(own, edited)), pa.array(likeness(own, following))],
-                    [id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
-                )
+        for ids, texts, nexts in _paired(batches):
+            edits = [t[: len(t) - len(t) // 2] + u[: len(t) // 2] for t, u in zip(texts, nexts, strict=True)]
+            own, edited, following = (Prints(pa.array(x, pa.string()), shared.value) for x in (texts, edits, nexts))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(list(map(len, texts)), pa.int64()), pa.array([hashlib.sha256(x.encode()).hexdigest() for x in edits], pa.string()),
+                 pa.array(own.strings(), pa.string()), pa.array(edited.strings(), pa.string()), pa.array(likeness(own, edited)), pa.array(likeness(own, following))],
+                [id_col, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+            )
 
     schema = f"`{id_col}` long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return with_next(docs, id_col, text_col).mapInArrow(run, schema)
+    return mapped(_dealt(docs, id_col, text_col), run, schema)
