@@ -1,7 +1,7 @@
 """Line dedup by an exact set-similarity join, with DataFrame operations alone.
 
-A line's tokens are its distinct runs of five words (in lower case); a line of fewer words has none and always stays. Two
-lines match if the Jaccard similarity of their tokens is at least 3/4. A line goes if a line before it, in the order of ids
+A line's tokens are its distinct runs of five words (in lower case); a line of one to four words has one, its whole sequence, so
+that it matches its like alone, and a line without words has none and always stays. Two lines match if the Jaccard similarity of their tokens is at least 3/4. A line goes if a line before it, in the order of ids
 and then of lines, matches it; documents keep their other lines as they are.
 
 Lines with equal tokens are one class, reduced before anything is shuffled by token. Tokens are ordered by rarity (counted
@@ -11,7 +11,7 @@ a length and a positional filter, are verified on their whole token sets, and th
 its earliest class only, which settles groups of variants in as many comparisons as members; classes that are still in
 are then compared with all earlier ones of their lists.
 
-Defined results: a null text has no lines and stays null; empty lines stay; rows that share an id share its place in the
+Defined results: ids are integers (others fail); a null text has no lines and stays null; empty and blank lines stay; rows that share an id share its place in the
 order, so that none of their lines is later than its like in the other, and lose their own lines only; a null id comes first; a text that loses all its lines becomes
 empty; no rows give no rows; extra columns pass through unchanged.
 """
@@ -24,9 +24,10 @@ from pyspark.sql import functions as F
 from dagframe.llm.shared import released, stored
 
 SIZE = 5
-#: Slots of the rarity table, and bits of the filters; collisions cost time and never a match.
-SLOT_BITS, FILTER_BITS = 17, 24
-BLANK = r"[\x20\x09-\x0D]+"
+#: Slots of the rarity table, and bounds of the filters' bits; collisions cost time and never a match.
+SLOT_BITS, LEAST_FILTER_BITS, MOST_FILTER_BITS = 16, 20, 26
+#: White space of a line besides the blank.
+SPACES = "\t\x0b\x0c\r"
 
 
 def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -35,36 +36,37 @@ def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode_outer(F.array(value)).alias(name))
 
 
-def _worded(lines: DataFrame) -> DataFrame:
-    """`words` for `line`, without lines of fewer than SIZE."""
-    return _once(lines, "words", F.array_remove(F.split(F.lower("line"), BLANK), "")).drop("line").where(F.size("words") >= SIZE)
+def _worded(docs: DataFrame, text: Column, doc: Column) -> DataFrame:
+    """Lines that have words: by the id, the text's hash (which tells rows of one id apart) and their number, `words` as hashes."""
+    odd = F.lit(False)
+    for c in SPACES:
+        odd = odd | F.contains(text, F.lit(c))
+    plain = F.lower(F.when(odd, F.translate(text, SPACES, " " * len(SPACES))).otherwise(text))
+    lines = _once(docs, "h", F.xxhash64(text)).select(doc.alias("doc"), "h", F.posexplode_outer(F.split(plain, "\n", -1)).alias("at", "line"))
+    return _once(lines, "words", F.expr("transform(filter(split(line, ' '), w -> w <> ''), w -> xxhash64(w))")).drop("line").where(F.size("words") > 0)
 
 
-def _shingled(lines: DataFrame) -> DataFrame:
-    """Adds `tokens`, the distinct shingle hashes of `line`, and drops lines that have none."""
-    worded = _worded(lines)
-    at = ", ".join(f"words[i + {k}]" for k in range(SIZE))
-    return _once(worded, "tokens", F.array_distinct(F.expr(f"transform(sequence(0, size(words) - {SIZE}), i -> xxhash64({at}))"))).drop("words")
+#: Numbers of a line's runs of words, and the hash of run `i`; a line of fewer words has one, its whole sequence.
+_RUNS = f"sequence(0, greatest(size(words) - {SIZE}, 0))"
+_RUN = f"xxhash64({', '.join(f'get(words, i + {k})' for k in range(SIZE))})"
 
 
-def _lines(docs: DataFrame, text: Column, doc: Column) -> DataFrame:
-    """Lines by the id, the text's hash (which tells rows of one id apart) and their number."""
-    return _once(docs, "h", F.xxhash64(text)).select(doc.alias("doc"), "h", F.posexplode_outer(F.split(text, "\n", -1)).alias("at", "line"))
-
-
-def _bits(keys: DataFrame, key: str) -> DataFrame:
-    """One row: an array of 2**FILTER_BITS bits in longs, those of the keys' hashes set."""
-    slot = F.shiftrightunsigned(F.xxhash64(key), 64 - FILTER_BITS)
+def _bits(keys: DataFrame, key: str) -> tuple[DataFrame, int]:
+    """One row: an array of bits in longs, those of the keys' hashes set; and the exponent of their number, which follows the keys'."""
+    bits = min(MOST_FILTER_BITS, max(LEAST_FILTER_BITS, (16 * keys.count()).bit_length()))
+    slot = F.shiftrightunsigned(F.xxhash64(key), 64 - bits)
     words = keys.select(F.shiftright(slot, 6).alias("word"), slot.alias("slot"))
     words = words.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits"))
-    every = keys.sparkSession.range(0, 1 << (FILTER_BITS - 6), 1, 1).select(F.col("id").alias("word"))
-    packed = stored(words, "bits")
-    return every.join(F.broadcast(packed), "word", "left").agg(F.transform(F.array_sort(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0)).alias("bits")))), lambda x: x["bits"]).alias("bits"))
+    every = keys.sparkSession.range(0, 1 << (bits - 6), 1, 1).select(F.col("id").alias("word"))
+    packed = stored(words, "bits")  # 2**MOST_FILTER_BITS / 64 rows at most
+    held = every.join(F.broadcast(packed), "word", "left").agg(F.transform(F.array_sort(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0)).alias("bits")))), lambda x: x["bits"]).alias("bits"))
+    return stored(held, "filter"), bits
 
 
-def _set(bits: DataFrame, key: Column) -> Column:
-    slot = F.shiftrightunsigned(F.xxhash64(key), 64 - FILTER_BITS)
-    word = F.get(bits.scalar(), F.shiftright(slot, 6).cast("int"))
+def _set(filter_: tuple[DataFrame, int], key: Column) -> Column:
+    held, bits = filter_
+    slot = F.shiftrightunsigned(F.xxhash64(key), 64 - bits)
+    word = F.get(held.scalar(), F.shiftright(slot, 6).cast("int"))
     return F.call_function("shiftright", word, slot.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
 
 
@@ -72,66 +74,72 @@ def _enough(x: str, y: str) -> str:
     return f"4 * {x} >= 3 * {y} and 4 * {y} >= 3 * {x}"
 
 
-def _before(x: str, y: str) -> str:
-    """Rows of one id have one place in the order."""
-    return f"struct({x}.doc, {x}.at) < struct({y}.doc, {y}.at)"
+def _rarity(worded: DataFrame) -> DataFrame:
+    """One row: for each slot of the tokens' hashes, eighths of the logarithm of how often its tokens occur, over the least slot's."""
+    spark = worded.sparkSession
+    # counted row by row, which Spark compiles, as no line's tokens must come together
+    every = worded.select("words", F.explode_outer(F.expr(_RUNS)).alias("i")).select(F.expr(_RUN).alias("t"))
+    counts = stored(every.groupBy(F.expr(f"cast(shiftrightunsigned(t, {64 - SLOT_BITS}) as int)").alias("slot")).agg(F.count("*").alias("n")), "rarity")  # 2**SLOT_BITS rows at most
+    slots = spark.range(0, 1 << SLOT_BITS, 1, 1).select(F.col("id").cast("int").alias("slot"))
+    held = slots.join(F.broadcast(counts), "slot", "left").agg(F.array_sort(F.collect_list(F.struct("slot", (F.coalesce("n", F.lit(0)) + 1).alias("n")))).alias("s"), F.min(F.coalesce("n", F.lit(0)) + 1).alias("least"))
+    out = stored(held.select(F.expr("transform(s, x -> cast(least(127, floor(8 * log2(x.n / least))) as tinyint))").alias("r")), "rarity-array")
+    released(counts)
+    return out
 
 
 def _matches(pairs: DataFrame, places: DataFrame, docs: DataFrame, text: Column, doc: Column) -> DataFrame:
-    """Of pairs (a, b) of classes, the b of those that match. Token sets are made again for these classes' first lines only."""
-    pairs = stored(pairs, "pairs")
+    """Of stored pairs (a, b) of classes, the b of those that match. Token sets are made again for these classes' first lines only."""
     needed = stored(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(places, "cls").select("cls", "doc", "h", "at"), "needed")
     some = _bits(needed.select("doc").distinct(), "doc")
-    lines = _lines(docs.where(_set(some, doc)), text, doc).join(needed, ["doc", "h", "at"])
-    sets = stored(_shingled(lines).select("cls", "tokens").dropDuplicates(["cls"]), "line-sets")
+    lines = _worded(docs.where(_set(some, doc)), text, doc).join(needed, ["doc", "h", "at"])
+    sets = stored(lines.dropDuplicates(["cls"]).select("cls", F.expr(f"array_distinct(transform({_RUNS}, i -> {_RUN}))").alias("tokens")), "line-sets")
     x, y = sets.select(F.col("cls").alias("a"), F.col("tokens").alias("x")), sets.select(F.col("cls").alias("b"), F.col("tokens").alias("y"))
-    both = pairs.join(x, "a").join(y, "b").select("a", "b", F.size("x").alias("m"), F.size("y").alias("n"), F.size(F.array_intersect("x", "y")).alias("same"))
-    return stored(both.where("100 * same >= 75 * (m + n - same)").select(F.col("b").alias("cls")).distinct(), "gone")
+    both = pairs.join(x, "a").join(y, "b").select("b", F.size("x").alias("m"), F.size("y").alias("n"), F.size(F.array_intersect("x", "y")).alias("same"))
+    out = stored(both.where("100 * same >= 75 * (m + n - same)").select(F.col("b").alias("cls")).distinct(), "gone")
+    released(needed, some[0], sets)
+    return out
 
 
 def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, h, gone): of each id (a null one is the least long) and hash of a text that loses lines, their numbers from 0."""
     doc, text = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), F.col(text_col)
     given = docs.select(id_col, text_col)
-    slot = f"cast(shiftrightunsigned(t, {64 - SLOT_BITS}) as int)"
-    # counted row by row, which Spark compiles, as no line's tokens must come together
-    at = ", ".join(f"words[i + {k}]" for k in range(SIZE))
-    every = _worded(_lines(given, text, doc)).select("words", F.explode_outer(F.expr(f"sequence(0, size(words) - {SIZE})")).alias("i")).select(F.expr(f"xxhash64({at})").alias("t"))
-    counts = every.groupBy(F.expr(slot).alias("slot")).agg(F.count("*").alias("n"))
-    counts = stored(counts, "rarity")  # 2**SLOT_BITS rows at most
-    every = docs.sparkSession.range(0, 1 << SLOT_BITS, 1, 1).select(F.col("id").cast("int").alias("slot"))
-    rare = every.join(F.broadcast(counts), "slot", "left").agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", F.least(F.lit(127), F.floor(8 * F.log2(F.coalesce("n", F.lit(0)) + 1))).cast("long").alias("r")))), lambda x: x["r"]))
-    rare = stored(rare.toDF("r"), "rarity-array")
-
-    sets = _shingled(_lines(given, text, doc)).withColumn("rare", rare.scalar())
-    in_order = F.expr(f"sort_array(transform(tokens, t -> shiftleft(rare[{slot}], 56) | (t & 72057594037927935L)))")
-    ordered = _once(sets, "ordered", in_order).select("doc", "h", "at", F.size("tokens").alias("n"), F.col("ordered").alias("tokens"))
-    ordered = ordered.select("doc", "h", "at", "n", F.xxhash64("tokens").alias("cls"), F.expr("slice(tokens, 1, n - cast(ceil(3 * n / 4) as int) + 1)").alias("prefix"))
+    worded = _worded(given, text, doc)
+    rare = _rarity(worded)
+
+    # One projection: the table of rarity is a value of the plan and travels with no row.
+    sets = worded.select("doc", "h", "at", F.expr(f"array_distinct(transform({_RUNS}, i -> {_RUN}))").alias("tokens")).withColumn("rare", rare.scalar())
+    class_of = f"cast(get(rare, cast(shiftrightunsigned(t, {64 - SLOT_BITS}) as int)) as bigint)"
+    ordered = sets.select("doc", "h", "at", F.expr(f"sort_array(transform(tokens, t -> shiftleft({class_of}, 56) | (t & 72057594037927935L)))").alias("tokens"))
+    ordered = ordered.select("doc", "h", "at", F.size("tokens").alias("n"), F.xxhash64("tokens").alias("cls"), F.expr("slice(tokens, 1, size(tokens) - cast(ceil(3 * size(tokens) / 4) as int) + 1)").alias("prefix"))
     ordered = stored(ordered, "lines")
     # One row a class: the earliest line, and the prefix, which is the same in all.
-    classes = stored(ordered.groupBy("cls").agg(F.min(F.struct("doc", "at", "h")).alias("first"), F.count("*").alias("lines"), F.min(F.struct("n", "prefix")).alias("held")), "classes")
-    entry = classes.select("cls", "first", F.col("held.n").alias("n"), F.posexplode("held.prefix").alias("place", "token"))
+    classes = stored(ordered.groupBy("cls").agg(F.min(F.struct("doc", "at", "h")).alias("first"), F.count("*").alias("lines"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "classes")
+    known = stored(ordered.select("cls", "doc", "h", "at"), "line-classes")
+    released(ordered, rare)
+    entry = classes.select("cls", F.struct("first.doc", "first.at").alias("first"), "n", F.posexplode("prefix").alias("place", "token"))
     shared = stored(entry.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token"), "tokens")
     some = _bits(shared, "token")
     entries = stored(entry.where(_set(some, F.col("token"))).join(shared, "token", "left_semi"), "entries")
+    released(shared, some[0])
     places = classes.select("cls", "first.doc", "first.h", "first.at")
 
     lead = entries.groupBy("token").agg(F.min(F.struct("first", "cls", "n")).alias("lead")).select("token", F.col("lead.cls").alias("a"), F.col("lead.n").alias("m"), F.col("lead.first").alias("led"))
-    star = entries.join(lead, "token").where(_before("led", "first")).where(_enough("n", "m")).select("a", F.col("cls").alias("b")).distinct()
+    star = stored(entries.join(lead, "token").where("led < first").where(_enough("n", "m")).select("a", F.col("cls").alias("b")).distinct(), "star")
     gone = _matches(star, places, given, text, doc)
     later = entries.join(gone, "cls", "left_anti").alias("y")
     least = "least(x.n - x.place, y.n - y.place)"
-    rest = entries.alias("x").join(later, F.expr(f"x.token = y.token and {_before('x.first', 'y.first')} and {_enough('x.n', 'y.n')} and 7 * {least} >= 3 * (x.n + y.n)"))
-    rest = rest.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+    rest = entries.alias("x").join(later, F.expr(f"x.token = y.token and x.first < y.first and {_enough('x.n', 'y.n')} and 7 * {least} >= 3 * (x.n + y.n)"))
+    rest = stored(rest.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct().join(star, ["a", "b"], "left_anti"), "rest")
     gone = gone.unionAll(_matches(rest, places, given, text, doc)).distinct()
 
     # All lines of classes that go, and the later lines of classes that stay.
     state = classes.join(gone.withColumn("goes", F.lit(True)), "cls", "left").where("lines > 1 or goes").select("cls", "first", F.coalesce("goes", F.lit(False)).alias("goes"))
     state = stored(state, "state")
-    known = ordered.select("cls", "doc", "h", "at").where(_set(_bits(state, "cls"), F.col("cls")))
-    lost = known.join(state, "cls").where(F.expr("goes or struct(doc, at) > struct(first.doc, first.at)"))
+    some = _bits(state, "cls")
+    lost = known.where(_set(some, F.col("cls"))).join(state, "cls").where(F.expr("goes or struct(doc, at) > struct(first.doc, first.at)"))
     out = stored(lost.groupBy("doc", "h").agg(F.collect_set("at").alias("gone")), "lost")
-    released(ordered, classes, entries, shared, state)
+    released(classes, known, entries, star, rest, state, some[0])
     return out
 
 

@@ -96,7 +96,7 @@ OP9_SQL = r"""
 WITH l AS (
   SELECT doc_id, u.pos, u.line, list_filter(regexp_split_to_array(lower(u.line), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
   FROM (SELECT doc_id, unnest(list_transform(string_split(text, chr(10)), lambda x, i: {'pos': i, 'line': x})) AS u FROM documents)
-), s AS (SELECT doc_id, pos, line, CASE WHEN len(w) >= 5 THEN list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], chr(31))))) ELSE [] END AS t FROM l),
+), s AS (SELECT doc_id, pos, line, CASE WHEN len(w) >= 5 THEN list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], chr(31))))) WHEN len(w) > 0 THEN [array_to_string(w, chr(31))] ELSE [] END AS t FROM l),
 c AS (SELECT t, min((doc_id, pos)) AS earliest, len(t) AS n, row_number() OVER () AS cls FROM s WHERE len(t) > 0 GROUP BY t),
 e AS (SELECT cls, earliest, n, unnest(t) AS token FROM c),
 m AS (

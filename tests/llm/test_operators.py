@@ -273,13 +273,13 @@ def test_fingerprints(spark):
 def test_line_dedup(spark):
     docs = documents(spark)
     lines = [(r.doc_id if r.doc_id is not None else -1, k, x) for r in docs.collect() if r.text is not None for k, x in enumerate(r.text.split("\n"))]
-    sets = [(i, k, shingle_set(x) if len(tokens(x)) >= 5 else set()) for i, k, x in lines]
+    sets = [(i, k, shingle_set(x)) for i, k, x in lines]
     gone = {(i, k) for i, k, s in sets if any((j, m) < (i, k) and s and t and 100 * len(s & t) >= 75 * len(s | t) for j, m, t in sets)}
     out = {r.doc_id: r for r in linededup.dedup(docs, count_col="n_removed").collect()}
     for r in docs.collect():
         expected = None if r.text is None else "\n".join(x for k, x in enumerate(r.text.split("\n")) if (r.doc_id if r.doc_id is not None else -1, k) not in gone)
         assert out[r.doc_id].text == expected and out[r.doc_id]._size == r._size
-    assert {i for i, _ in gone} == {2, 3, 5, 12}
+    assert {i for i, _ in gone} == {2, 3, 5, 9, 12}  # "One  TWO" of the null id, which comes first, is matched by "one two"
     assert linededup.dedup(empty(docs)).columns == docs.columns and linededup.dedup(empty(docs)).count() == 0
 
 

@@ -43,7 +43,7 @@ def test_pipeline(spark):
     for i, t, s in kept:
         left = []
         for line in t.split("\n"):
-            own = shingle_set(line.lower(), 5)
+            own = shingle_set(line.lower())
             near = {k for x in own for k in by_token[x]}
             if not any(matching(own, earlier[k]) for k in near):
                 left.append(line)
