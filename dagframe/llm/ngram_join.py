@@ -3,13 +3,13 @@ along set relations.
 
 A document's set holds its distinct 5-word shingles (a shorter text's whole sequence as one). Equal sets are one class
 from the start. Each set's shingles are ordered by rarity, and those of its prefix are index entries: linked sets share one.
-Entries carry their place, so that a block of an index list whose places leave too little of either set is skipped.
 
-Answers are derived along relations instead of being computed pair by pair. A class that is verified against the leader of
-its lists (the leader it shares most entries with) takes over the leader's component; from then on a list whose members stand in one component
-holds no question and is skipped whole, which takes two combinable aggregates and no pairs. Lists with several
-components go through another round with other leaders, and the members still apart are compared across components.
-So a group of near copies costs as many comparisons as it has members, and every link between components is found.
+Answers of a set come from those of similar sets where they can. In some rounds classes are compared with leaders of their lists;
+one that links takes over the leader's component, and from then on a list whose members stand in one component holds no question and is skipped whole. Entries meet across components
+only: index lists are in blocks by set size, an entry's place and size say which sizes can still reach it, and other
+blocks are skipped before rows meet; entries with nothing to meet are left behind early; and where one set was compared
+with the leader of the other, both differences from that leader bound what the two share, which answers yes, no, or that they must be
+compared. So a group of near copies costs a few comparisons for each member, and every link between components is found.
 
 Rarity is counted over all shingles, in a table of fixed size; it only orders shingles, so that its collisions cost
 time and never a link. Sets travel only for pairs that are compared.
@@ -28,12 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dagframe.llm.components import components
-from dagframe.llm.shared import released, stored
+from dagframe.llm.shared import mapped, released, stored
 from dagframe.llm.wordbytes import U64, Words, distinct_by_text, mixed, runs, shingles
 
 #: Slots of the rarity table and of the filters that keep rows out of shuffles; both cost time only where they collide.
 SLOT_BITS, FILTER_BITS = 20, 25
 PIECE = 1 << 14
+#: Rounds in which classes ask leaders end when one pair in so many links, or after STAR_ROUNDS; the ratio of set sizes that a block spans.
+FEW_LINKS, STAR_ROUNDS, BLOCK = 20, 12, 1.1
 
 
 def _sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -66,7 +68,7 @@ def rarity(texts: DataFrame) -> np.ndarray:
                 sums[piece] = sums.get(piece, 0) + np.frombuffer(n, np.uint32).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["piece", "n"])
 
-    rows = texts.mapInArrow(count, "piece int, n binary").repartition("piece").mapInArrow(add, "piece int, n binary").collect()  # 8 MB
+    rows = mapped(mapped(texts, count, "piece int, n binary").repartition("piece"), add, "piece int, n binary").collect()  # 8 MB
     out = np.zeros(slots, np.int64)
     for piece, n in rows:
         out[piece * PIECE : (piece + 1) * PIECE] = np.frombuffer(n, np.int64)
@@ -86,8 +88,8 @@ def _prefixes(batch: pa.RecordBatch, classes: np.ndarray) -> Iterator[pa.RecordB
         keep = place < most[own]
         edges = np.concatenate([[0], np.cumsum(most)]).astype(np.int32)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0).slice(first, rows), pa.array(cls), pa.array(n.astype(np.int64)), pa.ListArray.from_arrays(pa.array(edges), pa.array(token[keep].view(np.int64)))],
-            ["id", "cls", "n", "prefix"],
+            [batch.column(0).slice(first, rows), pa.array(cls), pa.array(n.astype(np.int64)), pa.ListArray.from_arrays(pa.array(edges), pa.array(token[keep].view(np.int64))), batch.column(2).slice(first, rows)],
+            ["id", "cls", "n", "prefix", "key"],
         )
 
 
@@ -108,7 +110,7 @@ def _bits(keys: DataFrame, column: str) -> np.ndarray:
                 held[piece] = held.get(piece, 0) | np.frombuffer(n, np.uint8)
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], ["piece", "n"])
 
-    rows = keys.select(column).mapInArrow(mark, "piece int, n binary").repartition("piece").mapInArrow(either, "piece int, n binary").collect()
+    rows = mapped(mapped(keys.select(column), mark, "piece int, n binary").repartition("piece"), either, "piece int, n binary").collect()
     out = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
     for piece, n in rows:
         out[piece * PIECE : (piece + 1) * PIECE] = np.frombuffer(n, np.uint8)
@@ -120,17 +122,18 @@ def _marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[(slot >> U64(3)).astype(np.int64)] >> (U64(7) - (slot & U64(7))).astype(np.uint8)) & 1 == 1
 
 
-def _joined(pairs: DataFrame, held: DataFrame, step) -> DataFrame:
-    """The pairs that `step` keeps, given both classes' rows of `held` (cls, held) as binary."""
+def _joined(pairs: DataFrame, held: DataFrame, step, name: str) -> DataFrame:
+    """Pairs (a, b) with `same`, what `step` makes of both classes' rows of `held` (cls, held); those of which it makes none are left out."""
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                keep = [step(np.frombuffer(x, U64), np.frombuffer(y, U64)) for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
-                yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                made = pa.array([step(np.frombuffer(x, U64), np.frombuffer(y, U64)) for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)], pa.int64())
+                keep = made.is_valid()
+                yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep), made.filter(keep)], ["a", "b", "same"])
 
     full = pairs.join(held.select(F.col("cls").alias("a"), F.col("held").alias("x")), "a").join(held.select(F.col("cls").alias("b"), F.col("held").alias("y")), "b")
-    return stored(full.select("a", "b", "x", "y").mapInArrow(check, "a long, b long"), "pairs")
+    return stored(mapped(full.select("a", "b", "x", "y"), check, "a long, b long, same long"), name)
 
 
 def _same(x: np.ndarray, y: np.ndarray) -> int:
@@ -138,21 +141,16 @@ def _same(x: np.ndarray, y: np.ndarray) -> int:
     return int((y[place] == x).sum())
 
 
-def _may_link(x: np.ndarray, y: np.ndarray) -> bool:
+def _may_link(x: np.ndarray, y: np.ndarray) -> int | None:
     """By prefixes, each after its set's size: what they share and all that stands behind the one that ends first."""
     m, n, x, y = int(x[0]), int(y[0]), x[1:], y[1:]
-    behind = m - len(x) if x[-1] <= y[-1] else n - len(y)
-    return 7 * (_same(x, y) + behind) >= 3 * (m + n)
+    most = _same(x, y) + (m - len(x) if x[-1] <= y[-1] else n - len(y))
+    return most if 7 * most >= 3 * (m + n) else None
 
 
-def _link(x: np.ndarray, y: np.ndarray) -> bool:
-    same = _same(x, y)
-    return 100 * same >= 75 * (len(x) + len(y) - same)
-
-
-def _fetched(rows: DataFrame, pairs: DataFrame, of) -> DataFrame:
-    """(cls, held) of the pairs' classes; `of` makes classes and a function for the rest from a batch of `rows`."""
-    wanted = rows.sparkSession.sparkContext.broadcast(_bits(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "cls"))
+def _fetched(rows: DataFrame, classes: DataFrame, of) -> DataFrame:
+    """(cls, held) of the classes asked for; `of` makes classes and a function for the rest from a batch of `rows`."""
+    wanted = rows.sparkSession.sparkContext.broadcast(_bits(classes, "cls"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()  # classes of this task's rows
@@ -166,14 +164,7 @@ def _fetched(rows: DataFrame, pairs: DataFrame, of) -> DataFrame:
                 if new:
                     yield pa.RecordBatch.from_arrays([pa.array(cls[new]), pa.array([held(k) for k in new], pa.binary())], ["cls", "held"])
 
-    return stored(rows.mapInArrow(fetch, "cls long, held binary").dropDuplicates(["cls"]), "fetched")
-
-
-def _whole_sets(batch: pa.RecordBatch):
-    for first, last in runs(batch.column(0)):
-        h, n, cls = _sets(batch.column(0).slice(first, last - first))
-        edge = np.concatenate([[0], np.cumsum(n)])
-        yield cls, lambda k, h=h, edge=edge: h[edge[k] : edge[k + 1]].tobytes()
+    return stored(mapped(rows, fetch, "cls long, held binary").dropDuplicates(["cls"]), "fetched")
 
 
 def _kept_prefixes(batch: pa.RecordBatch):
@@ -182,42 +173,125 @@ def _kept_prefixes(batch: pa.RecordBatch):
     yield cls, lambda k: n[k : k + 1].tobytes() + token[edge[k] : edge[k + 1]].tobytes()
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of pairs (a, b) of classes, those with 100 * intersection >= 75 * union. Prefixes rule most others out; whole sets are
-    made again, from the texts, for the classes of those that are left."""
+def _compared(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes with `same`, the size of their intersection, but for those that prefixes rule out. Whole sets are made
+    again for the classes that are left, from one text of each."""
     pairs = stored(pairs, "pairs")
-    prefixes = _fetched(sets.where("n > 0").select("cls", "n", "prefix"), pairs, _kept_prefixes)
-    likely = _joined(pairs, prefixes, _may_link)
-    whole = _fetched(texts, likely, _whole_sets)
-    links = _joined(likely, whole, _link)
-    released(pairs, prefixes, likely, whole)
-    return links
+    ends = lambda df: df.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
+    prefixes = _fetched(sets.where("n > 0").select("cls", "n", "prefix"), ends(pairs), _kept_prefixes)
+    likely = _joined(pairs, prefixes, _may_link, "likely").drop("same")
+    asked = stored(ends(likely), "asked")
+    one = sets.select("cls", "key").join(asked, "cls").groupBy("cls").agg(F.min("key").alias("key"))
+    keys = texts.sparkSession.sparkContext.broadcast(_bits(one.select("key").distinct(), "key"))
+
+    def of(batch: pa.RecordBatch):
+        some = batch.column(1).filter(pa.array(_marked(keys.value, batch.column(0).to_numpy())))
+        for first, last in runs(some):
+            h, n, cls = _sets(some.slice(first, last - first))
+            edge = np.concatenate([[0], np.cumsum(n)])
+            yield cls, lambda k, h=h, edge=edge: h[edge[k] : edge[k + 1]].tobytes()
+
+    whole = _fetched(texts, asked, of)
+    out = _joined(likely, whole, _same, "compared")
+    released(pairs, prefixes, asked, whole)
+    return out
+
+
+def _links(compared: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Adds both sizes and whether the two sets link."""
+    m, n = (sizes.select(F.col("cls").alias(c), F.col("n").alias(f"n_{c}")) for c in ("a", "b"))
+    return compared.join(m, "a").join(n, "b").withColumn("linked", F.expr("100 * same >= 75 * (n_a + n_b - same)"))
+
+
+def _rooted(entries: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Adds the component of each entry's class and how many classes that has."""
+    if roots is None:
+        return entries.withColumn("root", F.col("cls")).withColumn("weight", F.lit(1).cast("long"))
+    of = roots.join(roots.groupBy("root").agg(F.count("*").alias("weight")), "root").select(F.col("node").alias("cls"), "root", "weight")
+    return entries.join(of, "cls", "left").withColumn("root", F.coalesce("root", "cls")).withColumn("weight", F.coalesce("weight", F.lit(1)))
+
+
+def _asked(entries: DataFrame, turn: int) -> DataFrame:
+    """Pairs (a, b) of classes and leaders of their lists. Lists of one component are skipped whole.
+
+    At first the smallest set leads a list, and each class asks the one leader that it shares most entries with. Later any class of the
+    list's largest component leads, another one in each list, and the others ask the leaders of all their lists: a pair an entry at most."""
+    order = F.struct("n", "cls", "root", "place") if turn == 0 else F.struct((-F.col("weight")).alias("w"), F.xxhash64("cls", "token", F.lit(turn)).alias("h"), "cls", "root", "n", "place")
+    lead = entries.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(order).alias("lead")).where("low < high").select("token", "lead")
+    near = "4 * n >= 3 * lead.n and 4 * lead.n >= 3 * n and 7 * least(n - place, lead.n - lead.place) >= 3 * (n + lead.n)"
+    led = entries.join(lead, "token").where(f"root <> lead.root and {near}").select("cls", F.col("lead.cls").alias("a"))
+    if turn == 0:
+        shared = led.groupBy("cls", "a").agg(F.count("*").alias("k"))
+        led = shared.groupBy("cls").agg(F.max(F.struct("k", "a")).alias("best")).select("cls", "best.a")
+    return led.select(F.least("a", "cls").alias("a"), F.greatest("a", "cls").alias("b")).distinct()
+
+
+def _block(n: str) -> str:
+    return f"cast(floor(log({n}) / log({BLOCK})) as int)"
+
+
+#: Two entries of one list that may stand for a link, the first one's set not above the other's.
+_MEET = (
+    "x.token = y.token and x.block = y.block and x.root <> y.root and struct(x.n, x.cls) < struct(y.n, y.cls) and 4 * x.n >= 3 * y.n "
+    "and 7 * least(x.n - x.place, y.n - y.place) >= 3 * (x.n + y.n)"
+)
+_ENTRY = ["token", "cls", "n", "place"]
+
+
+def _blocked(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entries in the blocks of their size, and in all blocks that they must meet: from its place and size an entry works out which
+    sizes not above its own can still reach it."""
+    most = "least(n, cast(floor((7 * (n - place) - 3 * n) / 3) as bigint))"
+    least = "cast(ceil(3 * n / 4) as bigint)"
+    away = entries.where(f"{most} >= {least}").withColumn("block", F.explode(F.expr(f"sequence({_block(least)}, {_block(most)})")))
+    return entries.withColumn("block", F.expr(_block("n"))).alias("x"), away.alias("y")
+
+
+def _live(entries: DataFrame) -> DataFrame:
+    """The entries that have something to meet in another component."""
+    several = entries.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
+    open_ = stored(entries.join(several, "token", "left_semi"), "open")
+    x, y = _blocked(open_)
+    both = x.join(y, F.expr(_MEET), "left_semi").select(*_ENTRY).unionAll(y.join(x, F.expr(_MEET), "left_semi").select(*_ENTRY))
+    out = stored(both.dropDuplicates(["token", "cls"]), "live")
+    released(open_)
+    return out
 
 
-def _open_lists(entries: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """Entries of the lists that still hold several components, with their component."""
-    with_root = entries.withColumn("root", F.col("cls")) if roots is None else entries.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    with_root = stored(with_root, "entries")
-    several = with_root.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
-    return with_root.join(several, "token", "left_semi")
+def _crossing(entries: DataFrame) -> DataFrame:
+    """Pairs (a, b) across components that share a token at places from which both can still link."""
+    x, y = _blocked(entries)
+    return x.join(y, F.expr(_MEET)).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b")).distinct()
 
 
-def _long_enough(small: str, large: str) -> str:
-    return f"4 * {small} >= 3 * {large}"
+def _derived(pairs: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links, and the pairs left to compare, by the answers of similar sets. Of a set b that links with L and a set a that was compared with L,
+    a shares with b at least what it shares with L without what of L is not in b, and at most that and what of b is not in L."""
+    both = known.select("a", "b", "same", "n_a", "n_b", "linked").unionAll(known.select("b", "a", "same", "n_b", "n_a", "linked")).toDF("cls", "lead", "same", "n", "n_lead", "linked")
+    leads = both.where("linked").groupBy("cls").agg(F.max(F.struct("same", "lead", "n_lead")).alias("l")).select("cls", "l.lead", F.col("l.same").alias("held"), F.col("l.n_lead").alias("size"))
+    answers = both.select("cls", "lead", "same").distinct()
+    out = pairs
+    for this, that in (("a", "b"), ("b", "a")):
+        of = leads.select(F.col("cls").alias(that), F.col("lead"), "held", "size")
+        out = out.join(of, that, "left").join(answers.select(F.col("cls").alias(this), "lead", "same"), [this, "lead"], "left")
+        out = out.withColumn(f"low_{this}", F.expr("same - (size - held)")).withColumn(f"high_{this}", F.expr(f"same + n_{that} - held")).drop("lead", "held", "size", "same")
+    out = stored(out.withColumn("low", F.greatest("low_a", "low_b")).withColumn("high", F.least("high_a", "high_b")), "derived")
+    need = "3 * (n_a + n_b)"
+    return out.where(f"7 * low >= {need}").select("a", "b"), out.where(f"(low is null or 7 * low < {need}) and (high is null or 7 * high >= {need})").select("a", "b")
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", star_rounds: int = 2) -> DataFrame:
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", star_rounds: int = STAR_ROUNDS) -> DataFrame:
     """Per row: id, n_shingles, and component_id, the smallest id reachable by links."""
     spark = docs.sparkSession
-    given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    texts = given.select("text")
-    classes = spark.sparkContext.broadcast(rarity(texts))
+    given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(id_col).alias("key"))
+    texts = given.select("key", "text")
+    classes = spark.sparkContext.broadcast(rarity(given.select("text")))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield from _prefixes(batch, classes.value)
 
-    sets = stored(given.mapInArrow(prefixes, f"id {dict(given.dtypes)['id']}, cls long, n long, prefix array<long>"), "prefixes")
+    sets = stored(mapped(given, prefixes, f"id {dict(given.dtypes)['id']}, cls long, n long, prefix array<long>, key long"), "prefixes")
 
     # Lists of one class need no entries.
     tokens = sets.select("cls", F.explode("prefix").alias("token")).groupBy("token").agg(F.min("cls").alias("low"), F.max("cls").alias("high"))
@@ -233,35 +307,37 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             keep = _marked(several.value, token)
             yield pa.RecordBatch.from_arrays([pa.array(token[keep]), pa.array(cls[own[keep]]), pa.array(n[own[keep]]), pa.array(place[keep].astype(np.int64))], ["token", "cls", "n", "place"])
 
-    entries = sets.select("cls", "n", "prefix").where("n > 0").mapInArrow(indexed, "token long, cls long, n long, place long")
+    entries = mapped(sets.select("cls", "n", "prefix").where("n > 0"), indexed, "token long, cls long, n long, place long")
     entries = stored(entries.groupBy("token", "cls").agg(F.min("n").alias("n"), F.min("place").alias("place")), "index")
+    sizes = entries.groupBy("cls").agg(F.min("n").alias("n"))
 
-    found: DataFrame | None = None
+    live = entries
+    known: DataFrame | None = None
+    links: DataFrame | None = None
     roots: DataFrame | None = None
-    for turn in range(star_rounds + 1):
-        lists = stored(_open_lists(entries, roots), "open")
-        if turn < star_rounds:
-            # the smallest set leads first, later any one
-            order = F.struct("n", "cls", "root") if turn == 0 else F.struct(F.xxhash64("cls", F.lit(turn)).alias("h"), "cls", "root", "n")
-            lead = lists.groupBy("token").agg(F.min(order).alias("lead")).select("token", F.col("lead.cls").alias("a"), F.col("lead.n").alias("m"), F.col("lead.root").alias("lead_root"))
-            led = lists.join(lead, "token").where("root <> lead_root").where(f"{_long_enough('n', 'm')} and {_long_enough('m', 'n')}")
-            # each class asks the one leader that it shares most entries with
-            shared = led.groupBy("cls", "a").agg(F.count("*").alias("k"))
-            asked = shared.groupBy("cls").agg(F.max(F.struct("k", "a")).alias("best"))
-            pairs = asked.select(F.least("best.a", "cls").alias("a"), F.greatest("best.a", "cls").alias("b"))
+    for turn in range(star_rounds):
+        compared = _compared(_asked(_rooted(live, roots), turn), sets, texts)
+        made = stored(_links(compared, sizes), "answers")
+        released(compared)
+        known = made if known is None else known.unionAll(made)
+        links = known.where("linked").select("a", "b")
+        new, roots = roots, components(links)
+        if new is not None:
+            released(new)
+        if turn == 0:
+            live = _live(_rooted(entries, roots))
         else:
-            x, y = lists.alias("x"), lists.alias("y")
-            least = "least(x.n - x.place, y.n - y.place)"
-            pairs = (
-                x.join(y, F.expr(f"x.token = y.token and x.root < y.root and {_long_enough('x.n', 'y.n')} and {_long_enough('y.n', 'x.n')} and 7 * {least} >= 3 * (x.n + y.n)"))
-                .select(F.least("x.cls", "y.cls").alias("a"), F.greatest("x.cls", "y.cls").alias("b"))
-            )
-        links = _verified(pairs.distinct(), sets, texts)
-        found = links if found is None else stored(found.unionAll(links), "links")
-        roots = components(found)
+            counts = made.agg(F.count("*").alias("all"), F.count_if("linked").alias("linked")).first()
+            if counts["linked"] * FEW_LINKS < counts["all"] or not counts["all"]:
+                break
+    easy, hard = _derived(_crossing(_rooted(live, roots)), known)
+    last = _compared(hard, sets, texts)
+    links = links.unionAll(easy).unionAll(_links(last, sizes).where("linked").select("a", "b"))
+    roots = components(links)
 
     rows = sets.select("id", "cls", "n").join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").select("id", "n", F.coalesce("root", "cls").alias("root"))
     rows = stored(rows, "rows")
+    released(sets, entries, live, last, roots)
     least = rows.where("n > 0").groupBy("root").agg(F.min("id").alias("least"))
     return rows.join(least, "root", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
 
