@@ -1,14 +1,14 @@
-"""Main text of HTML pages, from the events of the standard library's parser.
+"""Main text of HTML pages, from the events of the standard library's parser and the text-to-tag ratios of lines.
 
-The events of a page become lines: one for each block element's text, with its white space as single spaces. A line knows
-how many tags it took, the container it stands in, and whether markup names it as something beside the article (menus,
-headers, footers, sidebars, notices, adverts, forms, comments). The characters for each tag of the lines left are smoothed
-with a Gaussian along the page, and lines at or over a threshold (the smoothed ratios' standard deviation, but not more
-than their mean) are content; neighbouring content lines form regions. Whole containers that hold a region are the
-main text if the page marks an article; else the lines from the first to the last of each run of regions that share a
-container, with the headings right before them.
+The events of a page become lines: one for each block element's text, with its white space as single spaces, with the tags it took and
+the containers it stands in. The logarithms of the characters for each tag are smoothed with a Gaussian along the page
+and multiplied by the weight of the line's markup: what it names as something beside an article (menus, footers, sidebars,
+notices, adverts, forms, comments) weighs less, what stands in an article more. Lines at or over a threshold (the values' standard
+deviation, but not more than their mean) are content. The container with the most value over the threshold, all its lines
+taken together, holds the main text: its lines from the first to the last region of content, with the headings right before, but for inner
+containers without any content. Markup alone rules no line in or out; only scripts, styles and the like have no lines.
 
-Nothing is cut from a line and no line within the main text is dropped for being short. A page is worked on alone.
+Nothing is cut from a line. A page is worked on alone.
 
 Defined results: null, empty and text-free pages give the empty text; markup that ends early counts as closed where the
 page ends; unknown character references stay as written; repeated pages get equal results; extra columns pass through and
@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,9 @@ from pyspark.sql import types as T
 from dagframe.llm.shared import mapped
 
 #: Elements by their part in a page.
-NEVER = frozenset("head title script style noscript template nav footer aside form button select textarea option iframe object svg canvas audio video menu dialog".split())
-CONTAINERS = frozenset("html body div section article main ul ol dl table tbody thead tfoot tr header figure fieldset details blockquote center".split()) | NEVER
+HIDDEN = frozenset("head title script style noscript template iframe object svg canvas audio video".split())
+ASIDE = frozenset("nav footer aside form button select textarea option menu dialog".split())
+CONTAINERS = frozenset("html body div section article main ul ol dl table tbody thead tfoot tr header figure fieldset details blockquote center".split()) | HIDDEN | ASIDE
 LINES = frozenset("p li dt dd h1 h2 h3 h4 h5 h6 pre td th caption figcaption address summary legend hr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -42,46 +44,58 @@ BESIDE = frozenset(
     "complementary search alert dialog disclaimer".split()
 )
 BESIDE_OUTSIDE = frozenset("header masthead banner topbar hidden toc tags meta".split())
+BESIDE_ARTICLE = frozenset("comment comments ad ads advert sponsored related promo".split())
 ARTICLES = frozenset(("article", "main"))
 SIGMA = 1.0
+#: Weights of lines in articles, and of lines that markup puts beside one.
+INSIDE, OUTSIDE = 2.0, 0.25
 
 _words = re.compile("[a-z]+")
 _kernel = np.exp(-np.arange(-2, 3) ** 2 / (2 * SIGMA**2))
 _kernel /= _kernel.sum()
 
 
+class Line(NamedTuple):
+    text: str
+    tags: int
+    places: tuple[int, ...]  # containers from the outermost
+    heading: bool
+    weight: float
+
+
 class _Lines(HTMLParser):
-    """Lines of one page: (text, tags, containers from the outermost, heading)."""
+    """Lines of one page."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, tuple[int, ...], bool]] = []
-        self.open: list[tuple[str, bool]] = []  # elements and whether their text stays out
-        self.places: list[int] = []  # numbers of the open containers; articles are negative
+        self.lines: list[Line] = []
+        self.open: list[tuple[str, bool, bool]] = []  # containers, whether they have no text, and whether they stand beside the article
+        self.places: list[int] = []
         self.made = 0
         self.text: list[str] = []
         self.tags = 0
-        self.out = 0  # open elements whose text stays out
-        self.articles = 0
-        self.heading = False
+        self.hidden = self.beside = self.articles = 0  # open elements of these kinds
+        self.heading = self.aside = False  # of the open line
 
     def _flush(self) -> None:
         line = " ".join("".join(self.text).split())
         if line:
-            self.lines.append((line, self.tags, tuple(self.places), self.heading))
+            weight = OUTSIDE if self.beside or self.aside else INSIDE if self.articles else 1.0
+            self.lines.append(Line(line, self.tags, tuple(self.places), self.heading, weight))
             self.tags = 0
         self.text = []
 
     def _close(self, upto: int) -> None:
         while len(self.open) > upto:
-            tag, out = self.open.pop()
-            self.out -= out
-            if tag in CONTAINERS:
-                self.places.pop()
-                self.articles -= tag in ARTICLES
-
-    def _beside(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
-        if tag in NEVER or (tag == "header" and not self.articles):
+            tag, hidden, beside = self.open.pop()
+            self.hidden -= hidden
+            self.beside -= beside
+            self.places.pop()
+            self.articles -= tag in ARTICLES
+
+    def _named(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+        """Whether markup names the element as something beside the article."""
+        if tag in ASIDE or (tag == "header" and not self.articles):
             return True
         if not attrs or tag in ("html", "body", "main"):
             return False
@@ -92,7 +106,7 @@ class _Lines(HTMLParser):
             elif k == "hidden" or (k == "aria-hidden" and v == "true"):
                 return True
         if tag == "article":
-            return bool(found & {"comment", "comments", "ad", "ads", "advert", "sponsored", "related", "promo"})
+            return bool(found & BESIDE_ARTICLE)
         return bool(found & BESIDE) or (not self.articles and bool(found & BESIDE_OUTSIDE))
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -103,22 +117,16 @@ class _Lines(HTMLParser):
         container, line = tag in CONTAINERS, tag in LINES
         if container or line:
             self._flush()
-            # A block ends open lines and the inline elements in them.
-            upto = len(self.open)
-            while upto and self.open[upto - 1][0] not in CONTAINERS:
-                upto -= 1
-            self._close(upto)
             self.heading = tag in HEADINGS
-        if tag in VOID:
-            return
-        out = self._beside(tag, attrs)
-        if container:
+            self.aside = line and self._named(tag, attrs)
+        if container and tag not in VOID:
+            beside = self._named(tag, attrs)
+            self.open.append((tag, tag in HIDDEN, beside))
+            self.hidden += tag in HIDDEN
+            self.beside += beside
             self.made += 1
+            self.places.append(self.made)
             self.articles += tag in ARTICLES
-            self.places.append(-self.made if tag in ARTICLES else self.made)
-        if container or out:
-            self.open.append((tag, out))
-            self.out += out
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -129,21 +137,19 @@ class _Lines(HTMLParser):
         self.tags += 1
         if tag in CONTAINERS or tag in LINES:
             self._flush()
-            self.heading = False
-        for k in range(len(self.open) - 1, -1, -1):
-            name = self.open[k][0]
-            if name == tag:
-                self._close(k)
-                break
-            if tag not in CONTAINERS and name in CONTAINERS:
-                break  # the end of a line or inline element closes no container
+            self.heading = self.aside = False
+        if tag in CONTAINERS:
+            for k in range(len(self.open) - 1, -1, -1):
+                if self.open[k][0] == tag:
+                    self._close(k)
+                    break
 
     def handle_data(self, data: str) -> None:
-        if not self.out:
+        if not self.hidden:
             self.text.append(data)
 
 
-def lines_of(html: str) -> list[tuple[str, int, tuple[int, ...], bool]]:
+def lines_of(html: str) -> list[Line]:
     parser = _Lines()
     parser.feed(html)
     parser.close()
@@ -151,35 +157,36 @@ def lines_of(html: str) -> list[tuple[str, int, tuple[int, ...], bool]]:
     return parser.lines
 
 
-def content_lines(ratios: np.ndarray) -> np.ndarray:
-    """Which lines are content, by their smoothed characters for each tag."""
-    padded = np.pad(ratios, 2, mode="edge")
-    smooth = np.convolve(padded, _kernel, "valid")
-    return smooth >= min(smooth.std(), smooth.mean())
+def values(ratios: np.ndarray, weights: np.ndarray, kernel: np.ndarray = _kernel) -> np.ndarray:
+    """Of each line: the logarithm of its characters for each tag, smoothed along the page, times its weight."""
+    half = len(kernel) // 2
+    return np.convolve(np.pad(np.log1p(ratios), half, mode="edge"), kernel, "valid") * weights
 
 
-def main_text(html: str) -> str:
+def main_text(html: str, kernel: np.ndarray = _kernel) -> str:
     lines = lines_of(html)
     if not lines:
         return ""
-    content = content_lines(np.array([len(text) / max(1, tags) for text, tags, _, _ in lines]))
-    if not content.any():
-        content[:] = True
-    article = [next((p for p in places if p < 0), 0) for _, _, places, _ in lines]
-    if any(article):
-        held = {a for a, c in zip(article, content, strict=True) if a and c} or set(article) - {0}
-        return "\n".join(text for (text, *_), a in zip(lines, article, strict=True) if a in held)
-    keep = content.copy()
-    parents = [places[-1] if places else 0 for _, _, places, _ in lines]
-    last: dict[int, int] = {}
-    for k in np.flatnonzero(content):
-        if parents[k] in last:
-            for j in range(last[parents[k]] + 1, k):
-                keep[j] |= parents[k] in lines[j][2]
-        last[parents[k]] = k
-    for k in range(len(lines) - 2, -1, -1):
-        keep[k] |= keep[k + 1] and lines[k][3]
-    return "\n".join(text for (text, *_), k in zip(lines, keep, strict=True) if k)
+    value = values(np.array([len(x.text) / max(1, x.tags) for x in lines]), np.array([x.weight for x in lines]), kernel)
+    over = value - min(value.std(), value.mean())
+    content = over >= 0
+    # The container that gains most by what its lines are over the threshold; of equal ones the innermost.
+    sums: dict[int, float] = {}
+    held: set[int] = set()
+    for x, gain, good in zip(lines, over.tolist(), content.tolist(), strict=True):
+        for place in (0, *x.places):
+            sums[place] = sums.get(place, 0.0) + gain
+            if good:
+                held.add(place)
+    best = max(sums, key=lambda place: (round(sums[place], 9), place))
+    own = [best == 0 or best in x.places for x in lines]
+    # Inner containers without any content go.
+    kept = [mine and all(p in held for p in x.places if p > best) for x, mine in zip(lines, own, strict=True)]
+    good = [k for k in range(len(lines)) if kept[k] and content[k]]
+    first, last = good[0], good[-1]
+    while first and kept[first - 1] and lines[first - 1].heading:
+        first -= 1
+    return "\n".join(lines[k].text for k in range(first, last + 1) if kept[k])
 
 
 def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:

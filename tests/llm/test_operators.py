@@ -248,8 +248,48 @@ def test_html():
     assert made[0] == "Title" and made[2] == "Yes." and len(made) == 4
 
 
+def test_html_regions_need_smoothing():
+    # one short line among long ones, menu and advert around them, no class names at all
+    page = "<body><div><p>a</p><p>b</p><p>c</p></div><div>" + "".join(f"<p>{'words of the story ' * n}</p>" for n in (9, 9, 8, 9)) + "<p>Yes.</p></div><div><p>x</p><p>y</p></div></body>"
+    whole = html.main_text(page).split("\n")
+    assert len(whole) == 5 and whole[-1] == "Yes."
+    assert html.main_text(page, np.ones(1)).split("\n") == whole[:4]
+
+
+def plain_values(lines):
+    """Ratios, smoothing and weights as the module's text says, one line at a time."""
+    raw = [math.log(1 + len(x.text) / max(1, x.tags)) for x in lines]
+    bell = [math.exp(-d * d / 2) for d in (-2, -1, 0, 1, 2)]
+    return [sum(b * raw[min(max(k + d, 0), len(raw) - 1)] for b, d in zip(bell, (-2, -1, 0, 1, 2), strict=True)) / sum(bell) * lines[k].weight for k in range(len(raw))]
+
+
+def plain_main_text(page):
+    lines = html.lines_of(page)
+    if not lines:
+        return ""
+    v = plain_values(lines)
+    mean = sum(v) / len(v)
+    limit = min(math.sqrt(sum((x - mean) ** 2 for x in v) / len(v)), mean)
+    places = sorted({0, *(p for x in lines for p in x.places)})
+    inside = {p: [k for k, x in enumerate(lines) if p == 0 or p in x.places] for p in places}
+    best = max(places, key=lambda p: (round(sum(v[k] - limit for k in inside[p]), 9), p))
+    kept = [k for k in inside[best] if not any(p > best and all(v[j] < limit for j in inside[p]) for p in lines[k].places)]
+    good = [k for k in kept if v[k] >= limit]
+    first = good[0]
+    while first - 1 in kept and lines[first - 1].heading:
+        first -= 1
+    return "\n".join(lines[k].text for k in kept if first <= k <= good[-1])
+
+
+def test_html_against_a_plain_version(spark):
+    pages = [r.html or "" for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    assert all(html.main_text(p) == plain_main_text(p) for p in pages)
+    long = "<article>" + "<p>some words here and there</p>" * 20000 + "</article>"
+    assert html.main_text(long) == "\n".join(["some words here and there"] * 20000)
+
+
 def test_html_frame(spark):
-    df = spark.createDataFrame([(1, "<p>" + "a " * 50 + "</p>", "old"), (2, None, "old"), (3, "", "old")], "page_id long, html string, text string")
+    df = spark.createDataFrame([(1, "<p>" + "a " * 50 + "</p>", "old"), (2, None, "old"), (3, "", "old"), (3, "", "old")], "page_id long, html string, text string")
     assert {r.page_id: len(r.text) for r in html.extract(df).collect()} == {1: 99, 2: 0, 3: 0}
     assert html.extract(empty(df)).count() == 0
 
