@@ -5,8 +5,8 @@ window goes through byte embeddings, filters of several widths, the maximum over
 a softmax; a text's probabilities are the mean over its windows by their bytes. For prediction, filters times embeddings are
 summed beforehand for every pair of bytes, so that a place costs a few table rows.
 
-Training reads at most `sample` labelled rows, those whose ids have the smallest MD5, and at most WINDOWS_OF_ROW windows
-spread over each, in one task. Inputs are the text's bytes alone.
+Training reads all windows of at most `sample` labelled rows, those whose ids have the smallest MD5, in one task; a row weighs
+as much as any other, however long. Inputs are the text's bytes alone.
 
 Defined results: a null text or one without a letter is `und` with score 0; so is every text if no row is labelled; a null
 language is no label; equal rows get equal answers; extra columns pass through and columns named as outputs are replaced.
@@ -29,8 +29,8 @@ from dagframe.llm.wordbytes import runs, text_bytes
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS, EMBEDDING = 8, 8
-#: Bounds of what training reads.
-SAMPLE, WINDOWS_OF_ROW = 3000, 3
+#: Bound of the labelled rows that training reads.
+SAMPLE = 1500
 BATCH, EPOCHS, RATE = 64, 3, 0.01
 UNKNOWN = "und"
 
@@ -88,9 +88,9 @@ class Network:
                 np.add.at(g["byte"], b, d[:, :, None] * self.p[f"filter{w}"][o].T[None])
         return g
 
-    def fit(self, x: np.ndarray, y: np.ndarray, seed: int = 4) -> None:
-        """Adam over batches; classes weigh alike."""
-        share = len(y) / (np.bincount(y, minlength=len(self.languages)) * len(self.languages))
+    def fit(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, seed: int = 4) -> None:
+        """Adam over batches; classes weigh alike, and windows within one by `weight`."""
+        share = weight * (len(y) / (np.bincount(y, weight, len(self.languages)) * len(self.languages)))[y]
         first = {k: np.zeros_like(v) for k, v in self.p.items()}
         second = {k: np.zeros_like(v) for k, v in self.p.items()}
         r, t = np.random.default_rng(seed), 0
@@ -98,7 +98,7 @@ class Network:
             order = r.permutation(len(y))
             for k in range(0, len(y), BATCH):
                 at, t = order[k : k + BATCH], t + 1
-                for name, g in self.learn(x[at], y[at], share[y[at]]).items():
+                for name, g in self.learn(x[at], y[at], share[at]).items():
                     first[name] += 0.1 * (g - first[name])
                     second[name] += 0.001 * (g * g - second[name])
                     self.p[name] = self.p[name] - RATE * (first[name] / (1 - 0.9**t)) / (np.sqrt(second[name] / (1 - 0.999**t)) + 1e-8)
@@ -133,21 +133,17 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     rows = rows.repartition(1).sortWithinPartitions("_order", "_text", "_lang").select("_text", "_lang")
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x, lang = [], []
+        x, weight, lang = [], [], []
         for batch in batches:
             for first, last in runs(batch.column(0)):
-                rows, owner, held = windows_of(*text_bytes(batch.column(0).slice(first, last - first)))
-                n = np.bincount(owner, minlength=last - first)
-                rank = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-                # spread over the text, whole windows if it has any
-                step = np.maximum(1, n // WINDOWS_OF_ROW)[owner]
-                keep = (rank % step == 0) & (rank // step < WINDOWS_OF_ROW) & ((held == WINDOW) | (n[owner] == 1))
-                x.append(rows[keep])
-                lang += [batch.column(1)[first + int(k)].as_py() for k in owner[keep]]
+                rows, owner, _ = windows_of(*text_bytes(batch.column(0).slice(first, last - first)))
+                x.append(rows)
+                weight.append(1 / np.bincount(owner, minlength=last - first)[owner])
+                lang += [batch.column(1)[first + int(k)].as_py() for k in owner]
         if lang:
             names, y = np.unique(lang, return_inverse=True)
             net = Network(names.tolist())
-            net.fit(np.concatenate(x), y)
+            net.fit(np.concatenate(x), y, np.concatenate(weight))
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], ["net"])
 
     made = mapped(rows, learn, "net binary").collect()  # some 20 KB
