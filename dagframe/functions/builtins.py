@@ -49,7 +49,8 @@ def length(xs: Column) -> Column:
 
 
 def sum_(xs: Column) -> Column:
-    return F.aggregate(xs, F.lit(0).cast("decimal(38,6)"), lambda a, x: (a + x).cast("decimal(38,6)"))
+    """Exact to 18 decimals."""
+    return F.aggregate(xs, F.lit(0).cast("decimal(37,18)"), lambda a, x: (a + x.cast("decimal(37,18)")).cast("decimal(37,18)"))
 
 
 def all_(p: Fn, xs: Column) -> Column:
@@ -102,12 +103,13 @@ def from_json(schema: str, text: Column) -> Column:
 
 def sort_by(key: Fn, xs: Column) -> Column:
     """Stable: equal keys keep their order, which goes into the sort as their second key."""
-    keyed = F.transform(xs, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"), x.alias("x")))
-    return F.transform(F.array_sort(keyed), lambda e: e["x"])
+    keyed = F.transform(xs, lambda x, i: F.struct(key(x).alias("k"), i.alias("i")))
+    return F.transform(F.array_sort(keyed), lambda e: F.get(xs, e["i"]))
 
 
 def _bounded(n: Column, xs: Column) -> Column:
-    return F.greatest(F.lit(0), F.least(_c(n).cast("int"), F.size(xs)))
+    whole = _c(n).cast("double") == F.floor(_c(n).cast("double"))
+    return guarded(whole, F.greatest(F.lit(0), F.least(F.floor(_c(n).cast("double")).cast("long"), F.size(xs))).cast("int"), "TYPE_MISMATCH", "not a whole number")
 
 
 def take(n: Column, xs: Column) -> Column:
@@ -198,7 +200,24 @@ def fold_right(f: Fn, start: Column, xs: Column) -> Column:
     return F.aggregate(F.reverse(xs), _c(start), lambda a, x: f(x, a))
 
 
-#: name -> (arity, function), data last.
+def total_order(x: Column) -> Column:
+    """A key that puts JSON values (variants) of any types in one order: null, bool, number, string, array, object."""
+    kind = F.regexp_extract(F.schema_of_variant(x), "^[A-Z]+", 0)
+    rank = F.when(kind == "VOID", 0).when(kind == "BOOLEAN", 1).when(kind.isin("BIGINT", "DECIMAL", "DOUBLE"), 2).when(kind == "STRING", 3).when(kind == "ARRAY", 4).otherwise(5)
+    return F.struct(rank.alias("rank"), F.try_variant_get(x, "$", "boolean").alias("flag"), F.when(rank == 2, F.try_variant_get(x, "$", "double")).alias("number"), F.when(rank >= 3, F.to_json(x)).alias("text"))
+
+
+def sort_any(xs: Column) -> Column:
+    """An array of variants in the total order, equal ones as they came."""
+    return sort_by(total_order, xs)
+
+
+def distinct_in_order(xs: Column) -> Column:
+    """Without repeats; the first of each stays in place."""
+    return F.array_distinct(xs)
+
+
+#: The names and numbers of arguments; name -> (arity, function), data last.
 BUILTINS: dict[str, tuple[int, Fn]] = {
     "map": (2, map_), "fmap": (2, map_), "filter": (2, filter_), "zip": (2, zip_), "zipWith": (3, zip_with), "length": (1, length), "sum": (1, sum_),
     "all": (2, all_), "any": (2, any_), "min": (2, min_), "max": (2, max_), "abs": (1, F.abs), "clamp": (3, clamp), "concat": (1, concat),

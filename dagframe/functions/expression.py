@@ -275,8 +275,10 @@ def projection(outputs: Mapping[str, Node], lets: Mapping[str, Node] | None = No
 
     Lets see the inputs and earlier lets; the fields of `where` may shadow both."""
 
-    def run(df: DataFrame) -> DataFrame:
-        env: dict[str, Any] = {c: F.col(f"`{c}`") for c in df.columns}
+    prepared: dict[tuple[str, ...], list[Column]] = {}
+
+    def compile_for(names: tuple[str, ...]) -> list[Column]:
+        env: dict[str, Any] = {c: F.col(f"`{c}`") for c in names}
         for name, x in (lets or {}).items():
             env[name] = compiled(x, env)
         if where is not None:
@@ -284,6 +286,45 @@ def projection(outputs: Mapping[str, Node], lets: Mapping[str, Node] | None = No
             if not isinstance(opened, Struct):
                 raise ExpressionError("WHERE_NOT_RECORD", "where")
             env.update(opened.fields)
-        return df.select(*(value(compiled(x, env)).alias(port) for port, x in outputs.items()))
+        return [value(compiled(x, env)).alias(port) for port, x in outputs.items()]
+
+    def run(df: DataFrame) -> DataFrame:
+        names = tuple(df.columns)
+        if names not in prepared:
+            prepared[names] = compile_for(names)
+        return df.select(*prepared[names])
 
     return run
+
+
+def bound_inputs(ports: Mapping[str, str], given: list[tuple[str | None, str, Any]]) -> dict[str, Any]:
+    """Inputs by port. `ports` has the contract of each label, `given` (label or None, contract, value): a labelled one goes to its port, one
+    without a label to the only port of its contract, and a single port without a name is called `in`."""
+    out: dict[str, Any] = {}
+    for label, contract, x in given:
+        fits = [p for p, c in ports.items() if c == contract and (label is None or p == label)]
+        if label is not None and label not in ports:
+            raise ExpressionError("INPUT_UNKNOWN", label)
+        if not fits:
+            raise ExpressionError("INPUT_CONTRACT", contract)
+        if len(fits) > 1 or fits[0] in out:
+            raise ExpressionError("INPUT_NOT_CLEAR", contract)
+        out[fits[0]] = x
+    lacking = sorted(set(ports) - set(out))
+    if lacking:
+        raise ExpressionError("INPUT_LACKING", lacking[0])
+    return {"in": next(iter(out.values()))} if list(ports) == [""] else out
+
+
+def merged_settings(a: Any, b: Any) -> Any:
+    """Settings known while planning: mappings merge into each other, right wins elsewhere."""
+    if isinstance(a, Mapping) and isinstance(b, Mapping):
+        return {k: merged_settings(a[k], b[k]) if k in a and k in b else b.get(k, a.get(k)) for k in {**a, **b}}
+    return b
+
+
+def joined_settings(a: Any, b: Any) -> Any:
+    """Two texts or two lists, one after the other."""
+    if type(a) is not type(b) or not isinstance(a, (str, list)):
+        raise ExpressionError("TYPE_MISMATCH", "neither two texts nor two lists")
+    return a + b

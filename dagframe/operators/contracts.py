@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: What a type name admits among the types of Spark's JSON schemas.
@@ -20,7 +20,8 @@ def _kind(v: Column) -> Column:
 
 def _is(v: Column, name: str) -> Column:
     if name == "integer":
-        return _kind(v).isin("BIGINT") | (_kind(v).isin("DECIMAL", "DOUBLE") & (F.variant_get(v, "$", "double") == F.floor(F.variant_get(v, "$", "double"))))
+        whole = F.when(_kind(v) == "DECIMAL", F.try_variant_get(v, "$", "string").rlike(r"^-?[0-9]+([.]0*)?$")).when(_kind(v) == "DOUBLE", F.try_variant_get(v, "$", "double") % 1 == 0)
+        return (_kind(v) == "BIGINT") | F.coalesce(whole, F.lit(False))
     if name not in _KINDS:
         raise MalformedSchema(f"type {name}")
     return _kind(v).isin(*_KINDS[name])
@@ -30,10 +31,19 @@ def _error(code: str, path: str) -> Column:
     return F.struct(F.lit(code).alias("code"), F.lit(path).alias("path"))
 
 
-def checks(payload: Column, schema: dict, path: str = "$") -> list[Column]:
-    """Errors in order, null where none: enum, type, lengths, bounds, required, unexpected, properties by name, items."""
-    at = F.try_variant_get(payload, path, "variant")
-    text, number = F.try_variant_get(payload, path, "string"), F.try_variant_get(payload, path, "double")
+def _step(name: str) -> str:
+    """A property in a variant's path, whatever signs its name has."""
+    if '"' in name and "'" in name:
+        raise MalformedSchema(f"property {name}")
+    return f"['{name}']" if '"' in name else f'["{name}"]'
+
+
+def checks(payload: Column, schema: dict, path: str = "$", place: str = "$") -> list[Column]:
+    """Errors in order, null where none: enum, type, lengths, bounds, required, unexpected, properties by name, items.
+
+    `path` is how an error names the value, `place` where it stands in the payload."""
+    at = F.try_variant_get(payload, place, "variant")
+    text, number = F.try_variant_get(payload, place, "string"), F.try_variant_get(payload, place, "double")
     there = at.isNotNull()
     out = []
     if "enum" in schema:
@@ -56,16 +66,16 @@ def checks(payload: Column, schema: dict, path: str = "$") -> list[Column]:
             out.append(F.when(there & bad(schema[name]), _error(code, path)))
     is_object = there & _is(at, "object")
     for name in schema.get("required", []):
-        out.append(F.when(is_object & F.try_variant_get(payload, f"{path}.{name}", "variant").isNull(), _error("MISSING", f"{path}.{name}")))
+        out.append(F.when(is_object & F.try_variant_get(payload, place + _step(name), "variant").isNull(), _error("MISSING", f"{path}.{name}")))
     properties = schema.get("properties", {})
     if schema.get("additionalProperties") is False:
-        held = F.map_keys(F.try_variant_get(payload, path, "map<string,variant>"))
+        held = F.map_keys(F.try_variant_get(payload, place, "map<string,variant>"))
         extra = F.array_except(held, F.array(*map(F.lit, properties)) if properties else F.array().cast("array<string>"))
         out.append(F.when(is_object & (F.size(extra) > 0), F.struct(F.lit("UNEXPECTED").alias("code"), F.concat(F.lit(f"{path}."), F.array_min(extra)).alias("path"))))
     for name in sorted(properties):
-        out += checks(payload, properties[name], f"{path}.{name}")
+        out += checks(payload, properties[name], f"{path}.{name}", place + _step(name))
     if "items" in schema:
-        items = F.try_variant_get(payload, path, "array<variant>")
+        items = F.try_variant_get(payload, place, "array<variant>")
         first = F.transform(items, lambda x, i: F.coalesce(*(_moved(c, path, i) for c in checks(x, schema["items"], "$"))))
         out.append(F.get(F.filter(first, lambda e: e.isNotNull()), F.lit(0)))
     return out
@@ -94,6 +104,29 @@ def envelope(contract: str, value: Column, kind: str = "json", port: str | None
     return F.struct(F.lit(contract).alias("contract"), F.lit(port).alias("port"), F.lit(kind).alias("payload_kind"), F.lit(MEDIA[kind]).alias("media_type"), (producer if producer is not None else F.lit(None).cast("string")).alias("producer"), value.alias("value"))
 
 
-def unwrapped(values: Column) -> Column:
-    """One value as itself, several as their array."""
-    return F.when(F.size(values) == 1, F.array(F.get(values, F.lit(0))["value"])).otherwise(F.transform(values, lambda v: v["value"]))
+def unwrapped(*envelopes: Column) -> Column:
+    """The value of one envelope as itself, those of several as an array; how many there are is known while planning."""
+    return envelopes[0]["value"] if len(envelopes) == 1 else F.array(*(e["value"] for e in envelopes))
+
+
+def invalid_examples(spark, contracts: dict[str, tuple[dict, list]]) -> DataFrame:
+    """Registered examples (contract -> schema, examples) that their own schema refuses: contract, number, code, path."""
+    out = None
+    for name, (schema, examples) in contracts.items():
+        rows = spark.createDataFrame([(name, k, _json(x)) for k, x in enumerate(examples)], "contract string, number int, text string")
+        found = rows.withColumn("e", validated(F.col("text"), schema)).where("e is not null").select("contract", "number", "e.code", "e.path")
+        out = found if out is None else out.unionAll(found)
+    return out
+
+
+def egress(outputs: dict[str, tuple[str, Column]], chosen: str | None = None, variant: bool = False) -> Column:
+    """Envelopes of a node's outputs (label -> contract, value): a single one wraps itself, of several `chosen` names one; without it all
+    go out together, unless the node gives one variant of them."""
+    if chosen is not None and chosen not in outputs:
+        raise MalformedSchema(f"output {chosen}")
+    if len(outputs) == 1 or chosen is not None:
+        label = chosen or next(iter(outputs))
+        return envelope(outputs[label][0], outputs[label][1], port=label)
+    if variant:
+        raise MalformedSchema("a variant needs exactly one label")
+    return F.struct(*(envelope(c, v, port=k).alias(k) for k, (c, v) in outputs.items()))

@@ -11,10 +11,21 @@ from pyspark.sql import functions as F
 FINAL = ("completed", "failed", "cancelled", "timed_out")
 
 
-def latest(rows: DataFrame, key: str, *order: Column) -> DataFrame:
-    """One row a key, the first in the order."""
-    w = Window.partitionBy(key).orderBy(*order)
-    return rows.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+def _one(rows: DataFrame, key: str, order: tuple[str, ...], pick) -> DataFrame:
+    """One row a key by an aggregate that combines before the shuffle. Columns that the order doesn't name settle ties, as they come."""
+    rest = [c for c in rows.columns if c != key and c not in order]
+    held = rows.groupBy(key).agg(pick(F.struct(*(F.col(f"`{c}`") for c in (*order, *rest)))).alias("_row"))
+    return held.select(*(F.col(key) if c == key else F.col("_row")[c].alias(c) for c in rows.columns))
+
+
+def latest(rows: DataFrame, key: str, *order: str) -> DataFrame:
+    """One row a key, the greatest in the order."""
+    return _one(rows, key, order, F.max)
+
+
+def earliest(rows: DataFrame, key: str, *order: str) -> DataFrame:
+    """One row a key, the least in the order."""
+    return _one(rows, key, order, F.min)
 
 
 def fairness(kind: Column, last_kind: str | None) -> Column:
@@ -54,10 +65,9 @@ def finished(runs: DataFrame, facts: DataFrame) -> DataFrame:
 
 def admin_view(runs: DataFrame, tasks: DataFrame, stages: DataFrame) -> DataFrame:
     """Each run with its task, its latest stage and how many it has."""
-    last = latest(stages, "run_id", F.desc("started_at"), F.desc("stage_no")).select("run_id", F.col("stage_no").alias("last_stage"), F.col("state").alias("last_state"))
-    counts = stages.groupBy("run_id").agg(F.count("*").alias("stages"))
-    out = runs.join(tasks.select("task_id", "task_type", "priority"), "task_id").join(last, "run_id", "left").join(counts, "run_id", "left")
-    return out.select("run_id", "task_id", "task_type", "priority", "status", "last_stage", "last_state", F.coalesce("stages", F.lit(0)).alias("stages"))
+    last = stages.groupBy("run_id").agg(F.max(F.struct("started_at", "stage_no", "state")).alias("last"), F.count("*").alias("stages"))
+    out = runs.join(tasks.select("task_id", "task_type", "priority"), "task_id").join(last, "run_id", "left")
+    return out.select("run_id", "task_id", "task_type", "priority", "status", F.col("last.stage_no").alias("last_stage"), F.col("last.state").alias("last_state"), F.coalesce("stages", F.lit(0)).alias("stages"))
 
 
 def next_attempt(attempts: DataFrame, key: str) -> DataFrame:
@@ -101,8 +111,10 @@ def swapped(state: DataFrame, writes: DataFrame) -> DataFrame:
 
 
 def address(contract: Column, kind: Column, media: Column, value: Column) -> Column:
-    """Content address: SHA-256 of the canonical JSON of what describes the content; a null contract is written out."""
-    body = F.concat(F.lit('{"contract":'), F.coalesce(F.concat(F.lit('"'), contract, F.lit('"')), F.lit("null")), F.lit(',"mediaType":"'), media, F.lit('","payloadKind":"'), kind, F.lit('","value":'), value, F.lit("}"))
+    """Content address: SHA-256 of the JSON of what describes the content, its strings escaped; a null contract is written out; `value`
+    is a canonical JSON text."""
+    head = F.to_json(F.struct(contract.alias("contract"), media.alias("mediaType"), kind.alias("payloadKind")), {"ignoreNullFields": "false"})
+    body = F.concat(F.left(head, F.length(head) - 1), F.lit(',"value":'), value, F.lit("}"))
     return F.concat(F.lit("sha256:"), F.sha2(body, 256))
 
 
@@ -111,6 +123,21 @@ def stored_artifacts(rows: DataFrame, known: DataFrame) -> DataFrame:
     return rows.dropDuplicates(["hash"]).join(known, "hash", "left_anti")
 
 
+def listed_artifacts(provenance: DataFrame, contents: DataFrame, run: str) -> DataFrame:
+    """How often each run made each content that is there."""
+    return provenance.join(contents.select("hash").distinct(), "hash").groupBy(run, "hash").agg(F.count("*").alias("n"))
+
+
+def at_address(contents: DataFrame, asked: DataFrame) -> DataFrame:
+    """Contents by address; an address that isn't there gives a row without content."""
+    return asked.select("hash").distinct().join(contents, "hash", "left")
+
+
+def reference(hash_: Column, contract: Column, media: Column) -> Column:
+    """What stands for a content in an output."""
+    return F.struct(F.lit("artifact_ref").alias("kind"), hash_.alias("address"), contract.alias("contract"), media.alias("mediaType"))
+
+
 def orphans(contents: DataFrame, provenance: DataFrame) -> DataFrame:
     return contents.join(provenance, "hash", "left_anti")
 
@@ -150,7 +177,7 @@ def masked(text: Column) -> Column:
 
 def kept_consumed(signals: DataFrame) -> DataFrame:
     """Delivered signals become consumed; of consumed ones of a run and name only the newest stays."""
-    return latest(signals.where("state in ('delivered', 'consumed')").withColumn("_key", F.concat_ws("\u0001", "run_id", "name")), "_key", F.desc("at"), F.desc("signal_id")).drop("_key").withColumn("state", F.lit("consumed"))
+    return latest(signals.where("state in ('delivered', 'consumed')").withColumn("_key", F.concat_ws("\u0001", "run_id", "name")), "_key", "at", "signal_id").drop("_key").withColumn("state", F.lit("consumed"))
 
 
 def claimed_leases(runs: DataFrame, owner: str, now: Column, seconds: int) -> DataFrame:
@@ -188,9 +215,15 @@ def port_faults(edges: DataFrame, ports: DataFrame) -> DataFrame:
     return ports.join(n, ["node", "port"], "left").withColumn("n", F.coalesce("n", F.lit(0))).where("n < least or n > most").select("node", "port", "n")
 
 
+def package_conflicts(rows: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """Names of (package, kind, name) that several packages give, by kind."""
+    n = rows.where(F.col("kind").isin(*kinds)).groupBy("kind", "name").agg(F.countDistinct("package").alias("packages"))
+    return n.where("packages > 1")
+
+
 def first_wins(rows: DataFrame, key: str, order: str) -> DataFrame:
     """Of packages that name the same thing, the first one's."""
-    return latest(rows, key, F.col(order))
+    return earliest(rows, key, order)
 
 
 def report(rows: DataFrame, key: str, verdict: str) -> DataFrame:

@@ -23,6 +23,7 @@ class Query:
     text: str | None = None
     most_hops: int | None = None
     limit: int | None = None
+    strategy: str = "topological"  # or classic: direct inputs only
 
 
 #: Named queries, and other names for them.
@@ -37,7 +38,7 @@ PRESETS |= {"analyst": PRESETS["causal"], "reviewer": PRESETS["influence_biased"
 
 def from_request(request: dict) -> Query:
     """A preset with the request's own settings over it."""
-    names = {"direction": "direction", "scope": "scope", "routingKey": "key", "queryText": "text", "maxGraphDistance": "most_hops", "limit": "limit"}
+    names = {"direction": "direction", "scope": "scope", "routingKey": "key", "queryText": "text", "maxGraphDistance": "most_hops", "limit": "limit", "strategy": "strategy"}
     return replace(PRESETS[request.get("preset", "default")], **{names[k]: v for k, v in request.items() if k in names and v is not None})
 
 
@@ -61,9 +62,14 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def extracted(output: Column) -> tuple[Column, Column]:
     """Key and text of a JSON output, its envelope peeled: the first key that is there must be a string; the first string text."""
-    at = lambda name: F.coalesce(F.get_json_object(output, f"$.value.{name}"), F.get_json_object(output, f"$.{name}"))
-    key = F.coalesce(*(at(k) for k in ("routingKey", "slot", "claim_ref", "claimRef")))
-    return key, F.coalesce(*(at(k) for k in ("text", "body", "content")), F.lit(""))
+    held = F.try_parse_json(output)
+    inner = F.coalesce(F.try_variant_get(held, "$.value", "variant"), held)
+    is_text = lambda v: F.schema_of_variant(v) == "STRING"
+    at = lambda k: F.try_variant_get(inner, f"$.{k}", "variant")
+    first = F.coalesce(*(at(k) for k in ("routingKey", "slot", "claim_ref", "claimRef")))
+    key = F.when(is_text(first), F.try_variant_get(first, "$", "string"))
+    texts = (F.when(is_text(at(k)), F.try_variant_get(at(k), "$", "string")) for k in ("text", "body", "content"))
+    return key, F.coalesce(*texts, F.when(is_text(inner), F.try_variant_get(inner, "$", "string")), F.lit(""))
 
 
 def walk(vertices: DataFrame, edges: DataFrame, origins: DataFrame, direction: str, most_hops: int | None = None) -> DataFrame:
@@ -81,7 +87,8 @@ def walk(vertices: DataFrame, edges: DataFrame, origins: DataFrame, direction: s
 
 def ranked(vertices: DataFrame, edges: DataFrame, origins: DataFrame, now_hours: int, query: Query, semantic: Callable[[Column, Column], Column] = jaccard) -> DataFrame:
     """Matches by graph: id, hops, score and rank. Vertices carry status, output (text), key and hours (null: not settled yet)."""
-    found = walk(vertices, edges, origins, query.direction, query.most_hops).join(vertices, ["graph_id", "id"]).where("output is not null")
+    most = 1 if query.strategy == "classic" else query.most_hops
+    found = walk(vertices, edges, origins, query.direction, most).join(vertices, ["graph_id", "id"]).where("output is not null")
     if query.scope == "settled":
         found = found.where(F.coalesce("status", F.lit("pending")).isin(*SETTLED))
     if query.key is not None:
@@ -91,6 +98,7 @@ def ranked(vertices: DataFrame, edges: DataFrame, origins: DataFrame, now_hours:
     meaning = F.lit(0.0) if query.text is None else clamp01(semantic(F.lit(query.text), F.col("output")))
     score = clamp01(g * clamp01(F.col("mass")) + t * F.coalesce(temporal(age), F.lit(0.0)) + s * meaning)
     order = Window.partitionBy("graph_id").orderBy(F.desc("score"), "hops", "id")
-    out = found.withColumn("score", F.round(score, 9)).withColumn("rank", F.row_number().over(order))
+    # ranked by more digits than are shown; the last ones are noise of the sums' order
+    out = found.withColumn("score", F.round(score, 12)).withColumn("rank", F.row_number().over(order)).withColumn("score", F.round("score", 9))
     out = out if query.limit is None else out.where(F.col("rank") <= query.limit)
     return out.select("graph_id", "id", "status", "hops", "score", "rank")

@@ -21,6 +21,11 @@ def ready(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return vertices.where("status = 'pending'").join(held, ON, "left_anti").select(*ON)
 
 
+def initial(vertices: DataFrame) -> DataFrame:
+    """Every vertex pending."""
+    return vertices.select(*ON, F.lit("pending").alias("status")).distinct()
+
+
 def illegal_moves(facts: DataFrame, vertices: DataFrame) -> DataFrame:
     """Of (graph_id, id, to): those that the vertex's status doesn't allow."""
     legal = facts.sparkSession.createDataFrame(list(MOVES), "status string, to string")
@@ -28,8 +33,10 @@ def illegal_moves(facts: DataFrame, vertices: DataFrame) -> DataFrame:
 
 
 def applied(vertices: DataFrame, facts: DataFrame) -> DataFrame:
-    """Statuses after facts (graph_id, id, to)."""
-    return vertices.join(facts, ON, "left").select(*ON, F.coalesce("to", "status").alias("status"))
+    """Statuses after facts (graph_id, id, to, and seq where several may be about one vertex: the last one counts)."""
+    order = F.col("seq") if "seq" in facts.columns else F.lit(0)
+    last = facts.groupBy(*ON).agg(F.max(F.struct(order.alias("seq"), "to"))["to"].alias("to"))
+    return vertices.join(last, ON, "left").select(*ON, F.coalesce("to", "status").alias("status"))
 
 
 def propagated(vertices: DataFrame, edges: DataFrame) -> DataFrame:
@@ -59,10 +66,13 @@ def blocked(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return rest.select(*ON, reason.alias("reason"), F.coalesce(F.when(F.col("failed") > 0, F.col("failed")).otherwise(F.col("open")), F.lit(0)).alias("by"))
 
 
-def simulated(vertices: DataFrame, edges: DataFrame, outcome: Column, most_waves: int = 100) -> DataFrame:
-    """(graph_id, id, status, wave) after running ready vertices wave by wave; `outcome` names what a vertex comes to."""
+def simulated(vertices: DataFrame, edges: DataFrame, outcome: Column, most_waves: int | None = None) -> DataFrame:
+    """(graph_id, id, status, wave) after running ready vertices wave by wave, until none is ready or after `most_waves`; `outcome` names what a vertex comes to."""
+    edges = written(edges.select(*graph.EDGE), "wave-edges")
     now = written(vertices.select(*ON, "status", F.lit(0).alias("wave")), "wave")
-    for wave in range(1, most_waves + 1):
+    wave = 0
+    while most_waves is None or wave < most_waves:
+        wave += 1
         front = written(ready(now, edges).withColumn("to", outcome), "front")
         if front.isEmpty():
             break

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from dagframe.functions import builtins as B
 from dagframe.functions.expression import If, Literal, Text, Var, divided, fn, let, op, projection, record
-from dagframe.operators import contracts, graph, histogram, history, memory, rewrite, state
+from dagframe.operators import contracts, graph, histogram, history, memory, rewrite, runs, state
 from dagframe.plans import flow
 from dagframe.sources.tables import conversation_graph, sanitised, table
 
@@ -45,7 +45,10 @@ def expr_eligibility_summary(spark, d):
 
 @query("SELECT count(*)::BIGINT AS items, sum(l_quantity::DECIMAL(18,2) * l_discount::DECIMAL(18,2))::DOUBLE AS weighted FROM lineitem")
 def expr_weighted_score(spark, d):
-    return table(spark, d, "lineitem").agg(F.count("*").alias("items"), F.sum(F.col("l_quantity").cast("decimal(18,2)") * F.col("l_discount").cast("decimal(18,2)")).cast("double").alias("weighted"))
+    """score times weight as one equation of a node, then a sum."""
+    node = projection({"x": op("*", Var("q"), Var("w"))})
+    rows = node(table(spark, d, "lineitem").select(F.col("l_quantity").cast("decimal(18,2)").alias("q"), F.col("l_discount").cast("decimal(18,2)").alias("w")))
+    return rows.agg(F.count("*").alias("items"), F.sum("x").cast("double").alias("weighted"))
 
 
 @query("""SELECT l_shipmode_key, round(sum(greatest(0, least(3, abs(l_extendedprice - 30000) * l_discount / 1000))), 4) AS risk, count(*)::BIGINT AS n
@@ -114,8 +117,9 @@ def expr_zipwith_trunc(spark, d):
 
 @query("SELECT p_partkey, lower(p_name) AS low, upper(p_brand) AS up, length(p_name)::BIGINT AS n, starts_with(p_type, 'S') AS s, suffix(p_name, 'e') AS e FROM part")
 def expr_strings_basic(spark, d):
-    name = F.col("p_name")
-    return table(spark, d, "part").select("p_partkey", F.lower(name).alias("low"), F.upper("p_brand").alias("up"), F.length(name).cast("long").alias("n"), F.startswith("p_type", F.lit("S")).alias("s"), F.endswith(name, F.lit("e")).alias("e"))
+    name = Var("p_name")
+    node = projection({"p_partkey": Var("p_partkey"), "low": Var("toLower")(name), "up": Var("toUpper")(Var("p_brand")), "n": Var("strLength")(name), "s": Var("startsWith")("S", Var("p_type")), "e": Var("endsWith")("e", name)})
+    return node(table(spark, d, "part"))
 
 
 @query("SELECT doc_id, len(string_split(text, '. '))::BIGINT AS parts, substring(text, 4, 17) AS part, length(replace(text, 'e', 'XY'))::BIGINT AS n FROM documents")
@@ -143,7 +147,8 @@ def expr_json_roundtrip(spark, d):
 @query("SELECT event_id, coalesce(nullif(event_type, 'click'), 'none') AS kind, event_type = 'click' AS empty FROM events")
 def expr_null_default(spark, d):
     x = F.nullif("event_type", F.lit("click"))
-    return table(spark, d, "events").select("event_id", F.coalesce(x, F.lit("none")).alias("kind"), F.isnull(x).alias("empty"))
+    node = projection({"event_id": Var("event_id"), "kind": Var("withDefault")("none", Var("x")), "empty": Var("isNull")(Var("x"))})
+    return node(table(spark, d, "events").withColumn("x", x))
 
 
 @query("SELECT p_partkey, greatest(0, p_size - 5)::BIGINT AS span, coalesce(list_sum(range(5, p_size)), 0)::BIGINT AS total FROM part")
@@ -293,18 +298,17 @@ def graph_influence(spark, d):
     return graph.influence(v, e, v.where("id = 0").select("graph_id", "id")).select("graph_id", "id", F.round("mass", 9).alias("mass"))
 
 
-_CYCLIC = "c AS (SELECT * FROM e WHERE graph_id % 10 < 3 UNION SELECT graph_id, id, id - 2 FROM v WHERE graph_id % 10 < 3 AND id >= 2 AND id % 2 = 0 AND graph_id % 10 > 0)"
+_CYCLIC = "c AS (SELECT * FROM e UNION SELECT graph_id, id, id - 2 FROM v WHERE id >= 2 AND id % 2 = 0 AND graph_id % 10 > 0)"
 
 
-def _with_cycles(spark, d, every=False):
+def _with_cycles(spark, d):
+    """Conversations, nine of ten with edges back."""
     v, e = conversation_graph(spark, d)
-    if not every:  # as far as the recursive SQL goes
-        v, e = v.where("graph_id % 10 < 3"), e.where("graph_id % 10 < 3")
     back = v.where("id >= 2 AND id % 2 = 0 AND graph_id % 10 > 0").select("graph_id", F.col("id").alias("src"), (F.col("id") - 2).alias("dst"))
     return v, graph.overlay(e, back)
 
 
-@query(f"{_GRAPH}, {_CYCLIC}, r AS (SELECT graph_id, id AS a, id AS b FROM v WHERE graph_id % 10 < 3 UNION SELECT r.graph_id, r.a, c.dst FROM r JOIN c ON c.graph_id = r.graph_id AND c.src = r.b) SELECT x.graph_id, x.a AS id, min(x.b) AS component FROM r x JOIN r y ON x.graph_id = y.graph_id AND x.a = y.b AND x.b = y.a GROUP BY 1, 2")
+@query(f"{_GRAPH}, {_CYCLIC}, r AS (SELECT graph_id, id AS a, id AS b FROM v UNION SELECT r.graph_id, r.a, c.dst FROM r JOIN c ON c.graph_id = r.graph_id AND c.src = r.b) SELECT x.graph_id, x.a AS id, min(x.b) AS component FROM r x JOIN r y ON x.graph_id = y.graph_id AND x.a = y.b AND x.b = y.a GROUP BY 1, 2")
 def graph_scc(spark, d):
     return graph.scc(*_with_cycles(spark, d))
 
@@ -314,22 +318,11 @@ def graph_cycle_detect(spark, d):
     return graph.cyclic_graphs(*_with_cycles(spark, d))
 
 
-@query()
-def ext_graph_scc(spark, d):
-    """graph_scc over every conversation."""
-    return graph.scc(*_with_cycles(spark, d, True))
-
-
-@query()
-def ext_graph_cycle_detect(spark, d):
-    """graph_cycle_detect over every conversation."""
-    return graph.cyclic_graphs(*_with_cycles(spark, d, True))
-
-
-@query(f"{_GRAPH} SELECT graph_id, id, 0::BIGINT AS root FROM v")
+@query(f"{_GRAPH} SELECT graph_id, id, id // 3 * 3 AS root FROM v")
 def graph_weak_components(spark, d):
-    """Conversations are chains with more edges, so that each is one component."""
-    return graph.weak_components(*conversation_graph(spark, d))
+    """Conversations cut into pieces of three turns, each of which the edges from turn to turn hold together."""
+    v, e = conversation_graph(spark, d)
+    return graph.weak_components(v, e.where("src div 3 = dst div 3"))
 
 
 @query(f"{_GRAPH} SELECT graph_id, sha256(string_agg(DISTINCT id::VARCHAR, ',' ORDER BY id) || '|' || coalesce((SELECT string_agg(src || '>' || dst, ',' ORDER BY src, dst) FROM e WHERE e.graph_id = v.graph_id), '')) AS hash FROM (SELECT graph_id, id FROM v) v GROUP BY graph_id".replace("DISTINCT id::VARCHAR", "id::VARCHAR"))
@@ -349,7 +342,7 @@ def graph_visit_orders(spark, d):
 NOW_HOURS = 10
 
 
-def _ranked_sql(weights, ways, key=None, text=None, limit=None):
+def _ranked_sql(weights, ways, key=None, text=None, limit=None, most=None):
     parts, walks = [], []
     for k, (a, b) in enumerate(ways):
         walks.append(_MASS.format(a=a, b=b, w=f"w{k}", o="o").replace("n AS", f"n{k} AS").replace("JOIN n ON n.", f"JOIN n{k} ON n{k}.").replace("n.src", f"n{k}.src").replace("n.out", f"n{k}.out"))
@@ -361,9 +354,9 @@ def _ranked_sql(weights, ways, key=None, text=None, limit=None):
         x, y = words.format(f"'{text}'"), words.format("output")
         jaccard = f"coalesce(len(list_intersect({x}, {y}))::DOUBLE / nullif(len(list_distinct(list_concat({x}, {y}))), 0), 0)"
     return f"""{_GRAPH}, {_LAST}, {', '.join(walks)}, f AS (SELECT graph_id, id, min(hops) AS hops, max(mass) AS mass FROM ({' UNION ALL '.join(parts)}) GROUP BY 1, 2),
-      m AS (SELECT f.graph_id, f.id, status, hops::BIGINT AS hops, round(least(1.0, {g} * least(1.0, mass) + {t} * (1.0 / (1.0 + greatest(0, {NOW_HOURS} - hours) * 3600.0 / 3600.0)) + {s} * ({jaccard})), 9) AS score
-        FROM f JOIN v ON v.graph_id = f.graph_id AND v.id = f.id WHERE status IN ('completed', 'skipped', 'rewritten') AND (f.graph_id, f.id) NOT IN (SELECT graph_id, id FROM o) {f"AND key = '{key}'" if key else ''}),
-      r AS (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY score DESC, hops, id)::BIGINT AS rank FROM m) SELECT * FROM r {f'WHERE rank <= {limit}' if limit else ''}"""
+      m AS (SELECT f.graph_id, f.id, status, hops::BIGINT AS hops, round(least(1.0, {g} * least(1.0, mass) + {t} * (1.0 / (1.0 + greatest(0, {NOW_HOURS} - hours) * 3600.0 / 3600.0)) + {s} * ({jaccard})), 12) AS score
+        FROM f JOIN v ON v.graph_id = f.graph_id AND v.id = f.id WHERE status IN ('completed', 'skipped', 'rewritten') AND (f.graph_id, f.id) NOT IN (SELECT graph_id, id FROM o) {f"AND key = '{key}'" if key else ''} {f"AND hops <= {most}" if most else ''}),
+      r AS (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY score DESC, hops, id)::BIGINT AS rank FROM m) SELECT * REPLACE (round(score, 9) AS score) FROM r {f'WHERE rank <= {limit}' if limit else ''}"""
 
 
 def _ranked(spark, d, request):
@@ -389,6 +382,12 @@ def memory_recent_bidirectional(spark, d):
     return _ranked(spark, d, {"preset": "recent_bidirectional", "routingKey": "user"})
 
 
+@query(_ranked_sql((1.0, 1.0, 1.0), [_UP], most=1))
+def memory_classic(spark, d):
+    """Direct inputs only."""
+    return _ranked(spark, d, {"preset": "causal", "strategy": "classic"})
+
+
 @query(_ranked_sql((0.1, 0.1, 1.0), [_UP], text="the and of to in"))
 def memory_semantic(spark, d):
     v, e = conversation_graph(spark, d)
@@ -437,14 +436,26 @@ def state_simulate_waves(spark, d):
     return _longs(state.simulated(v.withColumn("status", F.lit("pending")), e, F.lit("completed")), "wave")
 
 
-@query(f"{_GRAPH} SELECT DISTINCT e.graph_id, e.dst AS id, 'done_too_early' AS fault FROM e JOIN v p ON p.graph_id = e.graph_id AND p.id = e.src JOIN v c ON c.graph_id = e.graph_id AND c.id = e.dst WHERE p.status NOT IN {_DONE} AND c.status = 'completed' UNION ALL SELECT graph_id, id, 'no_output' FROM v WHERE status = 'completed' AND output IS NULL")
+@query(f"""{_GRAPH}, h AS (SELECT graph_id, id, CASE WHEN id = 3 AND graph_id % 4 = 0 THEN 'odd' WHEN id = 0 AND graph_id % 4 = 1 THEN 'pending' ELSE status END AS status, CASE WHEN id = 0 AND graph_id % 4 = 3 THEN NULL ELSE output END AS output
+  FROM v, (SELECT unnest([1, 2]) AS k) WHERE (k = 1 OR (id = 2 AND graph_id % 4 = 2)) AND NOT (id = 1 AND graph_id % 4 = 3))
+  SELECT graph_id, id, 'unknown_status' AS fault FROM h WHERE status = 'odd'
+  UNION ALL SELECT DISTINCT graph_id, id, 'missing_vertex' FROM (SELECT graph_id, src AS id FROM e UNION SELECT graph_id, dst FROM e) WHERE (graph_id, id) NOT IN (SELECT graph_id, id FROM h)
+  UNION ALL SELECT graph_id, id, 'duplicate_vertex' FROM h GROUP BY graph_id, id HAVING count(*) > 1
+  UNION ALL SELECT DISTINCT e.graph_id, e.dst, 'done_too_early' FROM e JOIN h p ON p.graph_id = e.graph_id AND p.id = e.src JOIN h c ON c.graph_id = e.graph_id AND c.id = e.dst WHERE p.status NOT IN {_DONE} AND c.status = 'completed'
+  UNION ALL SELECT graph_id, id, 'no_output' FROM h WHERE status = 'completed' AND output IS NULL""")
 def state_recovery_faults(spark, d):
-    return state.recovery_faults(*conversation_graph(spark, d))
+    """Each fault is planted in a quarter of the graphs."""
+    v, e = conversation_graph(spark, d)
+    g, i = F.col("graph_id") % 4, F.col("id")
+    v = v.where(~((i == 1) & (g == 3))).unionAll(v.where((i == 2) & (g == 2)))
+    status = F.when((i == 3) & (g == 0), "odd").when((i == 0) & (g == 1), "pending").otherwise(F.col("status"))
+    return state.recovery_faults(v.withColumn("status", status).withColumn("output", F.when(~((i == 0) & (g == 3)), F.col("output"))), e)
 
 
-@query(f"{_GRAPH} SELECT v.graph_id, v.id, greatest(1, (SELECT count(*) FROM e WHERE e.graph_id = v.graph_id AND e.dst = v.id))::BIGINT AS n FROM v")
+@query(f"{_GRAPH} SELECT v.graph_id, v.id, coalesce(string_agg(p.id || '=' || sha256(p.output), ',' ORDER BY p.id), '-1=' || sha256('')) AS inputs FROM v LEFT JOIN e ON e.graph_id = v.graph_id AND e.dst = v.id LEFT JOIN v p ON p.graph_id = e.graph_id AND p.id = e.src GROUP BY v.graph_id, v.id")
 def state_inputs(spark, d):
-    return state.inputs(*conversation_graph(spark, d)).select("graph_id", "id", F.size("inputs").cast("long").alias("n"))
+    each = F.transform(F.array_sort(F.map_entries("inputs")), lambda x: F.concat(x["key"].cast("string"), F.lit("="), F.sha2(x["value"], 256)))
+    return state.inputs(*conversation_graph(spark, d)).select("graph_id", "id", F.array_join(each, ",").alias("inputs"))
 
 
 @query("SELECT l_orderkey, l_linenumber::BIGINT AS attempt, least(300.0::DOUBLE, 7.0::DOUBLE * pow(2.0, l_linenumber - 1)) AS delay FROM lineitem")
@@ -474,12 +485,15 @@ def rewrite_append_after(spark, d):
 
 @query(f"{_GRAPH}, {_APPEND}, n AS (SELECT graph_id, count(*) AS edges FROM (SELECT * FROM x EXCEPT SELECT * FROM e) GROUP BY 1) SELECT graph_id, 2::BIGINT AS nodes, edges::BIGINT AS edges, 1::BIGINT AS ops FROM n")
 def rewrite_cost(spark, d):
-    return _longs(rewrite.cost(*_append(spark, d)), "nodes", "edges", "ops")
+    return _longs(rewrite.cost(*_append(spark, d)), "nodes", "edges", "ops").select("graph_id", "nodes", "edges", "ops")
 
 
 @query("""WITH j AS (SELECT o_custkey AS graph_id, o_orderkey AS rewrite_id, (o_orderkey % 5 + 1) AS nodes, (o_orderkey % 3) AS edges, CASE WHEN o_orderstatus = 'P' THEN 'witnessed' ELSE 'gassed' END AS mode FROM orders),
-  k AS (SELECT graph_id, rewrite_id, 16 - sum(CASE WHEN mode = 'gassed' THEN nodes ELSE 0 END) OVER w AS nodes_left, 32 - sum(CASE WHEN mode = 'gassed' THEN edges ELSE 0 END) OVER w AS edges_left FROM j WINDOW w AS (PARTITION BY graph_id ORDER BY rewrite_id))
-  SELECT graph_id, rewrite_id, nodes_left::BIGINT AS nodes_left, edges_left::BIGINT AS edges_left, CASE WHEN nodes_left < 0 THEN 'nodes' WHEN edges_left < 0 THEN 'edges' END AS exceeded FROM k""")
+  k AS (SELECT graph_id, rewrite_id, CASE WHEN mode = 'gassed' THEN nodes ELSE 0 END AS a, CASE WHEN mode = 'gassed' THEN edges ELSE 0 END AS b, row_number() OVER (PARTITION BY graph_id ORDER BY rewrite_id) AS n FROM j),
+  f AS (SELECT DISTINCT graph_id, NULL::BIGINT AS rewrite_id, 0::BIGINT AS n, 16::BIGINT AS nodes_left, 32::BIGINT AS edges_left, NULL::VARCHAR AS exceeded FROM k
+    UNION ALL SELECT k.graph_id, k.rewrite_id, k.n, CASE WHEN a <= nodes_left AND b <= edges_left THEN nodes_left - a ELSE nodes_left END, CASE WHEN a <= nodes_left AND b <= edges_left THEN edges_left - b ELSE edges_left END,
+      CASE WHEN a > nodes_left THEN 'nodes' WHEN b > edges_left THEN 'edges' END FROM f JOIN k ON k.graph_id = f.graph_id AND k.n = f.n + 1)
+  SELECT graph_id, rewrite_id, nodes_left, edges_left, exceeded FROM f WHERE n > 0""".replace("WITH j", "WITH RECURSIVE j", 1))
 def rewrite_budget(spark, d):
     o = table(spark, d, "orders")
     journal = o.select(F.col("o_custkey").alias("graph_id"), F.col("o_orderkey").alias("rewrite_id"), (F.col("o_orderkey") % 5 + 1).alias("nodes"), (F.col("o_orderkey") % 3).alias("edges"), F.when(F.col("o_orderstatus") == "P", "witnessed").otherwise("gassed").alias("mode"))
@@ -527,12 +541,12 @@ def _now():
     return F.expr("TIMESTAMP_NTZ '1996-06-01 00:00:00'")
 
 
-@query(f"{_HISTORY}, n AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY started_at DESC, stage_no DESC) AS k FROM stages) SELECT run_id, stage_no, state FROM n WHERE k = 1")
+@query(f"{_HISTORY}, n AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY started_at DESC, stage_no DESC, state DESC) AS k FROM stages) SELECT run_id, stage_no, state FROM n WHERE k = 1")
 def hist_latest_stage_per_run(spark, d):
-    return history.latest(_history(spark, d)[2], "run_id", F.desc("started_at"), F.desc("stage_no")).select("run_id", "stage_no", "state")
+    return history.latest(_history(spark, d)[2], "run_id", "started_at", "stage_no").select("run_id", "stage_no", "state")
 
 
-@query(f"{_HISTORY}, n AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY started_at DESC, stage_no DESC) AS k, count(*) OVER (PARTITION BY run_id) AS c FROM stages) SELECT r.run_id, r.task_id, task_type, priority, status, n.stage_no AS last_stage, n.state AS last_state, coalesce(c, 0)::BIGINT AS stages FROM runs r JOIN tasks USING (task_id) LEFT JOIN n ON n.run_id = r.run_id AND k = 1")
+@query(f"{_HISTORY}, n AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY started_at DESC, stage_no DESC, state DESC) AS k, count(*) OVER (PARTITION BY run_id) AS c FROM stages) SELECT r.run_id, r.task_id, task_type, priority, status, n.stage_no AS last_stage, n.state AS last_state, coalesce(c, 0)::BIGINT AS stages FROM runs r JOIN tasks USING (task_id) LEFT JOIN n ON n.run_id = r.run_id AND k = 1")
 def hist_admin_view(spark, d):
     return history.admin_view(*_history(spark, d))
 
@@ -601,19 +615,19 @@ def hist_compare_and_swap(spark, d):
 
 
 @query("""WITH w AS (SELECT event_id AS wait_id, user_id AS run_id, event_type AS name, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS n FROM events WHERE event_id % 3 = 0),
-  s AS (SELECT DISTINCT user_id AS run_id, event_type AS name FROM events WHERE event_id % 3 = 1)
+  s AS (SELECT DISTINCT user_id AS run_id, event_type AS name FROM events WHERE event_id % 3 <> 0)
   SELECT wait_id, w.run_id, w.name, CASE WHEN n > 1 THEN 'invalid' WHEN s.run_id IS NOT NULL THEN 'resolved' ELSE 'parked' END AS settled FROM w LEFT JOIN s ON s.run_id = w.run_id AND s.name = w.name""")
 def signal_settlement(spark, d):
     e = table(spark, d, "events")
     waits = e.where("event_id % 3 = 0").select(F.col("event_id").alias("wait_id"), F.col("user_id").alias("run_id"), F.col("event_type").alias("name"))
-    sent = e.where("event_id % 3 = 1").select(F.col("user_id").alias("run_id"), F.col("event_type").alias("name"), F.col("ts").alias("at"))
+    sent = e.where("event_id % 3 <> 0").select(F.col("user_id").alias("run_id"), F.col("event_type").alias("name"), F.col("ts").alias("at"))
     return history.settled_signals(waits, sent)
 
 
-@query("SELECT event_id, user_id AS waits_for FROM events WHERE event_id % 5 = 0 AND user_id IN (SELECT user_id FROM events WHERE event_type = 'purchase')")
+@query("SELECT event_id, user_id AS waits_for FROM events WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'purchase')")
 def signal_fanout(spark, d):
     e = table(spark, d, "events")
-    return history.fan_out(e.where("event_type = 'purchase'").select(F.col("user_id").alias("run_id")), e.where("event_id % 5 = 0").select("event_id", F.col("user_id").alias("waits_for")))
+    return history.fan_out(e.where("event_type = 'purchase'").select(F.col("user_id").alias("run_id")), e.select("event_id", F.col("user_id").alias("waits_for")))
 
 
 # --- audits, artifacts, masking ------------------------------------------------------------------------------------
@@ -672,16 +686,16 @@ def _artifacts(spark, d):
     return table(spark, d, "documents").select("doc_id", "source", made.alias("hash"))
 
 
-@query(f"SELECT DISTINCT {_ADDRESS} AS hash FROM documents")
+@query(f"SELECT DISTINCT {_ADDRESS} AS hash FROM documents WHERE {_ADDRESS} NOT IN (SELECT {_ADDRESS} FROM documents WHERE doc_id % 3 = 0)")
 def artifact_dedupe(spark, d):
     rows = _artifacts(spark, d)
-    return history.stored_artifacts(rows, rows.select("hash").limit(0)).select("hash")
+    return history.stored_artifacts(rows, rows.where("doc_id % 3 = 0").select("hash").distinct()).select("hash")
 
 
 @query(f"WITH a AS (SELECT doc_id, source, {_ADDRESS} AS hash FROM documents) SELECT source, hash, count(*)::BIGINT AS n FROM a GROUP BY 1, 2")
 def artifact_list_for_run(spark, d):
     rows = _artifacts(spark, d)
-    return rows.join(rows.select("hash").distinct(), "hash").groupBy("source", "hash").agg(F.count("*").alias("n"))
+    return history.listed_artifacts(rows, rows, "source")
 
 
 @query(f"WITH a AS (SELECT doc_id, {_ADDRESS} AS hash FROM documents) SELECT DISTINCT hash FROM a WHERE hash NOT IN (SELECT hash FROM a WHERE doc_id % 2 = 0)")
@@ -736,9 +750,7 @@ def flow_endpoint_report(spark, d):
   SELECT coalesce(ex.label, en.label)::BIGINT AS label, coalesce(ex.contract, en.contract) AS contract, CASE WHEN ex.contract IS NULL THEN 'entry' WHEN en.contract IS NULL THEN 'exit' ELSE 'joined' END AS side FROM ex FULL JOIN en ON ex.label = en.label AND ex.contract = en.contract""")
 def flow_port_match(spark, d):
     n = table(spark, d, "nation").select("n_nationkey", (F.col("n_regionkey") % 3).cast("long").alias("label"), F.col("n_name").alias("contract"))
-    ex, en = n.where("n_nationkey % 2 = 0").select("label", "contract", F.lit(1).alias("a")), n.where("n_nationkey % 3 = 0").select("label", "contract", F.lit(1).alias("b"))
-    side = F.when(F.col("a").isNull(), "entry").when(F.col("b").isNull(), "exit").otherwise("joined")
-    return ex.join(en, ["label", "contract"], "full_outer").select("label", "contract", side.alias("side"))
+    return flow.port_matches(n.where("n_nationkey % 2 = 0"), n.where("n_nationkey % 3 = 0"))
 
 
 # --- histograms and cost -------------------------------------------------------------------------------------------
@@ -771,10 +783,10 @@ def hist_verdicts(spark, d):
     return histogram.verdicts(_shots(spark, d), F.lit("000"), 0.125, "job")
 
 
-PRICES = [(1, "steel", 0.3, 0.00035), (2, "copper", 0.3, 0.00145), (3, "", 0.3, 0.03)]
+PRICES = [(1, "steel", 0.25, 0.0004), (2, "copper", 0.25, 0.0016), (3, "", 0.25, 0.02)]
 
 
-@query("""SELECT p_partkey, p_type, p_size::BIGINT AS shots, round(0.3 + p_size * CASE WHEN contains(lower(p_type), 'steel') THEN 0.00035 WHEN contains(lower(p_type), 'copper') THEN 0.00145 ELSE 0.03 END, 10)::DOUBLE AS cost FROM part""")
+@query("""SELECT p_partkey, p_type, p_size::BIGINT AS shots, round(0.25 + p_size * CASE WHEN contains(lower(p_type), 'steel') THEN 0.0004 WHEN contains(lower(p_type), 'copper') THEN 0.0016 ELSE 0.02 END, 10)::DOUBLE AS cost FROM part""")
 def cost_estimate(spark, d):
     prices = spark.createDataFrame(PRICES, "place int, pattern string, per_task double, per_shot double")
     return histogram.costed(table(spark, d, "part").select("p_partkey", "p_type", F.col("p_size").cast("long").alias("shots")), prices, "p_type")
@@ -857,3 +869,305 @@ def audit_first_wins(spark, d):
 @query("SELECT '| case | verdict |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || n_name || ' | ' || CASE WHEN n_regionkey > 0 THEN 'pass' ELSE 'fail' END || ' |', chr(10) ORDER BY n_name) AS \"table\", count(*)::BIGINT AS cases, count(*) FILTER (n_regionkey = 0)::BIGINT AS failed, (count(*) FILTER (n_regionkey = 0) > 0)::INT::BIGINT AS exit_code FROM nation")
 def hist_report(spark, d):
     return history.report(table(spark, d, "nation").withColumn("ok", F.col("n_regionkey") > 0), "n_name", "ok")
+
+
+# --- the run store -------------------------------------------------------------------------------------------------
+
+_STORE = """WITH runs AS (SELECT o_orderkey AS run_id, o_custkey AS task_id, CASE o_orderstatus WHEN 'O' THEN 'pending' WHEN 'P' THEN 'running' ELSE 'completed' END AS status, o_orderdate AS created_at, o_orderdate AS started_at,
+    CASE WHEN o_orderkey % 3 > 0 THEN 'p' || (o_orderkey % 3) END AS profile FROM orders),
+  tasks AS (SELECT c_custkey AS task_id, c_mktsegment AS task_type, TIMESTAMP '1995-01-01' + to_days((c_custkey % 900)::INTEGER) AS next_run_at, c_acctbal > 0 AS enabled, 'u' || c_nationkey AS user_id,
+    CASE c_custkey % 3 WHEN 0 THEN '{"user_id":"a"}' WHEN 1 THEN '{"userId":"b"}' ELSE '{}' END AS payload FROM customer),
+  stages AS (SELECT l_orderkey AS run_id, l_linenumber AS stage_no, min(l_shipdate) AS started_at, CASE WHEN l_linenumber % 3 > 0 THEN max(l_shipdate) + INTERVAL 3 DAY END AS ended_at, max(l_linestatus) AS state FROM lineitem GROUP BY l_orderkey, l_linenumber)"""
+
+
+def _store(spark, d):
+    status = F.when(F.col("o_orderstatus") == "O", "pending").when(F.col("o_orderstatus") == "P", "running").otherwise("completed")
+    key = F.col("o_orderkey")
+    found = table(spark, d, "orders").select(key.alias("run_id"), F.col("o_custkey").alias("task_id"), status.alias("status"), F.col("o_orderdate").alias("created_at"), F.col("o_orderdate").alias("started_at"), F.when(key % 3 > 0, F.concat(F.lit("p"), (key % 3).cast("string"))).alias("profile"))
+    due = F.expr("TIMESTAMP_NTZ '1995-01-01 00:00:00' + make_dt_interval(cast(c_custkey % 900 as int))")
+    third = F.col("c_custkey") % 3
+    payload = F.when(third == 0, '{"user_id":"a"}').when(third == 1, '{"userId":"b"}').otherwise("{}")
+    tasks = table(spark, d, "customer").select(F.col("c_custkey").alias("task_id"), F.col("c_mktsegment").alias("task_type"), due.alias("next_run_at"), (F.col("c_acctbal") > 0).alias("enabled"), F.concat(F.lit("u"), F.col("c_nationkey").cast("string")).alias("user_id"), payload.alias("payload"))
+    stages = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("run_id"), F.col("l_linenumber").alias("stage_no")).agg(F.min("l_shipdate").alias("started_at"), (F.max("l_shipdate") + F.expr("INTERVAL 3 DAYS")).alias("ended_at"), F.max("l_linestatus").alias("state"))
+    return found, tasks, stages.withColumn("ended_at", F.when(F.col("stage_no") % 3 > 0, F.col("ended_at")))
+
+
+@query(f"{_STORE} SELECT run_id, status FROM runs WHERE task_id = 7 ORDER BY created_at DESC, run_id DESC LIMIT 5")
+def hist_runs_of_task(spark, d):
+    return runs.runs_of(_store(spark, d)[0], "task_id", 7, 5).select("run_id", "status")
+
+
+@query(f"{_STORE} SELECT run_id FROM runs ORDER BY created_at DESC, run_id DESC LIMIT 1")
+def hist_newest_run(spark, d):
+    """A limit below 1 counts as 1."""
+    return runs.listed(_store(spark, d)[0], F.desc("created_at"), F.desc("run_id"), limit=0).select("run_id")
+
+
+@query(f"{_STORE} SELECT run_id, stage_no, started_at FROM stages WHERE run_id IN (SELECT run_id FROM runs WHERE task_id < 50)")
+def hist_stage_details(spark, d):
+    found, _, stages = _store(spark, d)
+    return runs.listed(stages.join(found.where("task_id < 50").select("run_id"), "run_id"), "run_id", "stage_no").select("run_id", "stage_no", "started_at")
+
+
+@query(f"{_STORE} SELECT r.run_id, status, started_at FROM runs r JOIN tasks t ON t.task_id = r.task_id WHERE 'u' || (r.run_id % 25) = t.user_id")
+def hist_status_lookup(spark, d):
+    """Runs asked for by one user each; only its own runs answer."""
+    found, tasks, _ = _store(spark, d)
+    owned = found.join(tasks.select("task_id", "user_id"), "task_id")
+    return runs.statuses(owned, found.select("run_id", F.concat(F.lit("u"), (F.col("run_id") % 25).cast("string")).alias("user_id")), user=True)
+
+
+@query(f"{_STORE}, n AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY started_at DESC, stage_no DESC) AS k FROM stages WHERE ended_at IS NULL) SELECT run_id, stage_no FROM n WHERE k = 1")
+def hist_open_stage(spark, d):
+    return runs.open_stage(_store(spark, d)[2]).select("run_id", "stage_no")
+
+
+@query(f"{_STORE} SELECT run_id, stage_no, CASE WHEN ended_at IS NULL AND run_id % 2 = 0 THEN {_NOW} ELSE ended_at END AS ended_at, CASE WHEN ended_at IS NULL AND run_id % 2 = 0 THEN 'X' ELSE state END AS state FROM stages UNION ALL SELECT run_id, 99, NULL, 'N' FROM runs")
+def hist_stage_writes(spark, d):
+    """New stages come, and facts end those of even runs that are open."""
+    found, _, stages = _store(spark, d)
+    new = found.select("run_id", F.lit(99).cast("int").alias("stage_no"), "started_at", F.lit(None).cast("timestamp_ntz").alias("ended_at"), F.lit("N").alias("state"))
+    old = stages.select("run_id", F.col("stage_no").cast("int").alias("stage_no"), "started_at", "ended_at", "state")
+    facts = old.where("run_id % 2 = 0").select("run_id", "stage_no", _now().alias("at"), F.lit("X").alias("state"))
+    return runs.completed(runs.appended(old, new.unionByName(old.withColumn("state", F.lit("again")))), facts).select("run_id", F.col("stage_no").cast("long").alias("stage_no"), "ended_at", "state")
+
+
+@query(f"{_STORE} SELECT task_id, 'pending' AS status, CASE task_id % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE user_id END AS user_id FROM tasks WHERE enabled AND next_run_at <= {_NOW} AND task_id NOT IN (SELECT task_id FROM runs WHERE status IN ('pending', 'running'))")
+def hist_create_runs(spark, d):
+    found, tasks, _ = _store(spark, d)
+    return runs.created(tasks, found, _now())
+
+
+@query(f"{_STORE} SELECT run_id, coalesce(profile, 'p1') AS profile, coalesce(profile <> 'p1', false) AS conflict FROM runs")
+def hist_profile_freeze(spark, d):
+    found = _store(spark, d)[0]
+    return runs.frozen(found, found.select("run_id", F.lit("p1").alias("profile")))
+
+
+@query(f"{_STORE} SELECT run_id, CASE WHEN run_id % 2 = 1 AND status = 'pending' THEN 'cancelled' ELSE status END AS status, run_id % 2 = 1 AND status = 'running' AS to_cancel FROM runs")
+def hist_cancel(spark, d):
+    found = _store(spark, d)[0]
+    return runs.cancelled(found, found.where("run_id % 2 = 1"))
+
+
+@query(f"{_STORE} SELECT task_id, CASE WHEN task_id IN (SELECT task_id FROM runs WHERE run_id % 50 = 1) THEN false ELSE enabled END AS enabled FROM tasks")
+def hist_disable_tasks(spark, d):
+    found, tasks, _ = _store(spark, d)
+    return runs.tasks_after(tasks, found, found.where("run_id % 50 = 1"), False)
+
+
+@query(f"{_STORE} SELECT task_id, task_type FROM tasks WHERE task_id = (SELECT task_id FROM runs WHERE run_id = 1)")
+def hist_task_of_run(spark, d):
+    found, tasks, _ = _store(spark, d)
+    return runs.task_of(found, tasks, 1).select("task_id", "task_type")
+
+
+@query(f"{_STORE} SELECT task_id, task_type FROM tasks UNION ALL SELECT max(task_id) + 1, 'NEW' FROM tasks")
+def hist_define_tasks(spark, d):
+    tasks = _store(spark, d)[1].select("task_id", "task_type")
+    new = tasks.agg((F.max("task_id") + 1).alias("task_id"), F.lit("NEW").alias("task_type")).unionByName(tasks.withColumn("task_type", F.lit("AGAIN")))
+    return runs.defined(tasks, new)
+
+
+@query(f"{_STORE} SELECT run_id, task_type FROM runs LEFT JOIN (SELECT * FROM tasks WHERE enabled) USING (task_id) WHERE status = 'running'")
+def hist_recovered(spark, d):
+    found, tasks, _ = _store(spark, d)
+    return runs.recovered(found.where("status = 'running'"), tasks.where("enabled")).select("run_id", "task_type")
+
+
+@query(f"{_STORE} SELECT run_id, stage_no::BIGINT AS stage_no, max(ended_at) AS completed_at FROM stages WHERE ended_at IS NOT NULL GROUP BY 1, 2")
+def hist_node_times(spark, d):
+    return _longs(runs.node_times(_store(spark, d)[2]), "stage_no")
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 > 0 THEN (l_linenumber % 3)::BIGINT WHEN l_orderkey % 2 > 0 THEN 60 END AS timeout FROM lineitem")
+def hist_timeouts(spark, d):
+    own, default = (F.col("l_linenumber") % 3).cast("long"), F.when(F.col("l_orderkey") % 2 > 0, 60).otherwise(0).cast("long")
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", runs.effective_timeout(own, default).alias("timeout"))
+
+
+@query("SELECT event_id FROM events WHERE ts + INTERVAL 1 DAY < (SELECT max(ts) FROM events)")
+def signal_expired_waits(spark, d):
+    e = table(spark, d, "events").withColumn("expires_at", F.expr("ts + INTERVAL 1 DAY"))
+    return runs.expired_waits(e, e.select(F.max("ts")).scalar()).select("event_id")
+
+
+@query(f"WITH a AS (SELECT DISTINCT {_ADDRESS} AS hash FROM documents) SELECT hash, true AS there FROM a UNION ALL SELECT 'sha256:none', false")
+def artifact_get(spark, d):
+    rows = _artifacts(spark, d).select("hash").distinct()
+    asked = rows.unionAll(spark.range(1).select(F.lit("sha256:none").alias("hash")))
+    return history.at_address(rows.withColumn("there", F.lit(True)), asked).select("hash", F.coalesce("there", F.lit(False)).alias("there"))
+
+
+@query(f"SELECT doc_id, 'artifact_ref' AS kind, {_ADDRESS} AS address, 'text/plain' AS media FROM documents")
+def artifact_reference(spark, d):
+    made = history.reference(F.col("hash"), F.lit(None).cast("string"), F.lit("text/plain"))
+    return _artifacts(spark, d).select("doc_id", made.alias("r")).select("doc_id", "r.kind", "r.address", F.col("r.mediaType").alias("media"))
+
+
+@query("SELECT 'brand' AS kind, p_brand AS name, count(DISTINCT p_size)::BIGINT AS packages FROM part GROUP BY p_brand HAVING count(DISTINCT p_size) > 1 UNION ALL SELECT 'type', p_type, count(DISTINCT p_size) FROM part GROUP BY p_type HAVING count(DISTINCT p_size) > 1")
+def audit_package_conflicts(spark, d):
+    p = table(spark, d, "part")
+    rows = p.select(F.col("p_size").alias("package"), F.lit("brand").alias("kind"), F.col("p_brand").alias("name")).unionAll(p.select("p_size", F.lit("type"), "p_type")).unionAll(p.select("p_size", F.lit("none"), "p_name"))
+    return history.package_conflicts(rows, ("brand", "type"))
+
+
+# --- more of graphs, rewrites, loops and ports ---------------------------------------------------------------------
+
+
+@query(f"{_GRAPH} SELECT graph_id, src AS id, dst AS next, 'after' AS side FROM e WHERE src = 2 UNION ALL SELECT graph_id, dst, src, 'before' FROM e WHERE dst = 2")
+def graph_neighbours(spark, d):
+    v, e = conversation_graph(spark, d)
+    of = v.where("id = 2")
+    return graph.successors(e, of).withColumn("side", F.lit("after")).unionByName(graph.predecessors(e, of).withColumn("side", F.lit("before")))
+
+
+@query(f"{_GRAPH} SELECT * FROM e WHERE dst - src <> 1")
+def graph_remove_edges(spark, d):
+    _, e = conversation_graph(spark, d)
+    return graph.remove_edges(e, e.where("dst - src = 1"))
+
+
+@query(f"{_GRAPH}, w AS (SELECT graph_id, id, 1 AS n FROM v WHERE id = 1 UNION ALL SELECT e.graph_id, e.dst, w.n + 1 FROM w JOIN e ON e.graph_id = w.graph_id AND e.src = w.id), {_LAST} SELECT w.graph_id, max(n)::BIGINT AS nodes FROM w JOIN o ON o.graph_id = w.graph_id AND o.id = w.id GROUP BY 1")
+def graph_longest_path(spark, d):
+    v, e = conversation_graph(spark, d)
+    return _longs(graph.longest_path(v, e, v.where("id = 1"), _last_turns(v)), "nodes")
+
+
+@query()
+def graph_cycle_witness(spark, d):
+    return graph.cycle_witness(*_with_cycles(spark, d))
+
+
+@query(f"{_GRAPH} SELECT graph_id, (graph_id % 2 = 0 OR max(id) < 1) AND (max(id) < 3 OR graph_id % 4 > 0) AND (graph_id % 2 = 0 OR max(id) = 0) AS linear FROM v GROUP BY graph_id")
+def graph_linear(spark, d):
+    """Chains in even graphs (every fourth lacks an edge), all vertices loose in odd ones."""
+    v, e = conversation_graph(spark, d)
+    return graph.linear_graphs(v, e.where("dst = src + 1 and graph_id % 2 = 0 and not (graph_id % 4 = 0 and src = 2)"))
+
+
+@query(f"{_GRAPH} SELECT graph_id, a.id AS src, b.id AS dst FROM v a JOIN v b USING (graph_id) WHERE a.id = 0 AND b.id > 0 UNION SELECT graph_id, a.id, b.id FROM v a JOIN v b USING (graph_id) WHERE a.id = 1 AND b.id = 2")
+def graph_relation(spark, d):
+    """0 before (1 before 2, beside all others)."""
+    v, _ = conversation_graph(spark, d)
+    at = lambda k: ("vertex", v.where(k))
+    inner = ("overlay", ("connect", at("id = 1"), at("id = 2")), at("id > 2"))
+    return graph.relation(("connect", at("id = 0"), inner), v.select("graph_id", "id"))[1].select("graph_id", "src", "dst")
+
+
+@query(f"{_GRAPH} SELECT graph_id, id, 'orphan' AS fault FROM v WHERE id = 0 UNION ALL SELECT graph_id, 77, 'unknown_exit' FROM v WHERE id = 0 UNION ALL SELECT graph_id, 0, 'no_entry' FROM v WHERE id = 0 AND graph_id NOT IN (SELECT graph_id FROM v WHERE id = 1) UNION ALL SELECT graph_id, 0, 'loop' FROM v WHERE id = 0 AND graph_id % 2 = 0 UNION ALL SELECT graph_id, id, 'cycle' FROM v WHERE graph_id % 2 = 0")
+def rewrite_faults(spark, d):
+    """Sub-graphs entered at 1 and left at their last turn and at one that isn't there; even ones have a loop at 0."""
+    v, e = conversation_graph(spark, d)
+    zero, last = v.where("id = 0").select("graph_id", "id"), _last_turns(v)
+    ends = last.unionAll(zero.select("graph_id", F.lit(77).cast("long").alias("id")))
+    loops = zero.where("graph_id % 2 = 0").select("graph_id", F.col("id").alias("src"), F.col("id").alias("dst"))
+    return rewrite.spec_faults(v, e.unionAll(loops), v.where("id = 1").select("graph_id", "id"), ends).select("graph_id", F.coalesce("id", F.lit(0).cast("long")).alias("id"), "fault")
+
+
+@query(f"{_GRAPH} SELECT graph_id, id, status, 'kept' AS part FROM v WHERE id <> 1 UNION ALL SELECT graph_id, 100, 'pending', 'kept' FROM v WHERE id = 1 UNION ALL SELECT graph_id, 100, 'r7', 'new' FROM v WHERE id = 1")
+def rewrite_materialise(spark, d):
+    v, _ = conversation_graph(spark, d)
+    gone = v.where("id = 1")
+    kept, new = rewrite.materialised(v, gone, gone.select("graph_id", F.lit(100).cast("long").alias("id")).unionAll(v.where("id = 0").select("graph_id", "id")), "r7")
+    return kept.withColumn("part", F.lit("kept")).unionByName(new.select("graph_id", "id", F.col("rewrite").alias("status"), F.lit("new").alias("part")))
+
+
+@query(f"{_GRAPH} SELECT graph_id, id, CASE WHEN id % 2 = 0 THEN status ELSE 'pending' END AS status, NULL::VARCHAR AS fault FROM v UNION ALL SELECT graph_id, id + 1000, status, 'no_vertex' FROM v WHERE id % 2 = 0")
+def rewrite_reconcile(spark, d):
+    v, _ = conversation_graph(spark, d)
+    even = v.where("id % 2 = 0").select("graph_id", "id", "status")
+    return rewrite.reconciled(v, even.unionAll(even.withColumn("id", F.col("id") + 1000)))
+
+
+@query("SELECT rewrite_id, graph_id, CASE WHEN rewrite_id <= 3000 THEN 'materialised' ELSE 'pending' END AS part FROM (SELECT o_orderkey AS rewrite_id, o_custkey AS graph_id FROM orders)")
+def rewrite_replay(spark, d):
+    return rewrite.replayed(table(spark, d, "orders").select(F.col("o_orderkey").alias("rewrite_id"), F.col("o_custkey").alias("graph_id")), 3000)
+
+
+@query("""WITH s AS (SELECT user_id, event_id, row_number() OVER w AS n, coalesce(max((event_type = 'purchase')::INT) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+  SELECT user_id, event_id, greatest(0, 6 - n)::BIGINT AS remaining, n <= 6 AND ended = 0 AS admitted FROM s""")
+def iter_control(spark, d):
+    return _longs(rewrite.controlled(table(spark, d, "events"), 6, "user_id", "event_id", F.col("event_type") == "purchase"), "remaining")
+
+
+@query("SELECT n_nationkey AS loop, p AS pass, l AS local, n_nationkey || ':iter_' || p || ':' || l AS id, CASE WHEN p + 1 < n_regionkey THEN n_nationkey || ':iter_' || (p + 1) || ':' || l END AS next FROM nation, (SELECT unnest(range(4))::BIGINT AS p), (SELECT unnest(['read', 'join']) AS l) WHERE p < n_regionkey")
+def iter_self_append(spark, d):
+    loops = table(spark, d, "nation").select(F.col("n_nationkey").alias("loop"), F.col("n_regionkey").cast("long").alias("passes"))
+    return _longs(rewrite.self_appended(loops, spark.createDataFrame([("read",), ("join",)], "local string")), "pass")
+
+
+@query("WITH k AS (SELECT DISTINCT n_nationkey AS sink, unnest(['R' || (n_nationkey % 7), 'R' || (n_nationkey % 3)]) AS contract FROM nation), n AS (SELECT k.sink, count(*) AS n FROM k JOIN nation s ON k.contract = 'R' || s.n_regionkey GROUP BY 1) SELECT n_nationkey AS sink, coalesce(n, 0)::BIGINT AS n, CASE WHEN coalesce(n, 0) = 0 THEN 'none' WHEN n = 1 THEN 'one' ELSE 'many' END AS fit FROM nation LEFT JOIN n ON sink = n_nationkey")
+def flow_compatible(spark, d):
+    n = table(spark, d, "nation")
+    r = lambda x: F.concat(F.lit("R"), x.cast("string"))
+    key = F.col("n_nationkey")
+    return flow.compatible(n.select(key.alias("source"), r(F.col("n_regionkey")).alias("contract")), n.select(key.alias("sink"), F.array(r(key % 7), r(key % 3)).alias("accepts")))
+
+
+@query("SELECT c_custkey AS node FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
+def flow_unused_nodes(spark, d):
+    return flow.unused_nodes(table(spark, d, "customer").select(F.col("c_custkey").alias("node")), table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("node")))
+
+
+@query("SELECT n_regionkey AS contract, string_agg(n_name, ',' ORDER BY n_nationkey) AS held FROM nation GROUP BY 1")
+def flow_grouped_values(spark, d):
+    rows = table(spark, d, "nation").select(F.col("n_regionkey").alias("contract"), "n_name", "n_nationkey")
+    return flow.grouped_values(rows, "contract", "n_name", "n_nationkey").select("contract", F.array_join("held", ",").alias("held"))
+
+
+@query(f"{_GRAPH} SELECT graph_id, id, CASE WHEN id % 2 = 0 THEN 'failed' ELSE 'pending' END AS status FROM v")
+def state_facts(spark, d):
+    """All vertices pending at first; of two facts about an even one the last counts."""
+    v, _ = conversation_graph(spark, d)
+    even = v.where("id % 2 = 0").select("graph_id", "id")
+    facts = even.select("*", F.lit("running").alias("to"), F.lit(1).alias("seq")).unionAll(even.select("*", F.lit("failed"), F.lit(2)))
+    return state.applied(state.initial(v), facts)
+
+
+@query(f"{_GRAPH} SELECT graph_id, id, CASE status WHEN 'running' THEN 'pending' ELSE status END AS status FROM v")
+def state_resume(spark, d):
+    v, _ = conversation_graph(spark, d)
+    return state.resumed(v).select("graph_id", "id", "status")
+
+
+@query(f"{_GRAPH} SELECT graph_id, id, status, 'completed' AS to FROM v WHERE status <> 'running'")
+def state_illegal_moves(spark, d):
+    v, _ = conversation_graph(spark, d)
+    return state.illegal_moves(v.select("graph_id", "id", F.lit("completed").alias("to")), v)
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_type WHEN 1 THEN NULL WHEN 2 THEN NULL ELSE 's' END AS key, CASE event_id % 4 WHEN 3 THEN event_type ELSE '' END AS text FROM events")
+def memory_extract(spark, d):
+    """Keys under an envelope, keys that aren't texts, and the second name of a key."""
+    kind, n = F.col("event_type"), F.col("event_id") % 4
+    q = lambda x: F.concat(F.lit('"'), x, F.lit('"'))
+    output = F.when(n == 0, F.concat(F.lit('{"value":{"routingKey":'), q(kind), F.lit("}}"))).when(n == 1, '{"routingKey":5,"slot":"s"}').when(n == 2, "{}").otherwise(F.concat(F.lit('{"slot":"s","body":'), q(kind), F.lit("}")))
+    key, text = memory.extracted(output)
+    return table(spark, d, "events").select("event_id", key.alias("key"), text.alias("text"))
+
+
+@query("""SELECT event_id, CASE event_id % 4 WHEN 1 THEN 'TYPE' WHEN 2 THEN 'MISSING' END AS code, CASE event_id % 4 WHEN 1 THEN '$.n' WHEN 2 THEN '$.a.b' END AS path FROM events""")
+def contract_odd_values(spark, d):
+    """Whole numbers of any size and names with a dot."""
+    schema = {"type": "object", "required": ["a.b"], "properties": {"n": {"type": "integer"}}}
+    n = F.col("event_id") % 4
+    payload = F.when(n == 0, '{"a.b":1,"n":123456789012345678901234567890}').when(n == 1, '{"a.b":1,"n":2.5}').when(n == 2, '{"a":{"b":1}}').otherwise('{"a.b":1,"n":3.0}')
+    found = contracts.validated(payload, schema)
+    return table(spark, d, "events").select("event_id", found.alias("f")).select("event_id", F.col("f.code").alias("code"), F.col("f.path").alias("path"))
+
+
+@query("SELECT event_id, '[null,true,' || event_id || ',\"a\",[1],{\"k\":1}]' AS sorted FROM events")
+def expr_total_order(spark, d):
+    """Values of all types in one order."""
+    text = F.concat(F.lit('[{"k":1},[1],"a",'), F.col("event_id").cast("string"), F.lit(",true,null]"))
+    items = F.variant_get(F.parse_json(text), "$", "array<variant>")
+    return table(spark, d, "events").select("event_id", F.concat(F.lit("["), F.array_join(F.transform(B.sort_any(items), lambda x: F.coalesce(F.to_json(x), F.lit("null"))), ","), F.lit("]")).alias("sorted"))
+
+
+@query(f"WITH {_ARRAYS} SELECT l_orderkey, array_to_string(list_transform(xs, lambda x, i: (i - 1) || '=' || x), ';') AS numbered, array_to_string(list_transform(range(1, len(xs)), lambda i: xs[i] || '-' || xs[i + 1]), ';') AS paired FROM a")
+def expr_zip_enumerate(spark, d):
+    xs = F.col("xs")
+    numbered = F.transform(B.enumerate_(xs), lambda e: B.concat(F.array(e["index"].cast("string"), F.lit("="), B.to_string(e["value"]))))
+    paired = F.transform(B.zip_(xs, B.drop(1, xs)), lambda e: B.concat(F.array(B.to_string(e["fst"]), F.lit("-"), B.to_string(e["snd"]))))
+    return _order_arrays(spark, d).select("l_orderkey", F.array_join(numbered, ";").alias("numbered"), F.array_join(paired, ";").alias("paired"))

@@ -96,7 +96,7 @@ class Flow:
                 raise FlowError(f"{name} gave {sorted(results)}")
             made |= {(name, label): df for label, df in results.items()}
         for name, (label, _) in self.exits:
-            out[label] = made[name, label]
+            out.setdefault(label, made[name, label])  # of several exits of one label the leftmost node's counts
         return out
 
     def endpoint_report(self) -> list[tuple[str, str, str, str]]:
@@ -133,9 +133,24 @@ def make(count: int, build: Callable[[int], Flow]) -> Flow:
     return out
 
 
+def family(count: int, build: Callable[[int], Flow]) -> list[Flow]:
+    """The same, with each member at its index."""
+    return [build(k) for k in range(count)]
+
+
+def plain_label(text: str) -> str:
+    """A label of letters, digits and _, as `sanitised` makes it of a column."""
+    plain = "".join(c if c.isascii() and c.isalnum() else "_" for c in text).lstrip("_")
+    return plain if plain[:1].isalpha() else f"item_{plain}"
+
+
 def make_each(items: dict[str, object], build: Callable[[str, object], Flow]) -> Flow:
-    out = Flow()
-    for label, item in items.items():
+    out, seen = Flow(), {}
+    for given, item in items.items():
+        label = plain_label(given)
+        if label in seen:
+            raise FlowError(f"{given} and {seen[label]} are both {label}")
+        seen[label] = given
         out = out | build(label, item)
     return out
 
@@ -154,4 +169,31 @@ def selected(df: DataFrame, tag: Column, arms: dict[str, Callable[[DataFrame], D
     for name, arm in arms.items():
         part = arm(df.where(tag == name))
         out = part if out is None else out.unionByName(part)
-    return out
+    # A row of no arm fails the run; it can't be left out.
+    lost = df.where(~F.coalesce(tag.isin(*arms), F.lit(False)))
+    refused = F.raise_error(F.concat(F.lit("no arm for "), F.coalesce(tag.cast("string"), F.lit("null"))))
+    return out.unionByName(lost.select(*(refused.cast(f.dataType).alias(f.name) for f in out.schema.fields)))
+
+
+def port_matches(exits: DataFrame, entries: DataFrame) -> DataFrame:
+    """Ports (label, contract) of both sides: joined, or open as an exit or an entry; several of one side are ambiguous."""
+    a, b = (df.groupBy("label", "contract").agg(F.count("*").alias(n)) for df, n in ((exits, "a"), (entries, "b")))
+    side = F.when(F.col("a").isNull(), "entry").when(F.col("b").isNull(), "exit").when((F.col("a") > 1) | (F.col("b") > 1), "ambiguous").otherwise("joined")
+    return a.join(b, ["label", "contract"], "full_outer").select("label", "contract", side.alias("side"))
+
+
+def compatible(sources: DataFrame, sinks: DataFrame) -> DataFrame:
+    """Of sinks (sink, accepts: contracts), how many sources (source, contract) fit: none, one or many."""
+    each = sinks.select("sink", F.explode(F.array_distinct("accepts")).alias("contract"))
+    n = each.join(sources, "contract").groupBy("sink").agg(F.count("*").alias("n"))
+    out = sinks.select("sink").join(n, "sink", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return out.select("sink", "n", F.when(F.col("n") == 0, "none").when(F.col("n") == 1, "one").otherwise("many").alias("fit"))
+
+
+def unused_nodes(declared: DataFrame, used: DataFrame) -> DataFrame:
+    return declared.select("node").distinct().join(used.select("node"), "node", "left_anti")
+
+
+def grouped_values(rows: DataFrame, key: str, value: str, order: str) -> DataFrame:
+    """Values of each contract or producer as one list, in order."""
+    return rows.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value]).alias("held"))

@@ -17,15 +17,69 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
     """df as a table in the folder that all executors share (spark.checkpoint.dir; a temporary one only on one machine).
 
     Loops cut their lineage here: a lost executor costs one step, not the whole loop."""
-    spark = df.sparkSession
+    path = _new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def _new_path(spark: SparkSession, name: str) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not (spark.conf.get("spark.master", "local") or "").startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = f"{tempfile.gettempdir()}/checkpoints"
-    path = f"{folder.rstrip('/')}/dagframe/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return f"{folder.rstrip('/')}/dagframe/{name}-{uuid.uuid4().hex}"
+
+
+def released(*tables: DataFrame) -> None:
+    """Deletes tables made by written(), once nothing that is still to run reads them."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Growing:
+    """One table that a loop adds to, a part a step: a step reads its own part, and the plan of the whole is one scan however many steps."""
+
+    def __init__(self, spark: SparkSession, schema, name: str, step: str):
+        from pyspark.sql import types as T
+
+        self.spark, self.step, self.path = spark, step, _new_path(spark, name)
+        self.schema = T.StructType([*schema, T.StructField(step, T.IntegerType())])
+
+    def add(self, df: DataFrame) -> None:
+        """Rows with their step."""
+        df.write.mode("append").partitionBy(self.step).parquet(self.path)
+
+    def part(self, step: int) -> DataFrame:
+        return self.whole().where(F.col(self.step) == step).drop(self.step)
+
+    def whole(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path)
+
+
+def from_lines(spark: SparkSession, lines, prompt: str | None = None) -> DataFrame:
+    """Lines of an open text (standard input, say) as rows; a prompt is printed first."""
+    if prompt is not None:
+        print(prompt, end="", flush=True)
+    return spark.createDataFrame([(k, x.rstrip("\n")) for k, x in enumerate(lines)], "number long, line string")
+
+
+def to_console(df: DataFrame, column: str, out, limit: int, newline: bool = True) -> None:
+    """The first rows of a column: texts as they are, other values as indented JSON."""
+    import json
+
+    for (x,) in df.select(column if dict(df.dtypes)[column] == "string" else F.to_json(F.col(column)).alias(column)).limit(limit).collect():
+        text = x if dict(df.dtypes)[column] == "string" else json.dumps(json.loads(x), indent=2, ensure_ascii=False)
+        out.write(text + ("\n" if newline else ""))
+
+
+def included_text(path: str) -> str:
+    """A text file as a value of the plan, read while planning."""
+    with open(path, encoding="utf-8") as f:
+        return f.read()
 
 
 def whole_files(spark: SparkSession, path: str) -> DataFrame:

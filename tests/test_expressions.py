@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from dagframe.functions import builtins as B
-from dagframe.functions.errors import CODES, ExpressionError
-from dagframe.functions.expression import If, Lambda, ListOf, Literal, Record, Text, Unary, Var, compiled, divided, fn, let, node, op, projection, record, value
+from dagframe.functions.errors import ExpressionError
+from dagframe.functions.expression import If, Lambda, ListOf, Literal, Record, Text, Unary, Var, bound_inputs, compiled, divided, fn, joined_settings, let, merged_settings, node, op, projection, record, value
 
 
 def one(spark, column):
@@ -13,7 +13,7 @@ def one(spark, column):
 
 
 def test_environment_is_closed():
-    assert len(B.BUILTINS) == 49 and len(CODES) == 24
+    assert len(B.BUILTINS) == 49
     assert {n: a for n, (a, _) in B.BUILTINS.items()}["foldRight"] == 3
 
 
@@ -29,7 +29,7 @@ def test_environment_is_closed():
         (lambda: B.find_index(lambda x: x > 1, F.array(*map(F.lit, (0, 2, 3)))), 1),
         (lambda: B.find_index(lambda x: x > 1, F.array(*map(F.lit, (0, 1)))), -1),
         (lambda: B.count(lambda x: x > 1, F.array(*map(F.lit, (0, 2, 3)))), 2),
-        (lambda: B.replace("an", "Xn", F.lit("banana")), "bXnXna"),
+        (lambda: B.replace("na", "-", F.lit("nanogram")), "-nogram"),
         (lambda: B.replace("", "x", F.lit("ab")), "ab"),
         (lambda: B.substring(F.lit(1), F.lit(3), F.lit("hello")), "el"),
         (lambda: B.substring(F.lit(4), F.lit(2), F.lit("hello")), ""),
@@ -68,10 +68,31 @@ def test_rows_fail_with_their_code(spark, column, code):
         one(spark, column())
 
 
-def test_markdown_table(spark):
-    step = fn("acc", "n", body=Text((Var("acc"), Literal("\n| "), Var("n"), Literal(" | "), op("*", Var("n"), Var("n")), Literal(" |"))))
-    made = Var("fold")(step, "| n | square |\n| --- | --- |", Var("range")(1, 4))
-    assert one(spark, value(compiled(made, {}))) == "| n | square |\n| --- | --- |\n| 1 | 1 |\n| 2 | 4 |\n| 3 | 9 |"
+def test_fold_over_text(spark):
+    step = fn("text", "k", body=Text((Var("text"), Literal(";"), op("-", Literal(10), Var("k")))))
+    assert one(spark, value(compiled(Var("fold")(step, "from", Var("range")(2, 5)), {}))) == "from;8;7;6"
+
+
+def test_sums_keep_small_digits(spark):
+    assert one(spark, B.sum_(F.array(F.lit(Decimal("0.00000004")), F.lit(Decimal("0.00000004"))))) == Decimal("0.00000008")
+
+
+def test_take_refuses_parts(spark):
+    with pytest.raises(Exception, match="TYPE_MISMATCH"):
+        one(spark, B.take(F.lit(1.5), F.array(F.lit(1))))
+
+
+def test_bound_inputs_and_settings():
+    ports = {"left": "A", "right": "A", "other": "B"}
+    assert bound_inputs(ports, [("left", "A", 1), ("right", "A", 2), (None, "B", 3)]) == {"left": 1, "right": 2, "other": 3}
+    assert bound_inputs({"": "A"}, [(None, "A", 7)]) == {"in": 7}
+    for given, code in (([(None, "A", 1)], "INPUT_NOT_CLEAR"), ([("up", "A", 1)], "INPUT_UNKNOWN"), ([("left", "B", 1)], "INPUT_CONTRACT"), ([("left", "A", 1)], "INPUT_LACKING")):
+        with pytest.raises(ExpressionError, match=code):
+            bound_inputs(ports, given)
+    assert merged_settings({"a": {"x": 1, "y": 2}, "b": 1}, {"a": {"y": 3}, "c": 4}) == {"a": {"x": 1, "y": 3}, "b": 1, "c": 4}
+    assert joined_settings("ab", "c") == "abc" and joined_settings([1], [2]) == [1, 2]
+    with pytest.raises(ExpressionError, match="TYPE_MISMATCH"):
+        joined_settings("a", [1])
 
 
 def test_records_merge_and_nest(spark):

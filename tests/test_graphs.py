@@ -71,8 +71,11 @@ def test_cycles_of_every_conversation(spark):
     cyclic = {}
     for g, i in {(g, i) for g, i in reach if i in reach[g, i]} | {(g, j) for (g, i), seen in reach.items() if i in seen for j in seen}:
         cyclic[g] = cyclic.get(g, 0) + 1
-    assert {g % 10 for g, _ in scc} - {0, 1, 2} and {(r.graph_id, r.id): r.component for r in QUERIES["ext_graph_scc"](spark, folder).collect()} == scc
-    assert {r.graph_id: r.unsorted for r in QUERIES["ext_graph_cycle_detect"](spark, folder).collect()} == cyclic
+    assert {(r.graph_id, r.id): r.component for r in QUERIES["graph_scc"](spark, folder).collect()} == scc
+    assert {r.graph_id: r.unsorted for r in QUERIES["graph_cycle_detect"](spark, folder).collect()} == cyclic
+    found = {r.graph_id: r.cycle for r in QUERIES["graph_cycle_witness"](spark, folder).collect()}
+    assert set(found) == set(cyclic)
+    assert all(len(c) > 1 and c[0] == c[-1] and all(b in following[g, a] for a, b in zip(c, c[1:])) for g, c in found.items())
 
 
 def test_bidirectional_bridge(spark):
@@ -81,7 +84,7 @@ def test_bidirectional_bridge(spark):
 
 
 def test_scores(spark):
-    row = spark.range(1).select(clamp01(F.lit(float("nan"))).alias("nan"), jaccard(F.lit("alpha beta"), F.lit("Beta alpha")).alias("same"), jaccard(F.lit(""), F.lit("")).alias("none"), temporal(F.lit(3600)).alias("hour"), temporal(F.lit(-5)).alias("ahead")).first()
+    row = spark.range(1).select(clamp01(F.lit(float("nan"))).alias("nan"), jaccard(F.lit("rain, on a roof"), F.lit("A roof; on rain")).alias("same"), jaccard(F.lit(""), F.lit("")).alias("none"), temporal(F.lit(3600)).alias("hour"), temporal(F.lit(-5)).alias("ahead")).first()
     assert row.asDict() == {"nan": 0.0, "same": 1.0, "none": 0.0, "hour": 0.5, "ahead": 1.0}
 
 
@@ -105,3 +108,58 @@ def test_rewrites_and_emissions(spark):
     rows = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (1, 2, "c")], "k int, i int, v string")
     assert rewrite.emitted(rows, "k", "i", "v", "accumulate", 2).first().asDict() == {"k": 1, "emitted": 3, "kept": ["a", "b"]}
     assert rewrite.emitted(rows, "k", "i", "v", "reduce_last").first().kept == "c"
+
+
+def plain_order(pairs, roots, kind, h=None, most=None):
+    """A search over a list, the next one picked by a look at all of it."""
+    front, seen, out = [(r, 0) for r in sorted(roots)], set(), []
+    while front and (most is None or len(out) < most):
+        by = {"bfs": lambda: 0, "dfs": lambda: len(front) - 1, "pfs": lambda: min(range(len(front)), key=lambda k: (h(front[k][0]), front[k])), "max": lambda: min(range(len(front)), key=lambda k: (-h(front[k][0]), front[k]))}
+        v, depth = front.pop(by[kind]())
+        if v not in seen:
+            seen.add(v)
+            out.append((v, depth))
+            front += [(d, depth + 1) for s, d in sorted(pairs) if s == v]
+    return out
+
+
+@pytest.mark.parametrize("kind", ["bfs", "dfs", "pfs", "max"])
+def test_visit_orders(spark, kind):
+    pairs = [(0, 3), (0, 1), (3, 2), (1, 2), (2, 4), (1, 5), (5, 0)]
+    v, e = made(spark, pairs)
+    h = lambda x: (x * 5) % 7
+    priority = spark.createDataFrame([(0, i, float(h(i))) for i in range(6)], "graph_id long, id long, h double")
+    for most in (None, 3):
+        got = sorted(graph.visit_order(e, origin(spark, 0), kind, most, priority).collect(), key=lambda r: r.place)
+        assert [(r.id, r.depth) for r in got] == plain_order(pairs, [0], kind, h, most)
+
+
+def test_long_chains(spark):
+    n = 12
+    v, e = made(spark, [(k, k + 1) for k in range(n)])
+    found = graph.levels(v, e)
+    assert {r.id: r.level for r in found.collect()} == {k: k + 1 for k in range(n + 1)}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1  # one scan however many levels
+    mass = {r.id: r.mass for r in graph.influence(v, e, origin(spark, 0)).collect()}
+    assert mass == pytest.approx({k: 0.85**k for k in range(n + 1)})
+
+
+def test_budgets_skip_what_they_refuse(spark):
+    rows = [(0, 1, 99, "gassed"), (0, 2, 1, "gassed"), (0, 3, 99, "external"), (0, 4, 16, "gassed"), (0, 5, 15, "gassed")]
+    got = {r.rewrite_id: (r.nodes_left, r.exceeded) for r in rewrite.admitted(spark.createDataFrame(rows, "graph_id long, rewrite_id long, nodes long, mode string")).collect()}
+    assert got == {1: (16, "nodes"), 2: (15, None), 3: (15, None), 4: (15, "nodes"), 5: (0, None)}
+
+
+def test_costs(spark):
+    _, old = made(spark, [(1, 2)])
+    _, new = made(spark, [(1, 2), (2, 3), (2, 4), (2, 5)])
+    row = rewrite.cost(old, new).first()
+    assert (row.nodes, row.edges, row.depth, row.frontier, row.ops) == (3, 3, 1, 2, 1)
+
+
+def test_envelope_rewrite(spark):
+    _, e = made(spark, [(1, 2), (2, 3)])
+    inner = spark.createDataFrame([(0, 10, 11)], "graph_id long, src long, dst long")
+    got = {(r.src, r.dst) for r in rewrite.rewritten(e, origin(spark, 2), inner, origin(spark, 10), origin(spark, 11), "envelope").collect()}
+    assert got == {(1, 2), (2, 10), (10, 11), (11, 3)}
+    assert spark.range(1).select(rewrite.namespaced(F.lit("p"), F.lit("x")).alias("n")).first().n == "p:x"

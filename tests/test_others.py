@@ -55,6 +55,75 @@ def test_flows():
         (a | r.node("e", {"q": "C"}, {"v": "C"}, "same")).checked()
 
 
+def test_flows_with_several_exits(spark):
+    r = flow.Registry(contracts={"C": {}})
+    one = lambda k: lambda x: {"y": x[f"x{k}"].withColumn("by", F.lit(k))}
+    both = r.node("a", {"x0": "C"}, {"y": "C", }, one(0)) | r.node("b", {"x1": "C"}, {"y": "C"}, one(1))
+    split = r.node("s", {"rows": "C"}, {"x0": "C", "x1": "C"}, lambda x: {"x0": x["rows"], "x1": x["rows"]})
+    assert (split >> both).run(rows=spark.range(1))["y"].first().by == 0  # the leftmost of them
+    assert [f.nodes[0].name for f in flow.family(2, lambda k: r.node(f"n{k}", {"x": "C"}, {"z": "C"}, one(0)))] == ["n0", "n1"]
+    with pytest.raises(flow.FlowError, match="are both"):
+        flow.make_each({"a b": 1, "a-b": 2}, lambda label, item: r.node(label, {"x": "C"}, {"z": "C"}, one(0)))
+    assert flow.make_each({"9 x": 1}, lambda label, item: r.node(label, {"x": "C"}, {"z": "C"}, one(0))).nodes[0].name == "item_9_x"
+
+
+def test_rows_of_no_arm_fail(spark):
+    df = spark.createDataFrame([("F",), ("Q",), (None,)], "tag string")
+    arms = {"F": lambda x: x.select(F.lit(1).alias("n")), "Q": lambda x: x.select(F.lit(2).alias("n"))}
+    assert sorted(r.n for r in flow.selected(df.where("tag is not null"), F.col("tag"), arms).collect()) == [1, 2]
+    for bad in (df, df.withColumn("tag", F.lit("Z"))):
+        with pytest.raises(Exception, match="no arm"):
+            flow.selected(bad, F.col("tag"), arms).collect()
+
+
+def test_envelopes(spark):
+    e = contracts.envelope("c", F.lit(5))
+    row = spark.range(1).select(contracts.unwrapped(e).alias("one"), contracts.unwrapped(e, e).alias("two"), contracts.egress({"a": ("c", F.lit(1))}).alias("out"), contracts.egress({"a": ("c", F.lit(1)), "b": ("c", F.lit(2))}, "b").alias("chosen")).first()
+    assert row.one == 5 and row.two == [5, 5] and row.out.port == "a" and row.chosen.value == 2
+    with pytest.raises(contracts.MalformedSchema):
+        contracts.egress({"a": ("c", F.lit(1)), "b": ("c", F.lit(2))}, variant=True)
+    bad = contracts.invalid_examples(spark, {"c": ({"type": "integer"}, [1, "x", 2.0])}).collect()
+    assert [(r.contract, r.number, r.code) for r in bad] == [("c", 1, "TYPE")]
+
+
+def test_lines_files_and_manifests(spark, tmp_path):
+    import io
+
+    from dagframe.sources import tables
+
+    assert [r.line for r in tables.from_lines(spark, io.StringIO("a\nb\n")).collect()] == ["a", "b"]
+    out = io.StringIO()
+    tables.to_console(spark.createDataFrame([("x",)], "t string"), "t", out, 5)
+    tables.to_console(spark.range(1).select(F.struct(F.lit(1).alias("k")).alias("r")), "r", out, 5, newline=False)
+    assert out.getvalue() == 'x\n{\n  "k": 1\n}'
+    tables.write_text(spark.createDataFrame([("one\ntwo",)], "text string"), str(tmp_path / "out"))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "b c.txt").write_text("hello\nworld")
+    assert [r.text for r in tables.whole_files(spark, str(tmp_path / "in")).collect()] == ["hello\nworld"]
+    row = tables.listing(spark, str(tmp_path / "in")).first()
+    assert (row.name, row.stem, row.extension, row.label) == ("b c.txt", "b c", "txt", "b_c")
+    assert tables.included_text(str(tmp_path / "in" / "b c.txt")) == "hello\nworld"
+    assert tables.manifest('[contracts]\nA = "a.json"')["contracts"] == {"A": "a.json"}
+    spark.range(1).createOrReplaceTempView("there")
+    lacking = tables.drift(spark, spark.createDataFrame([("there", "id"), ("there", "x")], "table string, column string"))
+    assert [r.column for r in lacking.collect()] == ["x"]
+
+
+def test_signals_once(spark):
+    from dagframe.streaming import signals
+
+    rows = spark.createDataFrame([(1, "go", "2024-01-01"), (1, "go", "2024-01-02"), (1, "sys.x", "2024-01-01"), (2, "go", "2024-01-01")], "user_id long, event_type string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    assert sorted((r.run_id, r.name) for r in signals.delivered(rows).collect()) == [(1, "go"), (2, "go")]
+
+
+def test_addresses_escape(spark):
+    at = lambda c: history.address(F.lit(c), F.lit("json"), F.lit("a/b"), F.lit("1"))
+    row = spark.range(1).select(at('x","mediaType":"y').alias("a"), at("x").alias("b")).first()
+    assert row.a != row.b
+    shots = spark.createDataFrame([([1, 2], {"0": 5}), (None, {"0": 5, "1": 2}), (None, None)], "r array<int>, c map<string,long>")
+    assert [r.n for r in shots.select(histogram.shots_seen(F.col("r"), F.col("c")).alias("n")).collect()] == [2, 7, 0]
+
+
 def test_masking_and_addresses(spark):
     row = spark.range(1).select(history.masked(F.lit("arn:aws:x:123456789012:y")).alias("m"), history.address(F.lit(None).cast("string"), F.lit("json"), F.lit("a/b"), F.lit("1")).alias("h")).first()
     assert row.m == "arn:aws:x:***:y" and row.h.startswith("sha256:")
