@@ -53,7 +53,7 @@ _RUN = f"xxhash64({', '.join(f'get(words, i + {k})' for k in range(SIZE))})"
 
 def _bits(keys: DataFrame, key: str) -> tuple[DataFrame, int]:
     """One row: an array of bits in longs, those of the keys' hashes set; and the exponent of their number, which follows the keys'."""
-    bits = min(MOST_FILTER_BITS, max(LEAST_FILTER_BITS, (16 * keys.count()).bit_length()))
+    bits = min(MOST_FILTER_BITS, max(LEAST_FILTER_BITS, (32 * keys.count()).bit_length()))
     slot = F.shiftrightunsigned(F.xxhash64(key), 64 - bits)
     words = keys.select(F.shiftright(slot, 6).alias("word"), slot.alias("slot"))
     words = words.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits"))
@@ -74,6 +74,12 @@ def _enough(x: str, y: str) -> str:
     return f"4 * {x} >= 3 * {y} and 4 * {y} >= 3 * {x}"
 
 
+def _shares(m: str, c: str, n: str, d: str) -> str:
+    """Sets of m and n tokens, of which prefixes c and d are shared with any set, share at most the fewer of these and what stands behind
+    the longer prefix."""
+    return f"7 * (least({c}, {d}) + cast(ceil(3 * greatest({m}, {n}) / 4) as int) - 1) >= 3 * ({m} + {n})"
+
+
 def _rarity(worded: DataFrame) -> DataFrame:
     """One row: for each slot of the tokens' hashes, eighths of the logarithm of how often its tokens occur, over the least slot's."""
     spark = worded.sparkSession
@@ -119,17 +125,22 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     released(ordered, rare)
     entry = classes.select("cls", F.struct("first.doc", "first.at").alias("first"), "n", F.posexplode("prefix").alias("place", "token"))
     shared = stored(entry.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token"), "tokens")
-    some = _bits(shared, "token")
-    entries = stored(entry.where(_set(some, F.col("token"))).join(shared, "token", "left_semi"), "entries")
-    released(shared, some[0])
+    some, bits = _bits(shared, "token")
+    # Shared tokens only (and few others that the filter lets through), with how many of them the class has; a value of the plan, as the rarity is.
+    slot = f"shiftrightunsigned(xxhash64(e.token), {64 - bits})"
+    there = f"shiftright(get(bits, cast(shiftright({slot}, 6) as int)), cast({slot} & 63 as int)) & 1 = 1"
+    held = classes.select("cls", F.struct("first.doc", "first.at").alias("first"), "n", "prefix").withColumn("bits", some.scalar())
+    held = held.select("cls", "first", "n", F.expr(f"filter(transform(prefix, (t, i) -> struct(i as place, t as token)), e -> {there})").alias("held"))
+    entries = stored(held.select("cls", "first", "n", F.size("held").alias("c"), F.inline("held")), "entries")
+    released(shared, some)
     places = classes.select("cls", "first.doc", "first.h", "first.at")
 
-    lead = entries.groupBy("token").agg(F.min(F.struct("first", "cls", "n")).alias("lead")).select("token", F.col("lead.cls").alias("a"), F.col("lead.n").alias("m"), F.col("lead.first").alias("led"))
-    star = stored(entries.join(lead, "token").where("led < first").where(_enough("n", "m")).select("a", F.col("cls").alias("b")).distinct(), "star")
+    lead = entries.groupBy("token").agg(F.min(F.struct("first", "cls", "n", "c")).alias("lead")).select("token", F.col("lead.cls").alias("a"), F.col("lead.n").alias("m"), F.col("lead.first").alias("led"), F.col("lead.c").alias("d"))
+    star = stored(entries.join(lead, "token").where("led < first").where(_enough("n", "m")).where(_shares("n", "c", "m", "d")).select("a", F.col("cls").alias("b")).distinct(), "star")
     gone = _matches(star, places, given, text, doc)
     later = entries.join(gone, "cls", "left_anti").alias("y")
     least = "least(x.n - x.place, y.n - y.place)"
-    rest = entries.alias("x").join(later, F.expr(f"x.token = y.token and x.first < y.first and {_enough('x.n', 'y.n')} and 7 * {least} >= 3 * (x.n + y.n)"))
+    rest = entries.alias("x").join(later, F.expr(f"x.token = y.token and x.first < y.first and {_enough('x.n', 'y.n')} and 7 * {least} >= 3 * (x.n + y.n) and {_shares('x.n', 'x.c', 'y.n', 'y.c')}"))
     rest = stored(rest.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct().join(star, ["a", "b"], "left_anti"), "rest")
     gone = gone.unionAll(_matches(rest, places, given, text, doc)).distinct()
 
