@@ -6,13 +6,15 @@ from the start. Each set's shingles are ordered by rarity, and those of its pref
 
 Answers of a set come from those of similar sets where they can. In some rounds classes are compared with leaders of their lists;
 one that links takes over the leader's component, and from then on a list whose members stand in one component holds no question and is skipped whole. Entries meet across components
-only: index lists are in blocks by set size, an entry's place and size say which sizes can still reach it, and other
-blocks are skipped before rows meet; entries with nothing to meet are left behind early; and where one set was compared
-with the leader of the other, both differences from that leader bound what the two share, which answers yes, no, or that they must be
-compared. So a group of near copies costs a few comparisons for each member, and every link between components is found.
+only; long index lists are in blocks by set size, an entry's place and size say which sizes can still reach it, and other
+blocks are skipped before rows meet. So a group of near copies costs a few comparisons for each member, and every link between components is found.
+
+Each set has a parity map: a bit for each slot that holds an odd number of its shingles. Where two maps differ, the sets differ, so that
+two sets whose maps differ in more than a seventh of both sizes never link. Maps of 256 bits hold back pairs as entries meet, maps of two bits a shingle
+those that are left, before whole sets are compared.
 
 Rarity is counted over all shingles, in a table of fixed size; it only orders shingles, so that its collisions cost
-time and never a link. Sets travel only for pairs that are compared.
+time and never a link. Sets travel only for pairs that their maps let through.
 
 Defined results: a text of no words has the empty set, links with nothing and is its own component; a null id is never a
 component's smallest; rows of one id are compared as the documents they are; extra columns are dropped.
@@ -20,22 +22,26 @@ component's smallest; rows of one id are compared as the documents they are; ext
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dagframe.llm.components import components
 from dagframe.llm.shared import mapped, released, stored
 from dagframe.llm.wordbytes import U64, Words, distinct_by_text, mixed, runs, shingles
 
-#: Slots of the rarity table and of the filters that keep rows out of shuffles; both cost time only where they collide.
+#: Slots of the rarity table and (at most) of the filters that keep rows out of shuffles; both cost time only where they collide.
 SLOT_BITS, FILTER_BITS = 20, 25
 PIECE = 1 << 14
-#: Rounds in which classes ask leaders end when one pair in so many links, or after STAR_ROUNDS; the ratio of set sizes that a block spans.
-FEW_LINKS, STAR_ROUNDS, BLOCK = 20, 12, 1.1
+#: Rounds in which classes ask leaders end when one pair in so many links, or after STAR_ROUNDS; the ratio of set sizes that a block
+#: spans; lists of more entries are in blocks.
+FEW_LINKS, STAR_ROUNDS, BLOCK, LONG_LIST = 20, 12, 1.1, 64
+#: Words of 64 bits of a short parity map.
+SHORT = 4
 
 
 def _sets(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -75,12 +81,21 @@ def rarity(texts: DataFrame) -> np.ndarray:
     return np.minimum(8 * np.log2(out + 1), 127).astype(np.uint8)
 
 
+def _parity(h: np.ndarray, own: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """Parity maps, one behind the other, of sets of as many bits as `width` says (powers of two, 64 at least)."""
+    slot = (np.cumsum(width) - width)[own] + (h & (width[own] - 1).astype(U64)).astype(np.int64)
+    return np.packbits((np.bincount(slot, minlength=int(width.sum())) & 1).astype(np.uint8), bitorder="little")
+
+
 def _prefixes(batch: pa.RecordBatch, classes: np.ndarray) -> Iterator[pa.RecordBatch]:
     for first, last in runs(batch.column(1)):
         rows = last - first
         h, n, cls = _sets(batch.column(1).slice(first, rows))
         token = classes[(h >> U64(64 - SLOT_BITS)).astype(np.int64)].astype(U64) << U64(56) | h >> U64(8)
         own = np.repeat(np.arange(rows), n)
+        width = np.maximum(64 * SHORT, 1 << np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64))
+        whole, short = _parity(h, own, width), _parity(h, own, np.full(rows, 64 * SHORT)).view(np.int64).reshape(rows, SHORT)
+        maps = pa.BinaryArray.from_buffers(pa.binary(), rows, [None, pa.py_buffer(np.concatenate([[0], np.cumsum(width // 8)]).astype(np.int32)), pa.py_buffer(whole)])
         order = np.lexsort((token, own))
         token = token[order]
         place = np.arange(len(token)) - np.repeat(np.cumsum(n) - n, n)
@@ -88,17 +103,33 @@ def _prefixes(batch: pa.RecordBatch, classes: np.ndarray) -> Iterator[pa.RecordB
         keep = place < most[own]
         edges = np.concatenate([[0], np.cumsum(most)]).astype(np.int32)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0).slice(first, rows), pa.array(cls), pa.array(n.astype(np.int64)), pa.ListArray.from_arrays(pa.array(edges), pa.array(token[keep].view(np.int64))), batch.column(2).slice(first, rows)],
-            ["id", "cls", "n", "prefix", "key"],
+            [batch.column(0).slice(first, rows), pa.array(cls), pa.array(n.astype(np.int64)), pa.ListArray.from_arrays(pa.array(edges), pa.array(token[keep].view(np.int64))), batch.column(2).slice(first, rows), maps]
+            + [pa.array(short[:, k]) for k in range(SHORT)],
+            ["id", "cls", "n", "prefix", "key", "map", *(f"s{k}" for k in range(SHORT))],
         )
 
 
-def _bits(keys: DataFrame, column: str) -> np.ndarray:
-    """A filter with a bit for the hash of each key: at most 2**FILTER_BITS bits come to the driver, whatever the keys."""
+def cleaned(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffles of queries that are over: it does so once their plans are collected as garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def _slots(keys: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    h = mixed(keys.view(U64))
+    return (h >> U64(64 - width)).astype(np.int64), (h << U64(width) >> U64(64 - width)).astype(np.int64)
+
+
+def _bits(keys: DataFrame, column: str, count: int | None = None) -> np.ndarray:
+    """A filter with two bits for the hash of each key: at most 2**FILTER_BITS bits come to the driver, whatever the keys; some 16 a key
+    where their count is given."""
+    width = FILTER_BITS if count is None else min(FILTER_BITS, max(PIECE.bit_length() + 3, (16 * count).bit_length()))
+
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.zeros(1 << FILTER_BITS, bool)
+        bits = np.zeros(1 << width, bool)
         for batch in batches:
-            bits[(mixed(batch.column(0).to_numpy().view(U64)) >> U64(64 - FILTER_BITS)).astype(np.int64)] = True
+            for slot in _slots(batch.column(0).to_numpy(), width):
+                bits[slot] = True
         packed = np.packbits(bits).reshape(-1, PIECE)
         some = np.flatnonzero(packed.any(1))
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([packed[k].tobytes() for k in some], pa.binary())], ["piece", "n"])
@@ -111,15 +142,15 @@ def _bits(keys: DataFrame, column: str) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], ["piece", "n"])
 
     rows = mapped(mapped(keys.select(column), mark, "piece int, n binary").repartition("piece"), either, "piece int, n binary").collect()
-    out = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
+    out = np.zeros((1 << width) // 8, np.uint8)
     for piece, n in rows:
         out[piece * PIECE : (piece + 1) * PIECE] = np.frombuffer(n, np.uint8)
     return out
 
 
 def _marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    slot = mixed(keys.view(U64)) >> U64(64 - FILTER_BITS)
-    return (bits[(slot >> U64(3)).astype(np.int64)] >> (U64(7) - (slot & U64(7))).astype(np.uint8)) & 1 == 1
+    one, two = (bits[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8) & 1 for slot in _slots(keys, len(bits).bit_length() + 2))
+    return one & two == 1
 
 
 def _joined(pairs: DataFrame, held: DataFrame, step, name: str) -> DataFrame:
@@ -142,58 +173,42 @@ def _same(x: np.ndarray, y: np.ndarray) -> int:
 
 
 def _may_link(x: np.ndarray, y: np.ndarray) -> int | None:
-    """By prefixes, each after its set's size: what they share and all that stands behind the one that ends first."""
-    m, n, x, y = int(x[0]), int(y[0]), x[1:], y[1:]
-    most = _same(x, y) + (m - len(x) if x[-1] <= y[-1] else n - len(y))
-    return most if 7 * most >= 3 * (m + n) else None
-
-
-def _fetched(rows: DataFrame, classes: DataFrame, of) -> DataFrame:
-    """(cls, held) of the classes asked for; `of` makes classes and a function for the rest from a batch of `rows`."""
-    wanted = rows.sparkSession.sparkContext.broadcast(_bits(classes, "cls"))
+    """By parity maps, each after its set's size: how many shingles the sets differ in at least."""
+    n, x, y = int(x[0] + y[0]), x[1:], y[1:]
+    while len(x) != len(y):  # the wider one, folded, is the map that a set has at half the width
+        if len(x) < len(y):
+            x, y = y, x
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    differ = int(np.bitwise_count(x ^ y).sum())
+    return differ if 7 * differ <= n else None
+
+
+def _compared(pairs: DataFrame, held: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes with `same`, the size of their intersection, but for those that parity maps rule out. Whole sets are made
+    again for the classes that are left, from one text of each."""
+    likely = _joined(pairs, held.select("cls", "held"), _may_link, "likely").drop("same")
+    asked = stored(likely.select(F.col("a").alias("cls")).unionAll(likely.select(F.col("b").alias("cls"))).distinct().join(held.select("cls", "key"), "cls"), "asked")
+    count = asked.count()
+    wanted, keys = (texts.sparkSession.sparkContext.broadcast(_bits(asked, c, count)) for c in ("cls", "key"))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()  # classes of this task's rows
         for batch in batches:
-            for cls, held in of(batch):
+            some = batch.column(1).filter(pa.array(_marked(keys.value, batch.column(0).to_numpy())))
+            for first, last in runs(some):
+                h, n, cls = _sets(some.slice(first, last - first))
+                edge = np.concatenate([[0], np.cumsum(n)])
                 new = []
-                for k in np.flatnonzero(_marked(wanted.value, cls)).tolist():
+                for k in np.flatnonzero(_marked(wanted.value, cls) & (n > 0)).tolist():
                     if int(cls[k]) not in sent:
                         sent.add(int(cls[k]))
                         new.append(k)
                 if new:
-                    yield pa.RecordBatch.from_arrays([pa.array(cls[new]), pa.array([held(k) for k in new], pa.binary())], ["cls", "held"])
-
-    return stored(mapped(rows, fetch, "cls long, held binary").dropDuplicates(["cls"]), "fetched")
-
+                    yield pa.RecordBatch.from_arrays([pa.array(cls[new]), pa.array([h[edge[k] : edge[k + 1]].tobytes() for k in new], pa.binary())], ["cls", "held"])
 
-def _kept_prefixes(batch: pa.RecordBatch):
-    cls, n, lists = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(U64), batch.column(2)
-    edge, token = lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.flatten().to_numpy().view(U64)
-    yield cls, lambda k: n[k : k + 1].tobytes() + token[edge[k] : edge[k + 1]].tobytes()
-
-
-def _compared(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes with `same`, the size of their intersection, but for those that prefixes rule out. Whole sets are made
-    again for the classes that are left, from one text of each."""
-    pairs = stored(pairs, "pairs")
-    ends = lambda df: df.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    prefixes = _fetched(sets.where("n > 0").select("cls", "n", "prefix"), ends(pairs), _kept_prefixes)
-    likely = _joined(pairs, prefixes, _may_link, "likely").drop("same")
-    asked = stored(ends(likely), "asked")
-    one = sets.select("cls", "key").join(asked, "cls").groupBy("cls").agg(F.min("key").alias("key"))
-    keys = texts.sparkSession.sparkContext.broadcast(_bits(one.select("key").distinct(), "key"))
-
-    def of(batch: pa.RecordBatch):
-        some = batch.column(1).filter(pa.array(_marked(keys.value, batch.column(0).to_numpy())))
-        for first, last in runs(some):
-            h, n, cls = _sets(some.slice(first, last - first))
-            edge = np.concatenate([[0], np.cumsum(n)])
-            yield cls, lambda k, h=h, edge=edge: h[edge[k] : edge[k + 1]].tobytes()
-
-    whole = _fetched(texts, asked, of)
+    whole = stored(mapped(texts, fetch, "cls long, held binary").dropDuplicates(["cls"]), "fetched")
     out = _joined(likely, whole, _same, "compared")
-    released(pairs, prefixes, asked, whole)
+    released(asked, whole)
     return out
 
 
@@ -233,51 +248,28 @@ def _block(n: str) -> str:
 #: Two entries of one list that may stand for a link, the first one's set not above the other's.
 _MEET = (
     "x.token = y.token and x.block = y.block and x.root <> y.root and struct(x.n, x.cls) < struct(y.n, y.cls) and 4 * x.n >= 3 * y.n "
-    "and 7 * least(x.n - x.place, y.n - y.place) >= 3 * (x.n + y.n)"
+    "and 7 * least(x.n - x.place, y.n - y.place) >= 3 * (x.n + y.n) and 7 * (" + " + ".join(f"bit_count(x.s{k} ^ y.s{k})" for k in range(SHORT)) + ") <= x.n + y.n"
 )
-_ENTRY = ["token", "cls", "n", "place"]
 
 
-def _blocked(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Entries in the blocks of their size, and in all blocks that they must meet: from its place and size an entry works out which
+def _open(entries: DataFrame) -> DataFrame:
+    """Entries of lists that hold several components, and whether the list is long."""
+    lists = entries.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("k"))
+    return entries.join(lists.where("low < high").select("token", (F.col("k") > LONG_LIST).alias("long")), "token")
+
+
+def _crossing(entries: DataFrame, held: DataFrame) -> DataFrame:
+    """Pairs (a, b) across components that share a token at places from which both can still link, and whose short maps let them.
+    Entries of a long list are in the block of their size, and in all blocks that they must meet: from its place and size an entry works out which
     sizes not above its own can still reach it."""
     most = "least(n, cast(floor((7 * (n - place) - 3 * n) / 3) as bigint))"
     least = "cast(ceil(3 * n / 4) as bigint)"
-    away = entries.where(f"{most} >= {least}").withColumn("block", F.explode(F.expr(f"sequence({_block(least)}, {_block(most)})")))
-    return entries.withColumn("block", F.expr(_block("n"))).alias("x"), away.alias("y")
-
-
-def _live(entries: DataFrame) -> DataFrame:
-    """The entries that have something to meet in another component."""
-    several = entries.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
-    open_ = stored(entries.join(several, "token", "left_semi"), "open")
-    x, y = _blocked(open_)
-    both = x.join(y, F.expr(_MEET), "left_semi").select(*_ENTRY).unionAll(y.join(x, F.expr(_MEET), "left_semi").select(*_ENTRY))
-    out = stored(both.dropDuplicates(["token", "cls"]), "live")
+    open_ = stored(_open(entries).select("token", "cls", "root", "place", "long").join(held.drop("held", "key"), "cls"), "open")
+    x = open_.where("7 * place <= n").withColumn("block", F.expr(f"if(long, {_block('n')}, -1)")).alias("x")
+    y = open_.where(f"{most} >= {least}").withColumn("block", F.explode(F.expr(f"if(long, sequence({_block(least)}, {_block(most)}), array(-1))"))).alias("y")
+    pairs = stored(x.join(y, F.expr(_MEET)).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct(), "crossing")
     released(open_)
-    return out
-
-
-def _crossing(entries: DataFrame) -> DataFrame:
-    """Pairs (a, b) across components that share a token at places from which both can still link."""
-    x, y = _blocked(entries)
-    return x.join(y, F.expr(_MEET)).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), F.col("x.n").alias("n_a"), F.col("y.n").alias("n_b")).distinct()
-
-
-def _derived(pairs: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Links, and the pairs left to compare, by the answers of similar sets. Of a set b that links with L and a set a that was compared with L,
-    a shares with b at least what it shares with L without what of L is not in b, and at most that and what of b is not in L."""
-    both = known.select("a", "b", "same", "n_a", "n_b", "linked").unionAll(known.select("b", "a", "same", "n_b", "n_a", "linked")).toDF("cls", "lead", "same", "n", "n_lead", "linked")
-    leads = both.where("linked").groupBy("cls").agg(F.max(F.struct("same", "lead", "n_lead")).alias("l")).select("cls", "l.lead", F.col("l.same").alias("held"), F.col("l.n_lead").alias("size"))
-    answers = both.select("cls", "lead", "same").distinct()
-    out = pairs
-    for this, that in (("a", "b"), ("b", "a")):
-        of = leads.select(F.col("cls").alias(that), F.col("lead"), "held", "size")
-        out = out.join(of, that, "left").join(answers.select(F.col("cls").alias(this), "lead", "same"), [this, "lead"], "left")
-        out = out.withColumn(f"low_{this}", F.expr("same - (size - held)")).withColumn(f"high_{this}", F.expr(f"same + n_{that} - held")).drop("lead", "held", "size", "same")
-    out = stored(out.withColumn("low", F.greatest("low_a", "low_b")).withColumn("high", F.least("high_a", "high_b")), "derived")
-    need = "3 * (n_a + n_b)"
-    return out.where(f"7 * low >= {need}").select("a", "b"), out.where(f"(low is null or 7 * low < {need}) and (high is null or 7 * high >= {need})").select("a", "b")
+    return pairs
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", star_rounds: int = STAR_ROUNDS) -> DataFrame:
@@ -291,11 +283,15 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for batch in batches:
             yield from _prefixes(batch, classes.value)
 
-    sets = stored(mapped(given, prefixes, f"id {dict(given.dtypes)['id']}, cls long, n long, prefix array<long>, key long"), "prefixes")
+    sets = stored(mapped(given, prefixes, f"id {dict(given.dtypes)['id']}, cls long, n long, prefix array<long>, key long, map binary, {', '.join(f's{k} long' for k in range(SHORT))}"), "prefixes")
+
+    # Of each class: size, maps, and the key of one text; `held` is the size and the wide map.
+    size = F.unhex(F.concat(*(F.substring(F.lpad(F.hex("n"), 16, "0"), k, 2) for k in range(15, 0, -2))))
+    held = stored(sets.where("n > 0").groupBy("cls").agg(F.min("key").alias("key"), *(F.min(c).alias(c) for c in ("n", "map", *(f"s{k}" for k in range(SHORT))))).withColumn("held", F.concat(size, "map")).drop("map"), "classes")
 
-    # Lists of one class need no entries.
-    tokens = sets.select("cls", F.explode("prefix").alias("token")).groupBy("token").agg(F.min("cls").alias("low"), F.max("cls").alias("high"))
-    several = spark.sparkContext.broadcast(_bits(tokens.where("low < high").select("token"), "token"))
+    # Lists of one class need no entries, nor do those in which every entry comes too late for a link to a set not below its own.
+    tokens = sets.select("cls", "n", F.posexplode("prefix").alias("place", "token")).groupBy("token").agg(F.min("cls").alias("low"), F.max("cls").alias("high"), F.max(F.expr("7 * place <= n")).alias("early"))
+    several = spark.sparkContext.broadcast(_bits(tokens.where("low < high and early").select("token"), "token"))
 
     def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -309,35 +305,37 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     entries = mapped(sets.select("cls", "n", "prefix").where("n > 0"), indexed, "token long, cls long, n long, place long")
     entries = stored(entries.groupBy("token", "cls").agg(F.min("n").alias("n"), F.min("place").alias("place")), "index")
-    sizes = entries.groupBy("cls").agg(F.min("n").alias("n"))
+    cleaned(spark)
+    sizes = held.select("cls", "n")
 
-    live = entries
-    known: DataFrame | None = None
-    links: DataFrame | None = None
-    roots: DataFrame | None = None
+    live, roots = entries, None
     for turn in range(star_rounds):
-        compared = _compared(_asked(_rooted(live, roots), turn), sets, texts)
-        made = stored(_links(compared, sizes), "answers")
-        released(compared)
-        known = made if known is None else known.unionAll(made)
-        links = known.where("linked").select("a", "b")
-        new, roots = roots, components(links)
-        if new is not None:
-            released(new)
+        asked = stored(_asked(_rooted(live, roots), turn), "pairs")
+        compared = _compared(asked, held, texts)
+        made = stored(_links(compared, sizes).where("linked").select("a", "b"), "links")
+        all_, linked = asked.count(), made.count()
+        was = roots
+        roots = components(made if was is None else made.unionAll(was.toDF("a", "b")))
+        released(asked, compared, made)
+        if was is not None:
+            released(was)
         if turn == 0:
-            live = _live(_rooted(entries, roots))
-        else:
-            counts = made.agg(F.count("*").alias("all"), F.count_if("linked").alias("linked")).first()
-            if counts["linked"] * FEW_LINKS < counts["all"] or not counts["all"]:
-                break
-    easy, hard = _derived(_crossing(_rooted(live, roots)), known)
-    last = _compared(hard, sets, texts)
-    links = links.unionAll(easy).unionAll(_links(last, sizes).where("linked").select("a", "b"))
-    roots = components(links)
+            live = stored(_open(_rooted(entries, roots)).select(*entries.columns), "live")
+        elif linked * FEW_LINKS < all_ or not all_:
+            break
+        cleaned(spark)
+    crossing = _crossing(_rooted(live, roots), held)
+    last = _compared(crossing, held, texts)
+    found = _links(last, sizes).where("linked").select("a", "b")
+    was, roots = roots, components(found if roots is None else found.unionAll(roots.toDF("a", "b")))
+    if was is not None:
+        released(was)
 
     rows = sets.select("id", "cls", "n").join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").select("id", "n", F.coalesce("root", "cls").alias("root"))
     rows = stored(rows, "rows")
-    released(sets, entries, live, last, roots)
+    released(sets, held, entries, crossing, last, roots)
+    if star_rounds:
+        released(live)
     least = rows.where("n > 0").groupBy("root").agg(F.min("id").alias("least"))
     return rows.join(least, "root", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id")).alias("component_id"))
 

@@ -239,6 +239,51 @@ def test_near_copies(spark):
     assert ngram_join.near_copies(empty(docs)).count() == 0
 
 
+def test_near_copies_of_a_crowded_text(spark, monkeypatch):
+    """Variants of one text that share rare shingles and mostly do not link: parity maps rule out most pairs before whole sets meet."""
+    r = np.random.default_rng(5)
+    base = [f"w{k}" for k in range(200)]
+    rows = []
+    for i in range(200):
+        words = list(base)
+        for k in r.choice(np.arange(10, 190), 1 if i < 20 else 4, replace=False).tolist():
+            words[k] = f"own{i}x{k}"
+        rows.append((i, " ".join(words)))
+    met: dict[str, int] = {}
+    keep = ngram_join.stored
+
+    def counted(df, name="table"):
+        out = keep(df, name)
+        met[name] = met.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join, "stored", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in ngram_join.near_copies(docs).collect()}
+    sets = {i: shingle_set(t) for i, t in rows}
+    least = {i: i for i in sets}
+    links = [(i, j) for i in sets for j in range(i) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+    for _ in sets:
+        for i, j in links:
+            least[i] = least[j] = min(least[i], least[j])
+    assert got == least and len(links) > 100
+    assert met["compared"] < len(links) + 1500  # of 19,900 pairs
+
+
+def test_parity_maps_bound_differences():
+    r = np.random.default_rng(3)
+    pool = r.integers(0, 1 << 63, 3000, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    for m, n, shared in ((100, 130, 99), (1000, 1300, 990), (129, 128, 120), (70, 60, 58)):
+        x, y = np.unique(pool[:m]), np.unique(pool[m - shared : m - shared + n])
+        maps = []
+        for s in (x, y):
+            width = 1 << int(np.ceil(np.log2(2 * len(s))))
+            maps.append(np.concatenate([np.array([len(s)], np.uint64), ngram_join._parity(s, np.zeros(len(s), np.int64), np.array([width])).view(np.uint64)]))
+        differ = ngram_join._may_link(*maps)
+        assert 7 * (m + n - 2 * shared) <= m + n and differ is not None and differ <= m + n - 2 * shared
+        assert differ == ngram_join._may_link(*maps[::-1])
+
+
 def test_html():
     page = '<html><head><title>t</title><script>var a="</p>"</script></head><body class="nav-open"><nav><a href="/">Home</a></nav><div class="ad">Buy</div><article><header><h1>Head &amp; more</h1></header><p>First <b>bold</b> text<br>goes on.</p><p>Short.<p>Unclosed <i>one</p><form><input>Send</form><section class="comments"><p>Me too</p></section></article><aside>Side</aside><footer>&copy; x</footer></body></html>'
     assert html.main_text(page) == "Head & more\nFirst bold text goes on.\nShort.\nUnclosed one"
