@@ -101,10 +101,19 @@ def from_json(schema: str, text: Column) -> Column:
     return guarded(F.try_parse_json(text).isNotNull(), F.from_json(text, schema), "JSON_PARSE", "not a JSON text")
 
 
+def bound(x: Column, f: Fn) -> Column:
+    """f of x, which is worked out once a row; Spark would work it out wherever a lambda names it, once an element."""
+    return F.get(F.transform(F.array(x), lambda v: f(v)), F.lit(0))
+
+
+def _sorted_rows(row: Fn, xs: Column) -> Column:
+    """xs in the order of row(x, place), a struct that ends with the place as i. Its fields are best flat: a struct inside it made sorts several times dearer."""
+    return bound(xs, lambda v: F.transform(F.sort_array(F.transform(v, lambda x, i: row(x, i.alias("i")))), lambda e: F.get(v, e["i"])))
+
+
 def sort_by(key: Fn, xs: Column) -> Column:
     """Stable: equal keys keep their order, which goes into the sort as their second key."""
-    keyed = F.transform(xs, lambda x, i: F.struct(key(x).alias("k"), i.alias("i")))
-    return F.transform(F.array_sort(keyed), lambda e: F.get(xs, e["i"]))
+    return _sorted_rows(lambda x, i: F.struct(key(x).alias("k"), i), xs)
 
 
 def _bounded(n: Column, xs: Column) -> Column:
@@ -200,16 +209,25 @@ def fold_right(f: Fn, start: Column, xs: Column) -> Column:
     return F.aggregate(F.reverse(xs), _c(start), lambda a, x: f(x, a))
 
 
-def total_order(x: Column) -> Column:
-    """A key that puts JSON values (variants) of any types in one order: null, bool, number, string, array, object."""
-    kind = F.regexp_extract(F.schema_of_variant(x), "^[A-Z]+", 0)
-    rank = F.when(kind == "VOID", 0).when(kind == "BOOLEAN", 1).when(kind.isin("BIGINT", "DECIMAL", "DOUBLE"), 2).when(kind == "STRING", 3).when(kind == "ARRAY", 4).otherwise(5)
-    return F.struct(rank.alias("rank"), F.try_variant_get(x, "$", "boolean").alias("flag"), F.when(rank == 2, F.try_variant_get(x, "$", "double")).alias("number"), F.when(rank >= 3, F.to_json(x)).alias("text"))
+def total_order(x: Column, *more: Column) -> Column:
+    """A key that puts JSON values (variants) of any types in one order: null, bool, number, string, array, object; then more.
+
+    Arrays and objects go by their JSON text. The type is worked out once, and only casts of that type are made."""
+
+    def rank(kind: Column) -> Column:
+        number = kind.isin("BIGINT", "DOUBLE") | F.startswith(kind, F.lit("DECIMAL"))
+        return F.when(kind == "VOID", 0).when(kind == "BOOLEAN", 1).when(number, 2).when(kind == "STRING", 3).when(F.startswith(kind, F.lit("ARRAY")), 4).otherwise(5)
+
+    def key(r: Column) -> Column:
+        number, text = F.try_variant_get(x, "$", "double"), F.try_variant_get(x, "$", "string")
+        return F.struct(r.alias("rank"), F.when(r == 2, number).alias("number"), F.when(r == 3, text).when(r != 2, F.to_json(x)).alias("text"), *more)
+
+    return bound(bound(F.schema_of_variant(x), rank), key)
 
 
 def sort_any(xs: Column) -> Column:
     """An array of variants in the total order, equal ones as they came."""
-    return sort_by(total_order, xs)
+    return _sorted_rows(total_order, xs)
 
 
 def distinct_in_order(xs: Column) -> Column:

@@ -1162,7 +1162,7 @@ def expr_total_order(spark, d):
     """Values of all types in one order."""
     text = F.concat(F.lit('[{"k":1},[1],"a",'), F.col("event_id").cast("string"), F.lit(",true,null]"))
     items = F.variant_get(F.parse_json(text), "$", "array<variant>")
-    return table(spark, d, "events").select("event_id", F.concat(F.lit("["), F.array_join(F.transform(B.sort_any(items), lambda x: F.coalesce(F.to_json(x), F.lit("null"))), ","), F.lit("]")).alias("sorted"))
+    return table(spark, d, "events").select("event_id", F.to_json(B.sort_any(items)).alias("sorted"))
 
 
 @query(f"WITH {_ARRAYS} SELECT l_orderkey, array_to_string(list_transform(xs, lambda x, i: (i - 1) || '=' || x), ';') AS numbered, array_to_string(list_transform(range(1, len(xs)), lambda i: xs[i] || '-' || xs[i + 1]), ';') AS paired FROM a")

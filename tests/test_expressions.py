@@ -68,6 +68,32 @@ def test_rows_fail_with_their_code(spark, column, code):
         one(spark, column())
 
 
+def _variants(text):
+    return F.variant_get(F.parse_json(text), "$", "array<variant>")
+
+
+def test_arrays_of_all_types_in_one_order(spark):
+    def sorted_(text):
+        return one(spark, F.to_json(B.sort_any(_variants(F.lit(text)))))
+
+    assert sorted_('[{"k":1},[1],"a",7,true,null,false,[],"",1.5,null]') == '[null,null,false,true,1.5,7,"","a",[1],[],{"k":1}]'
+    assert sorted_("[0,-1,2,1e0,1,1e0]") == "[-1,0,1.0,1,1.0,2]"
+    assert sorted_('["z","a!","a b","a","t"]') == '["a","a b","a!","t","z"]'
+    assert sorted_("[]") == "[]"
+
+
+def test_sort_works_out_its_input_once_a_row(spark):
+    """Made anew for an element, other random numbers would come than those that were sorted."""
+    xs = F.transform(F.sequence(F.lit(1), F.lit(20)), lambda k: F.hash(F.uuid(), k))
+    rows = spark.range(3).select(B.sort_by(lambda x: x, xs).alias("x")).collect()
+    assert [r["x"] for r in rows] == [sorted(r["x"]) for r in rows]
+
+
+def test_total_order_works_out_a_type_once_an_element(spark):
+    plan = spark.range(1).select(B.sort_any(_variants(F.col("id").cast("string"))).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson(") == 1 and plan.count("schemaOfVariant(") == 1
+
+
 def test_fold_over_text(spark):
     step = fn("text", "k", body=Text((Var("text"), Literal(";"), op("-", Literal(10), Var("k")))))
     assert one(spark, value(compiled(Var("fold")(step, "from", Var("range")(2, 5)), {}))) == "from;8;7;6"
